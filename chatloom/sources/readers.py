@@ -177,16 +177,25 @@ def scan_model_cards(spark: SparkSession, root: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    return files.select(
-        F.element_at(F.split("path", "/"), -2).alias("model_id"),
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+    return card_rows(files)
+
+
+def card_rows(files: DataFrame) -> DataFrame:
+    """Card rows of binary files (``path, content``)."""
+    parts = F.split("path", "/")
+    found = files.select(F.element_at(parts, -2).alias("model_id"), F.element_at(parts, -1).alias("file"), "content")
+    return found.filter(F.col("file").isin(*CARD_FILES)).select(
+        "model_id", "file", F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )
 
 
 def scan_listing(spark: SparkSession, root: str) -> DataFrame:
     """``model_id, path, size, mtime`` below a root, one folder per model; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return listing_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+
+
+def listing_rows(files: DataFrame, root: str) -> DataFrame:
+    """Listing rows of ``path, length, modificationTime``: the first folder below root is the model."""
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     inside = F.substring_index(F.col("path"), base + "/", -1)
     return files.select(
