@@ -1,38 +1,52 @@
-"""Probing JSON values of unknown shape, with the truth rules of the source formats."""
+"""Probing JSON values of unknown shape, with the truth rules of the source formats.
 
-from __future__ import annotations
+These are SQL expression texts: a value goes in as text (a column, a field, a lambda variable) and
+an expression comes out, to be nested further and handed to ``F.expr`` once. Converters combine
+dozens of them, and building such trees from Column objects would take seconds.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from chatloom.functions.text import let
+from collections.abc import Callable
 
 _SENTINEL = "@@chatloom:end@@"
 
 
-def _variant(value: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, path, kind)
+def lit(text: str | None) -> str:
+    """SQL literal of a text."""
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def case(*branches: tuple[str, str], otherwise: str = "null") -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + f" ELSE {otherwise} END"
 
-def strict_json(raw: Column) -> Column:
+
+def strict_json(raw: str) -> str:
     """Parse exactly one JSON value, or null.
 
     Spark's parser ignores whatever follows the first value. The text is therefore parsed as the
     first element of an array closed by a sentinel: trailing garbage or a second value moves or
     loses the sentinel. A text that holds the sentinel itself takes a two-parse check instead.
     """
-    framed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_SENTINEL}"]')))
-    once = let(
-        framed,
-        lambda w: F.when(_variant(w, "$[1]", "string") == _SENTINEL, _variant(w, "$[0]")),
+    closed = lit(f',"{_SENTINEL}"]')
+    framed = f"try_parse_json(concat('[', {raw}, {closed}))"
+    once = bind(
+        framed, "w", f"CASE WHEN try_variant_get(w, '$[1]', 'string') = {lit(_SENTINEL)} THEN try_variant_get(w, '$[0]', 'variant') END"
     )
-    as_field = F.try_parse_json(F.concat(F.lit('{"r":'), raw, F.lit("}")))
-    as_item = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    twice = F.when(
-        as_field.isNotNull() & (F.size(_variant(as_item, "$", "array<variant>")) == 1),
-        _variant(as_item, "$[0]"),
+    as_field = f"""try_parse_json(concat('{{"r":', {raw}, '}}'))"""
+    as_item = f"try_parse_json(concat('[', {raw}, ']'))"
+    twice = (
+        f"CASE WHEN {as_field} IS NOT NULL AND size(try_variant_get({as_item}, '$', 'array<variant>')) = 1 "
+        f"THEN try_variant_get({as_item}, '$[0]', 'variant') END"
     )
-    return F.when(raw.contains(_SENTINEL), twice).otherwise(once)
+    return f"CASE WHEN contains({raw}, {lit(_SENTINEL)}) THEN {twice} ELSE {once} END"
 
 
 def key_path(key: str) -> str:
@@ -44,80 +58,69 @@ def key_path(key: str) -> str:
     raise ValueError(f"a key may not hold both kinds of quotes: {key!r}")
 
 
-def field(value: Column, key: str) -> Column:
+def field(value: str, key: str) -> str:
     """Value under a key: SQL null when absent, a variant null when the JSON says null."""
-    return _variant(value, key_path(key))
+    return at(value, key_path(key))
+
+
+def at(value: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({value}, {lit(path)}, '{kind}')"
 
 
-def items(value: Column) -> Column:
+def items(value: str) -> str:
     """Elements of a JSON array, or null when the value is no array."""
-    return _variant(value, "$", "array<variant>")
+    return f"try_variant_get({value}, '$', 'array<variant>')"
 
 
-def is_object(value: Column) -> Column:
-    return _variant(value, "$", "map<string,variant>").isNotNull()
+def is_object(value: str) -> str:
+    return f"(try_variant_get({value}, '$', 'map<string,variant>') IS NOT NULL)"
 
 
-def describe(value: Column) -> Column:
+def describe(value: str) -> str:
     """Kind and text of a value; the text follows Python's ``str`` for scalars."""
-    kind = F.schema_of_variant(value)
-    text = _variant(value, "$", "string")
-    return let(
-        F.struct(F.coalesce(kind, F.lit("ABSENT")).alias("kind"), text.alias("text")),
-        lambda d: F.struct(
-            d["kind"].alias("kind"),
-            F.when(d["kind"] == "BOOLEAN", F.initcap(d["text"]))
-            # An integral decimal of ordinary size was written with a fraction part: 1.0.
-            .when(d["kind"].rlike(r"^DECIMAL\(\d+,0\)$") & (F.length(d["text"]) <= 18), F.concat(d["text"], F.lit(".0")))
-            .otherwise(d["text"])
-            .alias("text"),
-        ),
+    probe = f"named_struct('kind', coalesce(schema_of_variant({value}), 'ABSENT'), 'text', try_variant_get({value}, '$', 'string'))"
+    text = case(
+        ("p.kind = 'BOOLEAN'", "initcap(p.text)"),
+        # An integral decimal of ordinary size was written with a fraction part: 1.0.
+        (f"startswith(p.kind, 'DECIMAL') AND p.kind RLIKE {lit(r'^DECIMAL\(\d+,0\)$')} AND length(p.text) <= 18", "concat(p.text, '.0')"),
+        otherwise="p.text",
     )
+    return bind(probe, "p", f"named_struct('kind', p.kind, 'text', {text})")
 
 
-def _absent(d: Column) -> Column:
-    return d["kind"].isin("ABSENT", "VOID")
-
-
-def _zero(d: Column) -> Column:
-    return d["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & d["text"].rlike(r"^-?0(\.0+)?(E0)?$")
+def _false_scalar(d: str) -> str:
+    number = lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    zero = lit(r"^-?0(\.0+)?(E0)?$")
+    return (
+        f"({d}.kind IN ('ABSENT', 'VOID') OR ({d}.kind = 'STRING' AND {d}.text = '') OR ({d}.kind = 'BOOLEAN' AND {d}.text = 'False')"
+        f" OR ({d}.kind <> 'STRING' AND {d}.text RLIKE {zero} AND {d}.kind RLIKE {number}))"
+    )
 
 
-def py_falsy(d: Column) -> Column:
+def py_falsy(d: str) -> str:
     """Python truth of a described value: null, "", 0, false, [] and {} are false."""
-    return (
-        _absent(d)
-        | ((d["kind"] == "STRING") & (d["text"] == ""))
-        | ((d["kind"] == "BOOLEAN") & (d["text"] == "False"))
-        | _zero(d)
-        | ((d["kind"] != "STRING") & d["text"].isin("[]", "{}"))
-    )
+    return f"({_false_scalar(d)} OR ({d}.kind <> 'STRING' AND {d}.text IN ('[]', '{{}}')))"
 
 
-def js_falsy(d: Column) -> Column:
+def js_falsy(d: str) -> str:
     """JavaScript truth of a described value: as in Python, but [] and {} are true."""
-    return (
-        _absent(d)
-        | ((d["kind"] == "STRING") & (d["text"] == ""))
-        | ((d["kind"] == "BOOLEAN") & (d["text"] == "False"))
-        | _zero(d)
-    )
+    return _false_scalar(d)
 
 
-def first_truthy(*values: Column, falsy=py_falsy) -> Column:
+def first_truthy(*values: str, falsy: Callable[[str], str] = py_falsy) -> str:
     """Text of the first true value, or null when all are false."""
-    return F.coalesce(*[let(describe(v), lambda d: F.when(~falsy(d), d["text"])) for v in values])
+    picked = [bind(describe(v), "d", f"CASE WHEN NOT {falsy('d')} THEN d.text END") for v in values]
+    return f"coalesce({', '.join(picked)})" if len(picked) > 1 else picked[0]
+
 
+def is_truthy(value: str, falsy: Callable[[str], str] = py_falsy) -> str:
+    return bind(describe(value), "d", f"NOT {falsy('d')}")
 
-def is_truthy(value: Column) -> Column:
-    return let(describe(value), lambda d: ~py_falsy(d))
 
+def described_text(d: str, null_text: str | None, missing_text: str | None) -> str:
+    return case((f"{d}.kind = 'ABSENT'", lit(missing_text)), (f"{d}.kind = 'VOID'", lit(null_text)), otherwise=f"{d}.text")
 
-def py_text(value: Column, null_text: str | None = None, missing_text: str | None = None) -> Column:
+
+def py_text(value: str, null_text: str | None = None, missing_text: str | None = None) -> str:
     """Text of a value; JSON null and a missing key map to the given texts."""
-    return let(
-        describe(value),
-        lambda d: F.when(d["kind"] == "ABSENT", F.lit(missing_text))
-        .when(d["kind"] == "VOID", F.lit(null_text))
-        .otherwise(d["text"]),
-    )
+    return bind(describe(value), "d", described_text("d", null_text, missing_text))

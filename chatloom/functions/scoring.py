@@ -58,7 +58,7 @@ def f_measure(hits: Column, n_pred: Column, n_gold: Column) -> Column:
 def token_f1_of(pred_tokens: Column, gold_tokens: Column) -> Column:
     return let(
         F.struct(pred_tokens.alias("p"), gold_tokens.alias("g")),
-        lambda t: f_measure(multiset_overlap(t["p"], t["g"]), F.size(t["p"]), F.size(t["g"])),
+        lambda t: let(multiset_overlap(t["p"], t["g"]), lambda hits: f_measure(hits, F.size(t["p"]), F.size(t["g"]))),
     )
 
 

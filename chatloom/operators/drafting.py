@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.records import describe, field, first_truthy, items, js_falsy, strict_json
-from chatloom.functions.text import JS_SPACE, js_blank, jstrim, let
+from chatloom.functions.records import bind, case, describe, field, first_truthy, is_truthy, items, js_falsy, lit, strict_json
+from chatloom.functions.text import JS_SPACE, js_blank, jstrim
 from chatloom.operators.messages import message
 
 # The drafting instruction and its request parameters. The user text holds a
@@ -74,63 +74,48 @@ _NUMBERING = rf"^[{JS_SPACE}]*[0-9]+[.)][{JS_SPACE}]*"
 _BULLET = rf"^[-*][{JS_SPACE}]*"
 
 
-def _listed(parsed: Column) -> Column:
-    """Prompts of a parsed JSON answer, or null when it has neither accepted layout."""
-    whole, inner = items(parsed), items(field(parsed, "prompts"))
+def _trim(text: str) -> str:
+    return f"btrim({text}, {lit(JS_SPACE)})"
 
-    def entry(x: Column) -> Column:
-        return let(
-            describe(x),
-            lambda d: F.when(d["kind"] == "STRING", d["text"]).otherwise(
-                F.coalesce(first_truthy(field(x, "prompt"), field(x, "content"), falsy=js_falsy), F.lit(""))
-            ),
-        )
 
-    kept = F.filter(F.transform(whole, entry), lambda p: p != "")
-    truthy = F.filter(F.transform(inner, lambda x: first_truthy(x, falsy=js_falsy)), lambda p: p.isNotNull())
-    return F.when(whole.isNotNull(), F.when(~F.exists(whole, F.is_variant_null), kept)).otherwise(truthy)
-
-
-def _stringified(parsed: Column) -> Column:
-    return F.transform(
-        items(parsed),
-        lambda x: let(
-            describe(x),
-            lambda d: F.when(d["kind"] == "VOID", "null")
-            .when(d["kind"] == "BOOLEAN", F.lower(d["text"]))
-            .when(F.startswith(d["kind"], F.lit("OBJECT")), "[object Object]")
-            .otherwise(d["text"]),
-        ),
+def _listed(parsed: str) -> str:
+    """Prompts of a parsed JSON answer, or null when it has neither accepted layout."""
+    whole, inner = items(parsed), items(field(parsed, "prompts"))
+    named = f"coalesce({first_truthy(field('x', 'prompt'), field('x', 'content'), falsy=js_falsy)}, '')"
+    entry = bind(describe("x"), "e", case(("e.kind = 'STRING'", "e.text"), otherwise=named))
+    kept = f"filter(transform({whole}, x -> {entry}), s -> s <> '')"
+    prompts = f"transform(filter({inner}, x -> {is_truthy('x', js_falsy)}), x -> {describe('x')}.text)"
+    no_null = f"NOT exists({whole}, x -> is_variant_null(x))"
+    return case((f"{whole} IS NOT NULL", case((no_null, kept))), otherwise=prompts)
+
+
+def _stringified(parsed: str) -> str:
+    text = case(
+        ("e.kind = 'VOID'", "'null'"),
+        ("e.kind = 'BOOLEAN'", "lower(e.text)"),
+        ("startswith(e.kind, 'OBJECT')", "'[object Object]'"),
+        otherwise="e.text",
     )
+    return f"transform({items(parsed)}, x -> {bind(describe('x'), 'e', text)})"
 
 
-def _bullets(raw: Column) -> Column:
-    def clean(line: Column) -> Column:
-        return jstrim(F.regexp_replace(F.regexp_replace(line, _NUMBERING, ""), _BULLET, ""))
-
-    return F.filter(F.transform(F.split(raw, "\r?\n"), clean), lambda s: F.length(s) > 1)
+def _bullets(raw: str) -> str:
+    bare = f"regexp_replace(regexp_replace(x, {lit(_NUMBERING)}, ''), {lit(_BULLET)}, '')"
+    return f"filter(transform(split({raw}, '\\r?\\n'), x -> {_trim(bare)}), s -> length(s) > 1)"
 
 
-def parse_prompt_list(text: Column) -> Column:
+def parse_prompt_list(text: str) -> Column:
     """Prompts of a model's answer: a JSON array or ``{"prompts": [...]}``, else a fenced JSON
-    array, else its lines without numbering and bullets."""
-
-    def read(raw: Column) -> Column:
-        fence = F.regexp_extract(raw, _FENCE, 1)
-        return F.when(raw == "", F.array().cast("array<string>")).otherwise(
-            F.coalesce(
-                let(strict_json(raw), _listed),
-                F.when(fence != "", let(strict_json(fence), _stringified)),
-                _bullets(raw),
-            )
-        )
-
-    return let(jstrim(F.coalesce(text, F.lit(""))), read)
+    array, else its lines without numbering and bullets. ``text`` is a column name."""
+    fence = f"regexp_extract(raw, {lit(_FENCE)}, 1)"
+    fenced = bind(fence, "f", case(("f <> ''", bind(strict_json("f"), "v", _stringified("v")))))
+    found = f"coalesce({bind(strict_json('raw'), 'v', _listed('v'))}, {fenced}, {_bullets('raw')})"
+    return F.expr(bind(_trim(f"coalesce({text}, '')"), "raw", case(("raw = ''", "cast(array() as array<string>)"), otherwise=found)))
 
 
 def drafted_prompts(answers: DataFrame, text: str = "text") -> DataFrame:
     keys = [c for c in answers.columns if c != text]
-    listed = answers.select(*keys, F.posexplode(parse_prompt_list(F.col(text))).alias("n", "prompt"))
+    listed = answers.select(*keys, F.posexplode(parse_prompt_list(text)).alias("n", "prompt"))
     return listed
 
 

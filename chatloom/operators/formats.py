@@ -12,19 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.records import (
+    bind,
+    case,
     describe,
+    described_text,
     field,
     first_truthy,
     is_object,
     is_truthy,
     items,
     js_falsy,
+    lit,
     py_falsy,
     strict_json,
 )
-from chatloom.functions.text import JS_SPACE, jstrim, let, pystrip
+from chatloom.functions.text import JS_SPACE, jstrim, let
 from chatloom.operators.lines import content_lines, drop_comment_lines, drop_empty_lines, pair_array, pair_lines
-from chatloom.operators.messages import MESSAGES, drop_empty_messages, message, validate, with_system
+from chatloom.operators.messages import (
+    MESSAGES,
+    drop_empty_sql,
+    message,
+    message_sql,
+    strip_sql,
+    validate_sql,
+    with_system_sql,
+)
 from chatloom.options import DROPMALFORMED, FAILFAST, MODES, PERMISSIVE, DataFormatError, DataOptions
 
 # Records that are passed over with a warning at most; every other reason is an error.
@@ -32,12 +44,7 @@ SKIPPED = ("no_messages", "no_conversations", "not_an_object", "empty_pair")
 
 CHATML_MESSAGE = r"<\|im_start\|>(?:system|user|assistant)\n[\s\S]*?<\|im_end\|>"
 _CHATML_OPEN, _CHATML_CLOSE = "<|im_start|>", "<|im_end|>"
-
-
-def _once(df: DataFrame, result: Column, name: str) -> DataFrame:
-    """Add ``result`` behind a one-row generator. A later filter on it stays above the generator,
-    so the optimizer does not run the whole conversion a second time inside that filter."""
-    return df.withColumn(name, F.explode(F.array(result)))
+_NO_MESSAGES = f"cast(null as {MESSAGES})"
 
 
 def _with_id(df: DataFrame) -> DataFrame:
@@ -51,244 +58,174 @@ def _parsed(records: DataFrame) -> DataFrame:
     """Records with a variant ``record``; text records are parsed strictly, once."""
     if "record" in records.columns:
         return records
-    return records.withColumn("record", strict_json(F.col("raw")))
-
-
-def _finish(records: DataFrame, found: Column, options: DataOptions, check: bool = True) -> DataFrame:
-    """Apply the system prompt and the validity rules to ``found: struct<messages, reason>``."""
-    staged = _parsed(records).withColumn("_found", found)
-    messages, reason = F.col("_found.messages"), F.col("_found.reason")
-    if check:
-        outcome = validate(with_system(messages, options.system_prompt))
-    else:
-        outcome = F.struct(messages.cast(MESSAGES).alias("messages"), F.lit(None).cast("string").alias("reason"))
-    settled = _once(
-        staged,
-        F.when(reason.isNotNull(), F.struct(F.lit(None).cast(MESSAGES).alias("messages"), reason.alias("reason")))
-        .otherwise(outcome),
-        "_outcome",
-    )
-    return _with_id(
-        settled.withColumn("messages", F.when(F.col("_outcome.reason").isNull(), F.col("_outcome.messages")))
-        .withColumn("reason", F.col("_outcome.reason"))
-        .drop("_found", "_outcome", "record")
-    )
-
+    return records.withColumn("record", F.expr(strict_json("raw")))
 
-def _found(messages: Column, reason: Column) -> Column:
-    return F.struct(messages.cast(MESSAGES).alias("messages"), reason.cast("string").alias("reason"))
 
+def _finish(records: DataFrame, messages: str, reason: str, options: DataOptions, check: bool = True) -> DataFrame:
+    """Apply the system prompt and the validity rules to the found messages.
 
-# --- JSON record formats -------------------------------------------------------------------
+    The outcome passes through a one-row generator. A later filter on it stays above the
+    generator, so the optimizer does not run the whole conversion once more inside that filter.
+    """
+    keep = [c for c in records.columns if c not in ("record", "_items", "_messages", "_conversations", "_list")]
+    found = f"named_struct('messages', cast({messages} as {MESSAGES}), 'reason', cast({reason} as string))"
+    rejected = f"named_struct('messages', {_NO_MESSAGES}, 'reason', _found.reason)"
+    checked = validate_sql(with_system_sql("_found.messages", options.system_prompt)) if check else "_found"
+    staged = records.select(*keep, F.expr(found).alias("_found"))
+    settled = staged.select(
+        *keep, F.expr(f"explode(array({case(('_found.reason IS NOT NULL', rejected), otherwise=checked)}))").alias("_outcome")
+    )
+    outcome = settled.select(
+        *keep,
+        F.expr("CASE WHEN _outcome.reason IS NULL THEN _outcome.messages END").alias("messages"),
+        F.col("_outcome.reason").alias("reason"),
+    )
+    return _with_id(outcome)
 
 
-def _null_content(options: DataOptions) -> str:
-    return "None" if options.compat_null else ""
+# --- JSON record formats -------------------------------------------------------------------
 
 
-def _listed(elements: Column, options: DataOptions, role_default: str, fill_first: bool) -> Column:
+def _listed(elements: str, options: DataOptions, missing_role: str, fill_first: bool) -> str:
     """Messages of ``{role, content}`` elements. With ``fill_first`` the leading system message
     is judged by its raw value, so a 0 or false there counts as missing."""
-    null_text = _null_content(options)
-    described = F.transform(
-        elements,
-        lambda x: F.struct(describe(field(x, "role")).alias("r"), describe(field(x, "content")).alias("c")),
-    )
+    described = f"transform({elements}, x -> named_struct('r', {describe(field('x', 'role'))}, 'c', {describe(field('x', 'content'))}))"
+    content = described_text("e.c", "None" if options.compat_null else "", "")
+    if fill_first and options.system_prompt.strip():
+        content = case((f"i = 0 AND e.r.text = 'system' AND {py_falsy('e.c')}", "''"), otherwise=content)
+    return f"transform({described}, (e, i) -> {message_sql(described_text('e.r', 'None', missing_role), content)})"
 
-    def build(d: Column, i: Column) -> Column:
-        role = (
-            F.when(d["r"]["kind"] == "ABSENT", F.lit(role_default))
-            .when(d["r"]["kind"] == "VOID", F.lit("None"))
-            .otherwise(d["r"]["text"])
-        )
-        content = (
-            F.when(d["c"]["kind"] == "ABSENT", F.lit(""))
-            .when(d["c"]["kind"] == "VOID", F.lit(null_text))
-            .otherwise(d["c"]["text"])
-        )
-        if fill_first and options.system_prompt.strip():
-            content = F.when((i == 0) & (d["r"]["text"] == "system") & py_falsy(d["c"]), F.lit("")).otherwise(content)
-        return message(role, content)
-
-    return F.transform(described, build)
 
-
-def _shared_turns(elements: Column, role_default: str) -> Column:
+def _shared_turns(elements: str, missing_role: str) -> str:
     """Messages of ``{from|role, value|content}`` elements; a false first key falls through."""
-    return F.transform(
-        elements,
-        lambda x: message(
-            F.coalesce(first_truthy(field(x, "from"), field(x, "role")), F.lit(role_default)),
-            F.coalesce(first_truthy(field(x, "value"), field(x, "content")), F.lit("")),
-        ),
-    )
+    role = f"coalesce({first_truthy(field('x', 'from'), field('x', 'role'))}, {lit(missing_role)})"
+    content = f"coalesce({first_truthy(field('x', 'value'), field('x', 'content'))}, '')"
+    return f"transform({elements}, x -> {message_sql(role, content)})"
 
 
-def _stripped(record: Column, *keys: str) -> Column:
-    return pystrip(F.coalesce(first_truthy(*[field(record, k) for k in keys]), F.lit("")))
+def _stripped(*keys: str) -> str:
+    return strip_sql(f"coalesce({first_truthy(*[field('record', k) for k in keys])}, '')")
 
 
 def from_messages_jsonl(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """``{"messages": [...]}`` or a bare list."""
-    record = F.col("record")
-    wrapped = field(record, "messages")
-    elements = F.when(wrapped.isNotNull(), items(wrapped)).otherwise(items(record))
-    reason = (
-        F.when(record.isNull(), "invalid_json")
-        .when(F.col("_items").isNull() & wrapped.isNull(), "no_messages")
-        .when(F.col("_items").isNull(), "bad_messages")
+    wrapped = field("record", "messages")
+    elements = case((f"{wrapped} IS NOT NULL", items(wrapped)), otherwise=items("record"))
+    reason = case(
+        ("record IS NULL", "'invalid_json'"),
+        (f"_items IS NULL AND {wrapped} IS NULL", "'no_messages'"),
+        ("_items IS NULL", "'bad_messages'"),
     )
-    staged = _parsed(records).withColumn("_items", elements)
-    return _finish(staged, _found(_listed(F.col("_items"), options, "", True), reason), options).drop("_items")
+    staged = _parsed(records).withColumn("_items", F.expr(elements))
+    return _finish(staged, _listed("_items", options, "", True), reason, options)
 
 
 def from_sharegpt(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """``{"conversations": [{from|role, value|content}]}``."""
-    record = F.col("record")
-    listed = field(record, "conversations")
-    staged = _parsed(records).withColumn("_items", items(listed))
-    # Roles are checked and blank turns dropped before the system prompt is considered.
-    clean = drop_empty_messages(_shared_turns(F.col("_items"), ""))
-    reason = (
-        F.when(record.isNull(), "invalid_json")
-        .when((F.size("_items") == 0) | (F.col("_items").isNull() & ~is_truthy(listed)), "no_conversations")
-        .when(F.col("_items").isNull(), "bad_messages")
+    listed = field("record", "conversations")
+    reason = case(
+        ("record IS NULL", "'invalid_json'"),
+        (f"size(_items) = 0 OR (_items IS NULL AND NOT {is_truthy(listed)})", "'no_conversations'"),
+        ("_items IS NULL", "'bad_messages'"),
+        ("_messages IS NULL", "'unsupported_role'"),
     )
-    found = let(
-        clean,
-        lambda m: _found(m, F.coalesce(reason, F.when(m.isNull(), "unsupported_role"))),
+    # Roles are checked and blank turns dropped before the system prompt is considered.
+    staged = (
+        _parsed(records)
+        .withColumn("_items", F.expr(items(listed)))
+        .withColumn("_messages", F.expr(drop_empty_sql(_shared_turns("_items", ""))))
     )
-    return _finish(staged, found, options).drop("_items")
+    return _finish(staged, "_messages", reason, options)
 
 
-def _instruction(record: Column, *output_keys: str) -> Column:
-    return F.struct(
-        _stripped(record, "instruction").alias("instruction"),
-        _stripped(record, "input").alias("input"),
-        _stripped(record, *output_keys).alias("output"),
-    )
+def _instruction(*output_keys: str) -> str:
+    return f"named_struct('ask', {_stripped('instruction')}, 'more', {_stripped('input')}, 'reply', {_stripped(*output_keys)})"
 
 
-def _asked(d: Column) -> Column:
-    return F.when(d["input"] == "", d["instruction"]).otherwise(F.concat(d["instruction"], F.lit("\n"), d["input"]))
+_ASKED = "CASE WHEN f.more = '' THEN f.ask ELSE concat(f.ask, '\n', f.more) END"
+_NOT_OBJECT = case(("record IS NULL", "'invalid_json'"), (f"NOT {is_object('record')}", "'not_an_object'"))
 
 
-def _not_object(record: Column) -> Column:
-    return F.when(record.isNull(), "invalid_json").when(~is_object(record), "not_an_object")
+def _pair(user: str, assistant: str) -> str:
+    return f"array({message_sql(lit('user'), user)}, {message_sql(lit('assistant'), assistant)})"
 
 
 def from_alpaca(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """``{"instruction", "input", "output"}``."""
-    record = F.col("record")
-    messages = let(
-        _instruction(record, "output"),
-        lambda d: F.array(message(F.lit("user"), _asked(d)), message(F.lit("assistant"), d["output"])),
-    )
-    return _finish(records, _found(messages, _not_object(record)), options)
+    messages = bind(_instruction("output"), "f", _pair(_ASKED, "f.reply"))
+    return _finish(_parsed(records), messages, _NOT_OBJECT, options)
 
 
-def _custom(record: Column, options: DataOptions) -> Column:
-    return F.struct(
-        _stripped(record, options.custom_system_key).alias("system"),
-        _stripped(record, options.custom_user_key).alias("user"),
-        _stripped(record, options.custom_assistant_key).alias("assistant"),
+def _custom(options: DataOptions) -> str:
+    return (
+        f"named_struct('sys', {_stripped(options.custom_system_key)}, 'usr', {_stripped(options.custom_user_key)}, "
+        f"'asst', {_stripped(options.custom_assistant_key)})"
     )
 
 
-def _custom_messages(d: Column) -> Column:
-    pair = F.array(message(F.lit("user"), d["user"]), message(F.lit("assistant"), d["assistant"]))
-    return F.when(d["system"] == "", pair).otherwise(
-        F.concat(F.array(message(F.lit("system"), d["system"])), pair)
-    )
+_CUSTOM_PAIR = _pair("f.usr", "f.asst")
+_CUSTOM_MESSAGES = case(
+    ("f.sys = ''", _CUSTOM_PAIR), otherwise=f"concat(array({message_sql(lit('system'), 'f.sys')}), {_CUSTOM_PAIR})"
+)
 
 
 def from_custom(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """Flat records whose keys the options name."""
-    record = F.col("record")
-    messages = let(_custom(record, options), _custom_messages)
-    return _finish(records, _found(messages, _not_object(record)), options)
+    return _finish(_parsed(records), bind(_custom(options), "f", _CUSTOM_MESSAGES), _NOT_OBJECT, options)
 
 
 def from_catalog(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """Rows of a dataset catalogue, each row's layout detected on its own."""
-    record = F.col("record")
-    objects = lambda xs: F.filter(
-        xs, lambda x: field(x, "role").isNotNull() | field(x, "from").isNotNull() | is_object(x)
-    )
-    listed = _listed(objects(F.col("_messages")), options, "None", False)
-    shared = _shared_turns(objects(F.col("_conversations")), "None")
-    asked = let(
-        _instruction(record, "output", "response"),
-        lambda d: F.when(
-            (d["instruction"] != "") | (d["input"] != ""),
-            F.concat(
-                F.array(message(F.lit("user"), pystrip(_asked(d)))),
-                F.when(d["output"] != "", F.array(message(F.lit("assistant"), d["output"]))).otherwise(
-                    F.array().cast(MESSAGES)
-                ),
-            ),
-        ),
-    )
-    custom = let(
-        _custom(record, options),
-        lambda d: F.when((d["user"] != "") & (d["assistant"] != ""), _custom_messages(d)),
+
+    def objects(listed: str) -> str:
+        probe = f"{field('o', 'role')} IS NOT NULL OR {field('o', 'from')} IS NOT NULL OR {is_object('o')}"
+        return f"filter({listed}, o -> {probe})"
+
+    asked = case(
+        (
+            "f.ask <> '' OR f.more <> ''",
+            f"concat(array({message_sql(lit('user'), strip_sql(_ASKED))}), "
+            f"CASE WHEN f.reply <> '' THEN array({message_sql(lit('assistant'), 'f.reply')}) ELSE cast(array() as {MESSAGES}) END)",
+        )
     )
-    messages = (
-        F.when(F.col("_messages").isNotNull(), listed)
-        .when(F.col("_conversations").isNotNull(), shared)
-        .otherwise(F.coalesce(asked, custom))
+    custom = case(("f.usr <> '' AND f.asst <> ''", _CUSTOM_MESSAGES))
+    messages = case(
+        ("_messages IS NOT NULL", _listed(objects("_messages"), options, "None", False)),
+        ("_conversations IS NOT NULL", _shared_turns(objects("_conversations"), "None")),
+        otherwise=f"coalesce({bind(_instruction('output', 'response'), 'f', asked)}, {bind(_custom(options), 'f', custom)})",
     )
     staged = (
         _parsed(records)
-        .withColumn("_messages", items(field(record, "messages")))
-        .withColumn("_conversations", items(field(record, "conversations")))
-    )
-    found = let(
-        messages.cast(MESSAGES),
-        lambda m: _found(
-            m,
-            F.coalesce(_not_object(record), F.when(m.isNull() | (F.size(m) == 0), "no_messages")),
-        ),
+        .withColumn("_messages", F.expr(items(field("record", "messages"))))
+        .withColumn("_conversations", F.expr(items(field("record", "conversations"))))
+        .withColumn("_items", F.expr(f"cast({messages} as {MESSAGES})"))
     )
-    return _finish(staged, found, options).drop("_messages", "_conversations")
+    reason = f"coalesce({_NOT_OBJECT}, CASE WHEN _items IS NULL OR size(_items) = 0 THEN 'no_messages' END)"
+    return _finish(staged, "_items", reason, options)
 
 
 def import_editor_json(records: DataFrame) -> DataFrame:
     """Lenient import: any list of turns, odd roles kept, nothing validated."""
-    record = F.col("record")
-    listed = F.when(items(record).isNotNull(), record)
-    for key in ("messages", "conversations"):
-        value = field(record, key)
-        listed = F.coalesce(listed, F.when(let(describe(value), lambda d: ~js_falsy(d)), value))
-    staged = _parsed(records).withColumn("_list", listed).withColumn("_items", items(F.col("_list")))
-
-    def build(x: Column) -> Column:
-        return let(
-            F.struct(
-                first_truthy(field(x, "role"), falsy=js_falsy).alias("role"),
-                first_truthy(field(x, "from"), falsy=js_falsy).alias("from"),
-                first_truthy(
-                    field(x, "content"), field(x, "value"), field(x, "text"), falsy=js_falsy
-                ).alias("content"),
-            ),
-            lambda d: message(
-                F.coalesce(
-                    d["role"],
-                    F.when(d["from"] == "human", "user").when(d["from"] == "gpt", "assistant").otherwise(d["from"]),
-                    F.lit("user"),
-                ),
-                F.coalesce(d["content"], F.lit("")),
-            ),
-        )
-
-    found = F.when(F.col("_list").isNull(), F.array().cast(MESSAGES)).otherwise(F.transform("_items", build))
-    reason = (
-        F.when(record.isNull(), "invalid_json")
-        .when(F.is_variant_null(record), "bad_messages")
-        .when(F.col("_list").isNotNull() & F.col("_items").isNull(), "bad_messages")
-        .when(F.exists("_items", lambda x: F.is_variant_null(x)), "bad_messages")
+    named = [field("record", key) for key in ("messages", "conversations")]
+    listed = ", ".join(f"CASE WHEN {is_truthy(v, js_falsy)} THEN {v} END" for v in named)
+    truthy = lambda *keys: first_truthy(*[field("x", k) for k in keys], falsy=js_falsy)
+    sender = case(("s = 'human'", "'user'"), ("s = 'gpt'", "'assistant'"), otherwise="s")
+    role = f"coalesce({truthy('role')}, {bind(truthy('from'), 's', sender)}, 'user')"
+    content = f"coalesce({truthy('content', 'value', 'text')}, '')"
+    messages = case(
+        ("_list IS NULL", f"cast(array() as {MESSAGES})"), otherwise=f"transform(_items, x -> {message_sql(role, content)})"
+    )
+    reason = case(
+        ("record IS NULL", "'invalid_json'"),
+        ("is_variant_null(record) OR (_list IS NOT NULL AND _items IS NULL)", "'bad_messages'"),
+        ("exists(_items, x -> is_variant_null(x))", "'bad_messages'"),
     )
-    return _finish(staged, _found(found, reason), DataOptions(), check=False).drop("_list", "_items")
+    staged = (
+        _parsed(records)
+        .withColumn("_list", F.expr(f"coalesce(CASE WHEN {items('record')} IS NOT NULL THEN record END, {listed})"))
+        .withColumn("_items", F.expr(items("_list")))
+    )
+    return _finish(staged, messages, reason, DataOptions(), check=False)
 
 
 # --- text formats --------------------------------------------------------------------------
@@ -296,13 +233,11 @@ def import_editor_json(records: DataFrame) -> DataFrame:
 
 def _pairs_converted(pairs: DataFrame, options: DataOptions) -> DataFrame:
     """Validity of (user, assistant) pairs; both halves are already stripped."""
-    messages = F.array(message(F.lit("user"), F.col("user")), message(F.lit("assistant"), F.col("assistant")))
-    reason = F.when((F.col("user") == "") | (F.col("assistant") == ""), "empty_pair").when(
-        ~(F.is_valid_utf8("user") & F.is_valid_utf8("assistant")), "bad_encoding"
-    )
-    return _finish(
-        pairs.withColumn("record", F.lit(None).cast("string")), _found(messages, reason), options
+    reason = case(
+        ("user = '' OR assistant = ''", "'empty_pair'"),
+        ("NOT (is_valid_utf8(user) AND is_valid_utf8(assistant))", "'bad_encoding'"),
     )
+    return _finish(pairs, _pair("user", "assistant"), reason, options).drop("user", "assistant")
 
 
 def from_text(texts: DataFrame, options: DataOptions = DataOptions(), text: str = "text") -> DataFrame:
@@ -314,14 +249,14 @@ def from_text(texts: DataFrame, options: DataOptions = DataOptions(), text: str
         F.col("_pair.user").alias("user"),
         F.col("_pair.assistant").alias("assistant"),
     )
-    return _pairs_converted(flat, options).drop("user", "assistant")
+    return _pairs_converted(flat, options)
 
 
 def from_txt(lines: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """Paired lines of a file scan (``sources.readers.scan_lines``)."""
     content = drop_comment_lines(drop_empty_lines(lines, options), options)
     pairs = pair_lines(content).filter(F.col("assistant").isNotNull()).withColumnRenamed("pair_no", "record_no")
-    return _pairs_converted(pairs, options).drop("user", "assistant")
+    return _pairs_converted(pairs, options)
 
 
 def import_chatml(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -378,15 +313,11 @@ def sniff_format(text: Column, name: Column) -> Column:
 
 def editor_json_records(texts: DataFrame, text: str = "text") -> DataFrame:
     """Records of a JSON text: the elements of an array, or one record per non-blank line."""
-    unreadable = F.array(F.lit(None).cast("variant"))
-    elements = let(
-        jstrim(F.col(text)),
-        lambda t: F.when(
-            F.startswith(t, F.lit("[")), F.coalesce(items(strict_json(t)), unreadable)
-        ).otherwise(F.transform(F.filter(F.split(t, "\r?\n"), lambda x: jstrim(x) != ""), strict_json)),
-    )
+    by_line = f"transform(filter(split(_t, '\\r?\\n'), x -> btrim(x, {lit(JS_SPACE)}) <> ''), x -> {strict_json('x')})"
+    listed = f"coalesce({items(strict_json('_t'))}, array(cast(null as variant)))"
+    elements = F.expr(case(("startswith(_t, '[')", listed), otherwise=by_line))
     keys = [c for c in texts.columns if c != text]
-    rows = texts.select(*keys, F.posexplode(elements).alias("_i", "record"))
+    rows = texts.select(*keys, jstrim(F.col(text)).alias("_t")).select(*keys, F.posexplode(elements).alias("_i", "record"))
     return rows.select(*keys, F.col("_i").cast("bigint").alias("record_no"), "record")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.records import field, first_truthy, strict_json
+from chatloom.functions.records import bind, field, first_truthy, strict_json
 from chatloom.functions.text import PY_SPACE, let, pystrip, splitlines
 from chatloom.sources.readers import CARD_FILES
 
@@ -85,17 +85,17 @@ def license_from_text(text: Column, whole_words: bool = False) -> Column:
     return let(head, name)
 
 
-def license_from_config(text: Column) -> Column:
-    """License key of a JSON object; null for bad JSON or no such key."""
-    return let(strict_json(text), lambda v: first_truthy(field(v, "license")))
+def license_from_config(text: str) -> Column:
+    """License key of a JSON object; null for bad JSON or no such key. ``text`` is a column name."""
+    return F.expr(bind(strict_json(text), "v", first_truthy(field("v", "license"))))
 
 
-def license_of_file(file: Column, text: Column) -> Column:
+def license_of_file(file: str = "file", text: str = "text") -> Column:
     """What one file says about the license; null lets the next file speak."""
     name = F.lower(file)
-    said = F.when(F.startswith(name, F.lit("readme")), front_matter_value(text, "license")).when(
-        F.startswith(name, F.lit("license")), license_from_text(text)
-    ).when(file == "configuration.json", license_from_config(text))
+    said = F.when(F.startswith(name, F.lit("readme")), front_matter_value(F.col(text), "license")).when(
+        F.startswith(name, F.lit("license")), license_from_text(F.col(text))
+    ).when(F.col(file) == "configuration.json", license_from_config(text))
     return F.when(said != "", said)
 
 
@@ -106,7 +106,7 @@ def pick_license_source(cards: DataFrame, key: str = "model_id") -> DataFrame:
         key,
         "file",
         order.alias("_order"),
-        F.explode(F.array(license_of_file(F.col("file"), F.col("text")))).alias("license"),
+        F.explode(F.array(license_of_file())).alias("license"),
     )
     # The smallest (order, ...) among the files that speak, combined before the shuffle.
     best = F.min(F.when(F.col("license").isNotNull(), F.struct("_order", "license", "file")))

@@ -15,26 +15,26 @@ from chatloom.session import BROADCAST_ROWS, settle
 PAIR_BLOCK = 8192
 
 
-def _empty(line: Column, options: DataOptions) -> Column:
+def is_empty(line: Column, options: DataOptions) -> Column:
     return pystrip(line) == "" if options.skip_empty_lines else F.lit(False)
 
 
-def _comment(line: Column, options: DataOptions) -> Column:
+def is_comment(line: Column, options: DataOptions) -> Column:
     return F.startswith(pystrip(line), F.lit(options.comment_prefix)) if options.skip_comment_lines else F.lit(False)
 
 
 def drop_empty_lines(lines: DataFrame, options: DataOptions = DataOptions(), line: str = "line") -> DataFrame:
-    return lines.filter(~_empty(F.col(line), options))
+    return lines.filter(~is_empty(F.col(line), options))
 
 
 def drop_comment_lines(lines: DataFrame, options: DataOptions = DataOptions(), line: str = "line") -> DataFrame:
     """Meant to run after ``drop_empty_lines``: an empty prefix makes every line a comment."""
-    return lines.filter(~_comment(F.col(line), options))
+    return lines.filter(~is_comment(F.col(line), options))
 
 
 def content_lines(text: Column, options: DataOptions = DataOptions()) -> Column:
     """Lines of a text that are neither blank nor comments, unstripped."""
-    return F.filter(splitlines(text), lambda x: ~_empty(x, options) & ~_comment(x, options))
+    return F.filter(splitlines(text), lambda x: ~is_empty(x, options) & ~is_comment(x, options))
 
 
 def pair_array(lines: Column) -> Column:
@@ -65,8 +65,8 @@ def line_counts(text: Column, options: DataOptions = DataOptions()) -> Column:
         splitlines(text),
         lambda a: F.struct(
             F.size(a).cast("bigint").alias("raw_lines"),
-            count(a, lambda x: _empty(x, options)).alias("skipped_empty"),
-            count(a, lambda x: ~_empty(x, options) & _comment(x, options)).alias("skipped_comments"),
+            count(a, lambda x: is_empty(x, options)).alias("skipped_empty"),
+            count(a, lambda x: ~is_empty(x, options) & is_comment(x, options)).alias("skipped_comments"),
         ),
     )
     return let(

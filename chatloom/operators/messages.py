@@ -1,4 +1,7 @@
-"""Operators on a message array: roles, system prompt, blank messages, validity."""
+"""Operators on a message array: roles, system prompt, blank messages, validity.
+
+Arguments are SQL expression texts, usually a column name; ``*_sql`` give text for nesting.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from chatloom.functions.text import PY_SPACE, is_blank, let, pystrip
+from chatloom.functions.records import bind, case, lit
+from chatloom.functions.text import PY_SPACE, is_blank, pystrip
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -29,64 +33,77 @@ def message(role: Column, content: Column) -> Column:
     return F.struct(role.alias("role"), content.alias("content"))
 
 
-def normalize_role(role: Column) -> Column:
-    """Canonical role, or null for an unknown one."""
-    aliases = F.create_map(*[F.lit(x) for pair in ROLE_ALIASES.items() for x in pair])
-    return F.try_element_at(aliases, F.lower(pystrip(role)))
+def message_sql(role: str, content: str) -> str:
+    return f"named_struct('role', {role}, 'content', {content})"
 
 
-def with_system(messages: Column, prompt: str) -> Column:
-    """Put a system prompt first. A leading message with the exact role ``system`` stays in
-    place, and takes the prompt only when its own content is missing or empty."""
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {lit(PY_SPACE)})"
+
+
+def role_sql(role: str) -> str:
+    aliases = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in ROLE_ALIASES.items())
+    return f"try_element_at(map({aliases}), lower({strip_sql(role)}))"
+
+
+def with_system_sql(messages: str, prompt: str) -> str:
     if not prompt.strip(PY_SPACE):
         return messages
-    system = message(F.lit("system"), F.lit(prompt))
-    leads = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False))
-    filled = F.transform(
-        messages,
-        lambda m, i: F.when((i == 0) & (F.coalesce(m["content"], F.lit("")) == ""), system).otherwise(m),
+    system = message_sql("'system'", lit(prompt))
+    filled = f"transform({messages}, (m, i) -> CASE WHEN i = 0 AND coalesce(m.content, '') = '' THEN {system} ELSE m END)"
+    return case(
+        (f"coalesce(get({messages}, 0).role = 'system', false)", filled), otherwise=f"concat(array({system}), {messages})"
+    )
+
+
+def drop_empty_sql(messages: str) -> str:
+    normal = f"transform({messages}, m -> {message_sql(role_sql('m.role'), strip_sql('m.content'))})"
+    known = "NOT exists(n, m -> m.role IS NULL)"
+    return bind(normal, "n", f"CASE WHEN {known} THEN filter(n, m -> coalesce(m.content, '') <> '') END")
+
+
+def missing_role_sql(messages: str) -> str:
+    return case(
+        (f"NOT exists({messages}, m -> m.role = 'user')", "'no_user'"),
+        (f"NOT exists({messages}, m -> m.role = 'assistant')", "'no_assistant'"),
     )
-    return F.when(leads, filled).otherwise(F.concat(F.array(system), messages))
 
 
-def normalize_messages(messages: Column) -> Column:
-    return F.transform(messages, lambda m: message(normalize_role(m["role"]), pystrip(m["content"])))
+def validate_sql(messages: str) -> str:
+    reason = case(
+        ("s.n IS NULL OR s.n < 0", "'bad_messages'"),
+        ("s.n = 0", "'empty_messages'"),
+        ("s.kept IS NULL", "'unsupported_role'"),
+        otherwise=missing_role_sql("s.kept"),
+    )
+    staged = f"named_struct('n', size({messages}), 'kept', {drop_empty_sql(messages)})"
+    return bind(staged, "s", f"named_struct('messages', s.kept, 'reason', {reason})")
 
 
-def drop_blank(messages: Column) -> Column:
-    return F.filter(messages, lambda m: F.coalesce(m["content"], F.lit("")) != "")
+def normalize_role(role: str) -> Column:
+    """Canonical role, or null for an unknown one."""
+    return F.expr(role_sql(role))
 
 
-def has_role(messages: Column, role: str) -> Column:
-    return F.exists(messages, lambda m: m["role"] == role)
+def with_system(messages: str, prompt: str) -> Column:
+    """Put a system prompt first. A leading message with the exact role ``system`` stays in
+    place, and takes the prompt only when its own content is missing or empty."""
+    return F.expr(with_system_sql(messages, prompt))
 
 
-def drop_empty_messages(messages: Column) -> Column:
+def drop_empty_messages(messages: str) -> Column:
     """Normalised messages without the blank ones; null if any role is unknown, blank or not."""
-    return let(
-        normalize_messages(messages),
-        lambda n: F.when(~F.exists(n, lambda m: m["role"].isNull()), drop_blank(n)),
-    )
+    return F.expr(drop_empty_sql(messages))
 
 
-def missing_role(messages: Column) -> Column:
+def missing_role(messages: str) -> Column:
     """Reason why normalised messages are no sample, or null."""
-    return F.when(~has_role(messages, "user"), "no_user").when(~has_role(messages, "assistant"), "no_assistant")
+    return F.expr(missing_role_sql(messages))
 
 
-def validate(messages: Column) -> Column:
+def validate(messages: str) -> Column:
     """``struct<messages, reason>``: the clean sample, or the reason it is rejected."""
-    return let(
-        F.struct(F.size(messages).alias("n"), drop_empty_messages(messages).alias("kept")),
-        lambda s: F.struct(
-            s["kept"].alias("messages"),
-            F.when(s["n"].isNull() | (s["n"] < 0), "bad_messages")
-            .when(s["n"] == 0, "empty_messages")
-            .when(s["kept"].isNull(), "unsupported_role")
-            .otherwise(missing_role(s["kept"]))
-            .alias("reason"),
-        ),
-    )
+    return F.expr(validate_sql(messages))
 
 
 def load_system_prompt(spark: SparkSession, path: str | None) -> str:
@@ -119,9 +136,7 @@ def valid_turns(
     """The same cleaning on the turn table: no array is built, so a conversation of any length
     stays spread over tasks. Flags are pre-aggregated before the shuffle, one row per conversation;
     the join back is left to the adaptive skew join."""
-    clean = turns.select(
-        key, turn, normalize_role(F.col(role)).alias("role"), pystrip(F.col(text)).alias("content")
-    )
+    clean = turns.select(key, turn, normalize_role(role).alias("role"), pystrip(F.col(text)).alias("content"))
     spoken = ~is_blank(F.col("content"))
     valid = (
         clean.groupBy(key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.operators.formats import SKIPPED
-from chatloom.operators.lines import _comment, _empty, line_counts
+from chatloom.operators.lines import is_comment, is_empty, line_counts
 from chatloom.options import DataOptions
 
 
@@ -23,7 +23,7 @@ def text_report(texts: DataFrame, converted: DataFrame, options: DataOptions = D
 
 def lines_report(lines: DataFrame, converted: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """Counters of a line-file scan; ``lines`` is the scan before the line filters."""
-    empty, comment = _empty(F.col("line"), options), _comment(F.col("line"), options)
+    empty, comment = is_empty(F.col("line"), options), is_comment(F.col("line"), options)
     counted = lines.groupBy("source_path").agg(
         F.count(F.lit(1)).alias("raw_lines"),
         F.count_if(empty).alias("skipped_empty"),

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.records import (
+    at,
+    bind,
+    case,
     describe,
     field,
     first_truthy,
@@ -13,11 +16,12 @@ from chatloom.functions.records import (
     is_truthy,
     items,
     js_falsy,
+    lit,
     py_text,
     strict_json,
 )
-from chatloom.functions.text import is_blank, let, pystrip
-from chatloom.operators.messages import MESSAGES, message
+from chatloom.functions.text import is_blank, pystrip
+from chatloom.operators.messages import MESSAGES, message_sql, strip_sql
 
 # The completion budget, the lowest sampling temperature, the reasoning marks.
 DEFAULT_MAX_TOKENS = 256
@@ -54,40 +58,34 @@ def strip_specials(text: Column, specials: tuple[str, ...]) -> Column:
     return pystrip(out)
 
 
+# Texts that count as a whole or as any number.
 _INT_TEXT = r"^[+-]?\d+(_\d+)*$"
 _FLOAT_TEXT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
+_NUMBER_KIND = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
-def _plain(d: Column) -> Column:
-    return F.replace(pystrip(d["text"]), F.lit("_"), F.lit(""))
+def _as_number(value: str, pattern: str, kind: str, through: str) -> str:
+    """A number, a truth value or a number text as ``kind``; anything else is null."""
+    plain = f"replace({strip_sql('d.text')}, '_', '')"
+    number = case(
+        ("d.kind = 'STRING'", case((f"{strip_sql('d.text')} RLIKE {lit(pattern)}", f"try_cast({plain} as {kind})"))),
+        ("d.kind = 'BOOLEAN'", f"cast(d.text = 'True' as {kind})"),
+        (f"d.kind RLIKE {lit(_NUMBER_KIND)}", f"try_cast(try_cast(d.text as {through}) as {kind})"),
+    )
+    return bind(describe(value), "d", number)
 
 
-def _as_int(value: Column) -> Column:
-    """Whole number of a JSON value: number texts count, fractions are cut, others are null."""
-    return let(
-        describe(value),
-        lambda d: F.when(
-            d["kind"] == "STRING", F.when(pystrip(d["text"]).rlike(_INT_TEXT), _plain(d).try_cast("bigint"))
-        )
-        .when(d["kind"] == "BOOLEAN", (d["text"] == "True").cast("bigint"))
-        .when(d["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), d["text"].try_cast("decimal(38,6)").try_cast("bigint")),
-    )
+def _as_int(value: str) -> str:
+    return _as_number(value, _INT_TEXT, "bigint", "decimal(38,6)")
 
 
-def _as_double(value: Column) -> Column:
-    return let(
-        describe(value),
-        lambda d: F.when(
-            d["kind"] == "STRING", F.when(pystrip(d["text"]).rlike(_FLOAT_TEXT), _plain(d).try_cast("double"))
-        )
-        .when(d["kind"] == "BOOLEAN", (d["text"] == "True").cast("double"))
-        .when(d["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), d["text"].try_cast("double")),
-    )
+def _as_double(value: str) -> str:
+    return _as_number(value, _FLOAT_TEXT, "double", "double")
 
 
-def _given(value: Column) -> Column:
+def _given(value: str) -> str:
     """A value that is present and not null."""
-    return value.isNotNull() & ~F.is_variant_null(value)
+    return f"({value} IS NOT NULL AND NOT is_variant_null({value}))"
 
 
 def normalize_request(
@@ -98,48 +96,36 @@ def normalize_request(
     ``payload`` is the body text, ``chat`` says whether it went to the chat endpoint. A body that
     is no JSON object has ``ok = false`` and the defaults.
     """
-    parsed = requests.withColumn("_v", strict_json(F.col(payload)))
-    v = F.col("_v")
-    max_tokens, completion = field(v, "max_tokens"), field(v, "max_completion_tokens")
-    thinking, template = field(v, "enable_thinking"), F.try_variant_get(v, "$.chat_template_kwargs.enable_thinking", "variant")
-    usage = F.try_variant_get(v, "$.stream_options.include_usage", "variant")
-    prompt, listed = field(v, "prompt"), items(field(v, "messages"))
-    prompt_text = F.coalesce(first_truthy(prompt), F.lit(""))
-    first_prompt = F.get(items(prompt), F.lit(0))
-    asked = F.transform(
-        listed,
-        lambda m: message(
-            py_text(field(m, "role"), "None", "user"), py_text(field(m, "content"), "None", "")
-        ),
+    get = lambda key: field("_v", key)
+    budget = case(
+        (_given(get("max_tokens")), _as_int(get("max_tokens"))),
+        (_given(get("max_completion_tokens")), _as_int(get("max_completion_tokens"))),
     )
-    staged = parsed.select(
-        *requests.columns,
-        F.coalesce(is_object(v), F.lit(False)).alias("ok"),
-        F.greatest(
-            F.lit(1).cast("bigint"),
-            F.coalesce(
-                F.when(_given(max_tokens), _as_int(max_tokens)).when(_given(completion), _as_int(completion)),
-                F.lit(DEFAULT_MAX_TOKENS).cast("bigint"),
-            ),
-        ).alias("max_tokens"),
-        F.coalesce(_as_double(field(v, "temperature")), F.lit(0.0)).alias("temperature"),
-        F.when(thinking.isNotNull(), is_truthy(thinking))
-        .when(template.isNotNull(), is_truthy(template))
-        .otherwise(F.lit(default_thinking))
-        .alias("enable_thinking"),
-        F.when(usage.isNotNull(), is_truthy(usage)).otherwise(F.lit(True)).alias("include_usage"),
-        is_truthy(field(v, "stream")).alias("stream"),
-        F.coalesce(first_truthy(field(v, "model")), F.lit(default_model)).alias("model"),
-        F.when(
-            F.col(chat),
-            F.when(F.size(listed) > 0, asked).otherwise(F.array(message(F.lit("user"), prompt_text))),
-        )
-        .cast(MESSAGES)
-        .alias("messages"),
-        F.when(
-            ~F.col(chat), F.when(first_prompt.isNotNull(), py_text(first_prompt, "None", "")).otherwise(prompt_text)
-        ).alias("prompt"),
+    template, usage = at("_v", "$.chat_template_kwargs.enable_thinking"), at("_v", "$.stream_options.include_usage")
+    thinking = case(
+        (f"{get('enable_thinking')} IS NOT NULL", is_truthy(get("enable_thinking"))),
+        (f"{template} IS NOT NULL", is_truthy(template)),
+        otherwise=str(default_thinking).lower(),
     )
+    listed, prompt = items(get("messages")), f"coalesce({first_truthy(get('prompt'))}, '')"
+    asked = message_sql(py_text(field("x", "role"), "None", "user"), py_text(field("x", "content"), "None", ""))
+    messages = case(
+        (f"size({listed}) > 0", f"transform({listed}, x -> {asked})"), otherwise=f"array({message_sql(lit('user'), prompt)})"
+    )
+    first = f"get({items(get('prompt'))}, 0)"
+    columns = {
+        "ok": f"coalesce({is_object('_v')}, false)",
+        "max_tokens": f"greatest(1L, coalesce({budget}, {DEFAULT_MAX_TOKENS}L))",
+        "temperature": f"coalesce({_as_double(get('temperature'))}, 0.0D)",
+        "enable_thinking": thinking,
+        "include_usage": case((f"{usage} IS NOT NULL", is_truthy(usage)), otherwise="true"),
+        "stream": is_truthy(get("stream")),
+        "model": f"coalesce({first_truthy(get('model'))}, {lit(default_model)})",
+        "messages": case((f"`{chat}`", f"cast({messages} as {MESSAGES})")),
+        "prompt": case((f"NOT `{chat}`", case((f"{first} IS NOT NULL", py_text(first, "None", "")), otherwise=prompt))),
+    }
+    parsed = requests.withColumn("_v", F.expr(strict_json(f"`{payload}`")))
+    staged = parsed.select(*requests.columns, *[F.expr(text).alias(name) for name, text in columns.items()])
     sampled = F.col("temperature") > 0
     return staged.withColumn("do_sample", sampled).withColumn(
         "sampling_temperature", F.when(sampled, F.greatest(F.col("temperature"), F.lit(MIN_TEMPERATURE)))
@@ -164,27 +150,25 @@ def parse_responses(responses: DataFrame, body: str = "body", status: str | None
     The text is the first choice's content with its reasoning in front. A failed status gives the
     body's error message, else ``HTTP <status>``; an answer without text is ``empty content``.
     """
-    parsed = responses.withColumn("_v", strict_json(F.col(body)))
-    v = F.col("_v")
-    msg = F.try_variant_get(v, "$.choices[0].message", "variant")
-    text = merge_reasoning_raw(
-        F.coalesce(first_truthy(field(msg, "content"), falsy=js_falsy), F.lit("")),
-        first_truthy(field(msg, "reasoning_content"), field(msg, "reasoning"), falsy=js_falsy),
+    found = responses.withColumn("_v", F.expr(strict_json(f"`{body}`"))).withColumn(
+        "_msg", F.expr(at("_v", "$.choices[0].message"))
+    )
+    read = found.select(
+        *responses.columns,
+        F.expr(first_truthy(field("_msg", "content"), falsy=js_falsy)).alias("_content"),
+        F.expr(first_truthy(field("_msg", "reasoning_content"), field("_msg", "reasoning"), falsy=js_falsy)).alias("_reason"),
+        F.expr(first_truthy(at("_v", "$.error.message"), falsy=js_falsy)).alias("_told"),
     )
     failed = F.lit(False) if status is None else ~F.col(status).between(200, 299)
-    told = first_truthy(F.try_variant_get(v, "$.error.message", "variant"), falsy=js_falsy)
     http = F.lit("HTTP") if status is None else F.concat(F.lit("HTTP "), F.col(status).cast("string"))
-    outcome = let(
-        text,
-        lambda t: F.struct(
-            F.when(~failed & (t != ""), t).alias("text"),
-            F.when(failed, F.coalesce(told, http)).when(t == "", "empty content").alias("error"),
-        ),
+    text = merge_reasoning_raw(F.col("_content"), F.col("_reason"))
+    merged = F.struct(
+        F.when(~failed & (text != ""), text).alias("text"),
+        F.when(failed, F.coalesce("_told", http)).when(text == "", "empty content").alias("error"),
     )
     # A one-row generator keeps a later filter on the outcome from repeating the parse.
-    return (
-        parsed.withColumn("_outcome", F.explode(F.array(outcome)))
-        .select(*responses.columns, F.col("_outcome.text").alias("text"), F.col("_outcome.error").alias("error"))
+    return read.withColumn("_outcome", F.explode(F.array(merged))).select(
+        *responses.columns, F.col("_outcome.text").alias("text"), F.col("_outcome.error").alias("error")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.functions.records import strict_json
+from chatloom.functions.records import at, strict_json
 
 # File names of a snapshot and the problem texts.
 TOKENIZER_FILES = ("tokenizer.json", "tokenizer.model", "vocab.json", "spiece.model", "tokenizer_config.json")
@@ -29,7 +29,7 @@ def _seen(condition: Column) -> Column:
 
 def missing_shards(listing: DataFrame, indexes: DataFrame) -> DataFrame:
     """``model_id, shard``: named in an index (``model_id, raw``) but absent or empty."""
-    weight_map = F.try_variant_get(strict_json(F.col("raw")), "$.weight_map", "map<string,string>")
+    weight_map = F.expr(at(strict_json("raw"), "$.weight_map", "map<string,string>"))
     named = indexes.select("model_id", F.explode(F.map_values(weight_map)).alias("shard")).distinct()
     present = listing.filter("size > 0").select("model_id", F.col("path").alias("shard"))
     return named.join(present, ["model_id", "shard"], "left_anti")
@@ -44,7 +44,7 @@ def index_problems(listing: DataFrame, indexes: DataFrame) -> DataFrame:
     told = named.groupBy("model_id").agg(
         F.concat(F.lit(NO_SHARDS), F.array_join(F.sort_array(F.collect_list("shard")), ", ")).alias("problem")
     )
-    broken = indexes.filter(strict_json(F.col("raw")).isNull()).select("model_id", F.lit(BAD_INDEX).alias("problem"))
+    broken = indexes.filter(F.expr(strict_json("raw")).isNull()).select("model_id", F.lit(BAD_INDEX).alias("problem"))
     return told.unionByName(broken)
 
 

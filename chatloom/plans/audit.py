@@ -66,7 +66,7 @@ def k3_license_from_text(spark, sf_dir):
 )
 def k4_license_from_config(spark, sf_dir):
     configs = fx.cards(spark, sf_dir).filter("file = 'configuration.json'")
-    return configs.select("model_id", gv.license_from_config(F.col("text")).alias("license"))
+    return configs.select("model_id", gv.license_from_config("text").alias("license"))
 
 
 @query(

@@ -299,7 +299,7 @@ def c5_skip_empty_pair(spark, sf_dir):
 def d1_normalize_role(spark, sf_dir):
     turns = fx.load(spark, sf_dir, "conversations").select("conv_id", "turn", messages.message(F.col("role"), F.col("text")).alias("m"))
     spelled = F.upper(fx._respelled(F.col("m"), F.col("turn").cast("int"))["role"])
-    return turns.select("conv_id", "turn", messages.normalize_role(spelled).alias("role"))
+    return turns.withColumn("role", spelled).select("conv_id", "turn", messages.normalize_role("role").alias("role"))
 
 
 FIRST_SYSTEM = "(SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND role = 'system')"
@@ -317,7 +317,7 @@ def d2_with_system(spark, sf_dir):
     found = fx.conversations(spark, sf_dir).withColumn(
         "messages", F.transform("messages", lambda m: messages.message(m["role"], emptied(m)))
     )
-    return flat(found.withColumn("messages", messages.with_system(F.col("messages"), PROMPT)), "conv_id")
+    return flat(found.withColumn("messages", messages.with_system("messages", PROMPT)), "conv_id")
 
 
 @query(
@@ -330,7 +330,7 @@ def d3_drop_empty_messages(spark, sf_dir):
         "messages",
         F.transform("messages", lambda m, i: messages.message(m["role"], F.when(i % 2 == 0, m["content"]).otherwise(" \t"))),
     )
-    return flat(found.withColumn("messages", messages.drop_empty_messages(F.col("messages"))), "conv_id")
+    return flat(found.withColumn("messages", messages.drop_empty_messages("messages")), "conv_id")
 
 
 @query(
@@ -339,7 +339,7 @@ def d3_drop_empty_messages(spark, sf_dir):
     FROM conversations GROUP BY conv_id""",
 )
 def d4_require_user_and_assistant(spark, sf_dir):
-    return fx.conversations(spark, sf_dir).select("conv_id", messages.missing_role(F.col("messages")).alias("reason"))
+    return fx.conversations(spark, sf_dir).select("conv_id", messages.missing_role("messages").alias("reason"))
 
 
 @query(
@@ -355,8 +355,9 @@ def d5_load_system_prompt(spark, sf_dir):
     path = scratch_path(spark, "prompt")
     spark.createDataFrame([(f"\n {PROMPT} \n",)], "value string").coalesce(1).write.text(path)
     prompt = messages.load_system_prompt(spark, path)
-    lead = messages.with_system(F.filter("messages", lambda m: m["role"] != "system"), prompt)
-    return fx.conversations(spark, sf_dir).select("conv_id", F.get(lead, F.lit(0))["content"].alias("prompt"))
+    talk = fx.conversations(spark, sf_dir).withColumn("messages", F.filter("messages", lambda m: m["role"] != "system"))
+    lead = messages.with_system("messages", prompt)
+    return talk.select("conv_id", F.get(lead, F.lit(0))["content"].alias("prompt"))
 
 
 @query(
@@ -537,7 +538,7 @@ def e11_sniff_format(spark, sf_dir):
     FROM sample_rows GROUP BY conv_id""",
 )
 def f1_render_training_text(spark, sf_dir):
-    checked = fx.conversations(spark, sf_dir).withColumn("v", F.explode(F.array(messages.validate(F.col("messages")))))
+    checked = fx.conversations(spark, sf_dir).withColumn("v", F.explode(F.array(messages.validate("messages"))))
     return checked.filter("v.reason is null").select(
         "conv_id",
         F.size("v.messages").cast("bigint").alias("n_messages"),

@@ -157,19 +157,31 @@ def h6_token_f1(spark, sf_dir):
     return one_metric(spark, sf_dir, "token_f1")
 
 
-# One row of the dynamic programme per step; a row is the running maximum of its candidates.
+# ``ends[k + 1]`` is the smallest gold position at which a common subsequence of length k can end.
+# Every prediction token that occurs in gold moves these ends down, all k at once.
 LCS = """
-lcs_rows AS (
-  SELECT conv_id, turn_no, p, g, 0 AS i, j, 0 AS v FROM (SELECT *, unnest(range(0, len(g) + 1)) AS j FROM toks)
+places AS (
+  SELECT conv_id, turn_no, t, list(j ORDER BY j) AS js
+  FROM (SELECT conv_id, turn_no, unnest(g) AS t, generate_subscripts(g, 1) AS j FROM toks) GROUP BY conv_id, turn_no, t
+),
+moves AS (
+  SELECT conv_id, turn_no, js, row_number() OVER (PARTITION BY conv_id, turn_no ORDER BY i) AS step
+  FROM (SELECT conv_id, turn_no, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM toks) JOIN places USING (conv_id, turn_no, t)
+),
+walk AS (
+  SELECT conv_id, turn_no, 0::BIGINT AS step, [0::BIGINT] AS ends FROM toks
   UNION ALL
-  SELECT conv_id, turn_no, p, g, i + 1, j,
-    max(candidate) OVER (PARTITION BY conv_id, turn_no ORDER BY j ROWS UNBOUNDED PRECEDING)
-  FROM (
-    SELECT *, CASE WHEN j > 0 AND g[j] = p[i + 1] THEN lag(v) OVER (PARTITION BY conv_id, turn_no ORDER BY j) + 1 ELSE v END AS candidate
-    FROM lcs_rows WHERE i < len(p)
-  )
+  SELECT w.conv_id, w.turn_no, w.step + 1,
+    [e FOR e IN [0::BIGINT] || [
+      least(coalesce(ends[k], 1000000000), coalesce(list_min([j FOR j IN js IF j > ends[k - 1]]), 1000000000))
+      FOR k IN range(2, len(ends) + 2)
+    ] IF e < 1000000000]
+  FROM walk w JOIN moves m ON m.conv_id = w.conv_id AND m.turn_no = w.turn_no AND m.step = w.step + 1
 ),
-lcs AS (SELECT conv_id, turn_no, p, g, v AS lcs FROM lcs_rows WHERE i = len(p) AND j = len(g))"""
+lcs AS (
+  SELECT conv_id, turn_no, p, g, lcs FROM toks
+  JOIN (SELECT conv_id, turn_no, max(len(ends)) - 1 AS lcs FROM walk GROUP BY conv_id, turn_no) USING (conv_id, turn_no)
+)"""
 
 
 @query("h7_lcs_len", f"WITH RECURSIVE {PREDICTIONS}, {TOKENS}, {LCS} SELECT conv_id, turn_no, lcs FROM lcs")

@@ -106,7 +106,7 @@ def rec_alpaca(spark: SparkSession, sf_dir: str, output: str = "output") -> Data
         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("input"),
         F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias(output),
     )
-    return _records(load(spark, sf_dir, "documents"), "alpaca", "doc_id", F.to_json(record))
+    return _records(spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "alpaca", "doc_id", F.to_json(record))
 
 
 def rec_custom(spark: SparkSession, sf_dir: str, keys: tuple[str, str, str] = ("user", "assistant", "system")) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from chatloom.functions.records import items, strict_json
-from chatloom.functions.text import INNER_BREAK, PY_SPACE, pystrip, splitlines
+from chatloom.functions.records import case, items, strict_json
+from chatloom.functions.text import INNER_BREAK, PY_SPACE, pystrip
 from chatloom.operators import formats
-from chatloom.operators.lines import drop_comment_lines, drop_empty_lines, number_lines
+from chatloom.operators.lines import drop_comment_lines, drop_empty_lines, is_comment, is_empty, number_lines
 from chatloom.options import DROPMALFORMED, DataFormatError, DataOptions
 from chatloom.session import configure
 
@@ -82,23 +82,22 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
         )
         single = F.col("text").rlike(r"^[\[{]")
         # A list yields its elements, anything else itself; a .json file of lines yields its lines.
-        listed = F.coalesce(items(F.col("_v")), F.array("_v"))
-        by_line = F.transform(
-            F.filter(
-                splitlines(F.col("text"), "\r\n|[\n\r]"),
-                lambda x: (pystrip(x) != "") & ~F.startswith(pystrip(x), F.lit(options.comment_prefix)),
-            ),
-            lambda x: strict_json(pystrip(x)),
+        keep = F.filter(F.split("text", "\r\n|[\n\r]"), lambda x: ~_left_out(x, options))
+        staged = texts.select(
+            "source_path",
+            single.alias("_single"),
+            F.when(single, F.expr(strict_json("text"))).alias("_v"),
+            F.when(~single, F.transform(keep, pystrip)).alias("_lines"),
         )
-        found = F.when(F.col("text") == "", F.array().cast("array<variant>")).when(single, listed).otherwise(by_line)
+        by_line = f"transform(_lines, x -> {strict_json('x')})"
+        found = F.expr(case(("_single", f"coalesce({items('_v')}, array(_v))"), otherwise=by_line))
         frames.append(
-            texts.withColumn("_v", F.when(single, strict_json(F.col("text"))))
-            .select("source_path", F.posexplode(found).alias("record_no", "record"))
+            staged.select("source_path", F.posexplode(found).alias("record_no", "record"))
             .select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record")
         )
     if line_files is not None:
         lined = scan_jsonl(spark, path, options).filter(~F.lower("source_path").endswith(".json"))
-        frames.append(lined.select("source_path", "record_no", strict_json(F.col("raw")).alias("record")))
+        frames.append(lined.select("source_path", "record_no", F.expr(strict_json("raw")).alias("record")))
     if not frames:
         raise DataFormatError(f"Training data not found: {path}")
     first, *rest = frames
@@ -107,6 +106,10 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
     return first
 
 
+def _left_out(line: Column, options: DataOptions) -> Column:
+    return is_empty(line, options) | is_comment(line, options)
+
+
 def _exists(spark: SparkSession, path: str, glob: str, skip: str | None = None) -> DataFrame | None:
     """Whole-file reader over the matching files, or None when there is none."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)

@@ -238,7 +238,7 @@ def test_strict_json(spark):
     rows = ['{"a":1} x', '{"a":1}', '{"a":1,"a":2}', "[1,2]", "1, 2", "1] , [2", " 3 ", "NaN", "", "nul", '"@@chatloom:end@@"',
             '"@@chatloom:end@@"] x', '{"a":"@@chatloom:end@@"}']
     frame = spark.createDataFrame([(r,) for r in rows], "raw string")
-    got = {r.raw: r.j for r in frame.select("raw", F.to_json(strict_json(F.col("raw"))).alias("j")).collect()}
+    got = {r.raw: r.j for r in frame.select("raw", F.to_json(F.expr(strict_json("raw"))).alias("j")).collect()}
     want = {}
     for raw in rows:
         try:
@@ -307,6 +307,6 @@ def test_turn_table_cleaning_equals_array_cleaning(spark):
     long_form = sorted((r.conv_id, r.role, r.content) for r in valid_turns(turns).collect())
     from chatloom.operators.messages import validate
 
-    arrays = samples_from_turns(turns).select("conv_id", validate(F.col("messages")).alias("v"))
+    arrays = samples_from_turns(turns).select("conv_id", validate("messages").alias("v"))
     array_form = sorted((r.conv_id, m.role, m.content) for r in arrays.collect() if r.v.reason is None for m in r.v.messages)
     assert long_form == array_form and {r[0] for r in array_form} == {1, 5}
