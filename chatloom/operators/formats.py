@@ -235,19 +235,21 @@ def _pairs_converted(pairs: DataFrame, options: DataOptions) -> DataFrame:
     """Validity of (user, assistant) pairs; both halves are already stripped."""
     reason = case(
         ("user = '' OR assistant = ''", "'empty_pair'"),
-        ("NOT (is_valid_utf8(user) AND is_valid_utf8(assistant))", "'bad_encoding'"),
+        ("NOT utf8_ok", "'bad_encoding'"),
     )
-    return _finish(pairs, _pair("user", "assistant"), reason, options).drop("user", "assistant")
+    return _finish(pairs, _pair("user", "assistant"), reason, options).drop("user", "assistant", "utf8_ok")
 
 
 def from_text(texts: DataFrame, options: DataOptions = DataOptions(), text: str = "text") -> DataFrame:
     """Paired lines of texts held in a column: everything happens inside the row, no shuffle."""
-    pairs = texts.withColumn("_pair", F.explode(pair_array(content_lines(F.col(text), options))))
+    checked = texts.withColumn("_ok", F.is_valid_utf8(F.col(text)))
+    pairs = checked.withColumn("_pair", F.explode(pair_array(content_lines(F.col(text), options))))
     flat = pairs.select(
         *[c for c in texts.columns if c != text],
         F.col("_pair.pair_no").alias("record_no"),
         F.col("_pair.user").alias("user"),
         F.col("_pair.assistant").alias("assistant"),
+        F.col("_ok").alias("utf8_ok"),
     )
     return _pairs_converted(flat, options)
 

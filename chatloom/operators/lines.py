@@ -88,15 +88,21 @@ def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
     of those counts is the number at which a split starts. The counts are written to the shared
     folder, and broadcast only if they are few; otherwise they are joined by shuffle on the split,
     which no single file can overload.
+
+    Both passes must cut the files alike (``session.configure`` pins what that depends on). A row
+    whose place does not fit the counted split fails the job instead of getting a wrong number.
     """
     keys = ["source_path", "block_start"]
     tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
     splits = settle(tagged.groupBy(*keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows")))
     before = W.partitionBy("source_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
-    starts = splits.select(*keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    starts = splits.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     if splits.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    return tagged.join(starts, keys).withColumn(name, F.col("_base") + F.col("_mid")).drop("_mid", "_base")
+    place = F.col("_mid") - F.col("_first")
+    changed = F.raise_error(F.lit("the file splits changed between two passes over the lines")).cast("bigint")
+    number = F.when((place >= 0) & (place < F.col("_rows")), F.col("_base") + place).otherwise(changed)
+    return tagged.join(starts, keys, "left").withColumn(name, number).drop("_mid", "_first", "_rows", "_base")
 
 
 def pair_lines(content: DataFrame) -> DataFrame:
@@ -105,16 +111,19 @@ def pair_lines(content: DataFrame) -> DataFrame:
     ``content`` is a file scan with ``source_path, block_start, line`` after the line filters.
     The odd last line of a file comes out with a null assistant.
     """
-    numbered = number_lines(content, "_n").withColumn("_block", F.floor(F.col("_n") / PAIR_BLOCK))
-    ahead = F.lead("line").over(W.partitionBy("source_path", "_block").orderBy("_n"))
+    numbered = number_lines(content, "_n").withColumn("_block", F.expr(f"_n div {PAIR_BLOCK}"))
+    block = W.partitionBy("source_path", "_block").orderBy("_n")
+    readable = F.col("utf8_ok") if "utf8_ok" in content.columns else F.lit(True)
     return (
-        numbered.withColumn("_next", ahead)
-        .filter(F.col("_n") % 2 == 0)
+        numbered.withColumn("_next", F.lead("line").over(block))
+        .withColumn("_ok", readable & F.coalesce(F.lead(readable).over(block), F.lit(True)))
+        .filter("_n % 2 = 0")
         .select(
             "source_path",
-            (F.col("_n") / 2).cast("bigint").alias("pair_no"),
+            F.expr("_n div 2").alias("pair_no"),
             pystrip(F.col("line")).alias("user"),
             pystrip(F.col("_next")).alias("assistant"),
+            F.col("_ok").alias("utf8_ok"),
         )
     )
 

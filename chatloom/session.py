@@ -14,10 +14,14 @@ BROADCAST_ROWS = 500_000
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime settings the operators rely on.
 
-    JSON objects may repeat a key (the last one wins), and timestamps are UTC.
+    JSON objects may repeat a key (the last one wins), and timestamps are UTC. Where files are cut
+    depends on the number of cores, which executors coming and going would change in the middle of
+    a job that reads its files twice; the number seen first is kept for the session.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     return spark
 
 
