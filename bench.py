@@ -27,6 +27,7 @@ HEADLINE = (
     "e6_from_catalog",
     "e8_import_chatml",
     "f1_render_training_text",
+    "f1_render_turns",
     "g1_split_records",
     "h2_attach_predictions",
     "h6_token_f1",

@@ -92,17 +92,24 @@ def number_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
     Both passes must cut the files alike (``session.configure`` pins what that depends on). A row
     whose place does not fit the counted split fails the job instead of getting a wrong number.
     """
+    return _numbered(lines).withColumnRenamed("_n", name).drop("_file")
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Adds ``_n``, the number, and ``_file``, a short key of the file."""
     keys = ["source_path", "block_start"]
     tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
     splits = settle(tagged.groupBy(*keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows")))
     before = W.partitionBy("source_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
-    starts = splits.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    starts = splits.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn(
+        "_file", F.min("_first").over(W.partitionBy("source_path"))
+    )
     if splits.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     place = F.col("_mid") - F.col("_first")
     changed = F.raise_error(F.lit("the file splits changed between two passes over the lines")).cast("bigint")
     number = F.when((place >= 0) & (place < F.col("_rows")), F.col("_base") + place).otherwise(changed)
-    return tagged.join(starts, keys, "left").withColumn(name, number).drop("_mid", "_first", "_rows", "_base")
+    return tagged.join(starts, keys, "left").withColumn("_n", number).drop("_mid", "_first", "_rows", "_base")
 
 
 def pair_lines(content: DataFrame) -> DataFrame:
@@ -111,8 +118,8 @@ def pair_lines(content: DataFrame) -> DataFrame:
     ``content`` is a file scan with ``source_path, block_start, line`` after the line filters.
     The odd last line of a file comes out with a null assistant.
     """
-    numbered = number_lines(content, "_n").withColumn("_block", F.expr(f"_n div {PAIR_BLOCK}"))
-    block = W.partitionBy("source_path", "_block").orderBy("_n")
+    numbered = _numbered(content).withColumn("_block", F.expr(f"_n div {PAIR_BLOCK}"))
+    block = W.partitionBy("_file", "_block").orderBy("_n")
     readable = F.col("utf8_ok") if "utf8_ok" in content.columns else F.lit(True)
     return (
         numbered.withColumn("_next", F.lead("line").over(block))

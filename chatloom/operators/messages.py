@@ -6,11 +6,12 @@ Arguments are SQL expression texts, usually a column name; ``*_sql`` give text f
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from chatloom.functions.records import bind, case, lit
-from chatloom.functions.text import PY_SPACE, is_blank, pystrip
+from chatloom.functions.text import PY_SPACE, pystrip
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -130,22 +131,54 @@ def samples_from_turns(
     )
 
 
+# Turn numbers per block: what is grouped or joined by conversation and block stays bounded,
+# however long a conversation is.
+TURN_BLOCK = 1024
+
+
+def clean_turns(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """``key, block, turn, role, content, spoken``: one row per turn, no shuffle."""
+    clean = turns.select(
+        key,
+        F.expr(f"`{turn}` div {TURN_BLOCK}").alias("block"),
+        turn,
+        normalize_role(role).alias("role"),
+        pystrip(F.col(text)).alias("content"),
+    )
+    return clean.withColumn("spoken", F.coalesce("content", F.lit("")) != "")
+
+
+def valid_blocks(clean: DataFrame, key: str, turn: str) -> DataFrame:
+    """``key, block, last_turn`` of the valid conversations.
+
+    Turns are counted into one small row per block before the shuffle; only those rows meet per
+    conversation. Joins on (key, block) therefore need no care for a conversation that holds a
+    large part of all turns.
+    """
+    said = lambda role: F.bool_or(F.col("spoken") & (F.col("role") == role))
+    blocks = clean.groupBy(key, "block").agg(
+        F.bool_and(F.col("role").isNotNull()).alias("_known"),
+        said("user").alias("_user"),
+        said("assistant").alias("_assistant"),
+        F.max(F.when(F.col("spoken"), F.col(turn))).alias("_last"),
+    )
+    whole = W.partitionBy(key)
+    judged = blocks.select(
+        key,
+        "block",
+        (F.bool_and("_known").over(whole) & F.bool_or("_user").over(whole) & F.bool_or("_assistant").over(whole)).alias("_ok"),
+        F.max("_last").over(whole).alias("last_turn"),
+    )
+    return judged.filter("_ok").drop("_ok")
+
+
 def valid_turns(
     turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """The same cleaning on the turn table: no array is built, so a conversation of any length
-    stays spread over tasks. Flags are pre-aggregated before the shuffle, one row per conversation;
-    the join back is left to the adaptive skew join."""
-    clean = turns.select(key, turn, normalize_role(role).alias("role"), pystrip(F.col(text)).alias("content"))
-    spoken = ~is_blank(F.col("content"))
-    valid = (
-        clean.groupBy(key)
-        .agg(
-            F.bool_and(F.col("role").isNotNull()).alias("_known"),
-            F.bool_or(spoken & (F.col("role") == "user")).alias("_user"),
-            F.bool_or(spoken & (F.col("role") == "assistant")).alias("_assistant"),
-        )
-        .filter("_known and _user and _assistant")
-        .select(key)
-    )
-    return clean.filter(spoken).join(valid, key, "left_semi")
+    """``key, turn, role, content``: the clean messages of the valid conversations, as turns.
+
+    No array is built, so a conversation of any length stays spread over tasks.
+    """
+    clean = clean_turns(turns, key, turn, role, text)
+    spoken = clean.filter("spoken").drop("spoken")
+    return spoken.join(valid_blocks(clean, key, turn), [key, "block"]).drop("block", "last_turn")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import JS_SPACE, jstrim
+from chatloom.operators.messages import clean_turns, valid_blocks
 
 # Turn markers and the label of an untitled sample.
 TURN_OPEN, TURN_CLOSE = "<|im_start|>", "<|im_end|>"
@@ -47,6 +48,32 @@ def sample_title(messages: Column, number: Column) -> Column:
     return F.when(title != "", title).otherwise(F.concat(F.lit(UNTITLED + " "), number.cast("string")))
 
 
+def render_turns(
+    turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """``key, part, n_messages, text``: training text of the valid conversations of a turn table.
+
+    A conversation is rendered in parts of 1024 turn numbers, so no group grows with its
+    conversation; the parts in order, put together, are its training text. All but overlong
+    conversations are one part. The texts are shuffled once, by (key, part), and joined to the
+    verdict on their conversation in that same partitioning.
+    """
+    clean = clean_turns(turns, key, turn, role, text)
+    fragment = F.concat(F.lit(TURN_OPEN), F.col("role"), F.lit("\n"), F.col("content"), F.lit(TURN_CLOSE + "\n"))
+    parts = (
+        clean.filter("spoken")
+        .groupBy(key, "block")
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(turn), fragment.alias("f")))).alias("_p"), F.max(turn).alias("_end"))
+    )
+    opened = F.when(F.col("_end") == F.col("last_turn"), f"{TURN_OPEN}assistant\n").otherwise("")
+    return parts.join(valid_blocks(clean, key, turn), [key, "block"]).select(
+        key,
+        F.col("block").alias("part"),
+        F.size("_p").cast("bigint").alias("n_messages"),
+        F.concat(F.array_join(F.transform("_p", lambda p: p["f"]), ""), opened).alias("text"),
+    )
+
+
 def sample_stats(samples: DataFrame) -> DataFrame:
     """How many samples have how many messages."""
     sizes = samples.select(F.size("messages").cast("bigint").alias("messages"))

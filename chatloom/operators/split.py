@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.session import settle
+
 # Hex digits of the hash that one refinement step looks at: at most 65,536 counts.
 _DIGITS = 4
 # Rows of the boundary bucket that are few enough to rank at once.
@@ -22,15 +24,21 @@ def split_hash(sample_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), sample_id.cast("string")))
 
 
-def split_records(samples: DataFrame, eval_split: float, seed: int, key: str = "sample_id") -> DataFrame:
+def split_records(
+    samples: DataFrame, eval_split: float, seed: int, key: str = "sample_id", settled: bool = True
+) -> DataFrame:
     """Add ``split`` (``train`` or ``eval``): the ``k`` smallest ``(md5, key)`` are held out.
 
     ``key`` must be unique. The boundary is found from histograms of hash digits, refined inside
     the boundary bucket until that is small; only the key column is read for it, each step counts
     before it shuffles, and at most 65,536 counts come back. The split itself is then one
     comparison per row: no join, sort or shuffle of the samples.
+
+    With ``settled=False`` the samples are costly to compute: their hashes are then written to the
+    shared folder first, so that the histograms do not compute them again and again.
     """
-    boundary = _boundary(samples.select(split_hash(F.col(key), seed).alias("h"), F.col(key).alias("k")), eval_split)
+    ranked = samples.select(split_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    boundary = _boundary(ranked if settled else settle(ranked), eval_split)
     if boundary is None:
         return samples.withColumn("split", F.lit("train"))
     digest, last_key = boundary

@@ -546,6 +546,17 @@ def f1_render_training_text(spark, sf_dir):
     )
 
 
+@query(
+    "f1_render_turns",
+    f"""WITH {CLEAN_TURNS}
+    SELECT conv_id, 0::BIGINT AS part, max(n) + 1 AS n_messages,
+      string_agg({CHATML.format(text="content")}, chr(10) ORDER BY n) || chr(10) || '<|im_start|>assistant' || chr(10) AS text
+    FROM sample_rows GROUP BY conv_id""",
+)
+def f1_render_turns(spark, sf_dir):
+    return render.render_turns(fx.load(spark, sf_dir, "conversations"))
+
+
 @query(
     "f2_render_chatml",
     f"SELECT conv_id, string_agg({CHATML.format(text='text')}, chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id",

@@ -38,7 +38,7 @@ def g1_split_records(spark, sf_dir):
 def g1_split_samples(spark, sf_dir):
     ids = formats.samples(formats.from_messages_jsonl(fx.rec_messages(spark, sf_dir)))
     found = ids.select((F.col("record_no") / 10).cast("bigint").alias("conv_id"))
-    return split.split_records(found, EVAL_SPLIT, SEED, "conv_id")
+    return split.split_records(found, EVAL_SPLIT, SEED, "conv_id", settled=False)
 
 
 @query(

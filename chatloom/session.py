@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A frame is broadcast only after its row count was taken and found below this.
 BROADCAST_ROWS = 500_000
+ARROW_ROWS = 1_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -16,10 +17,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
     JSON objects may repeat a key (the last one wins), and timestamps are UTC. Where files are cut
     depends on the number of cores, which executors coming and going would change in the middle of
-    a job that reads its files twice; the number seen first is kept for the session.
+    a job that reads its files twice; the number seen first is kept for the session. Batches sent
+    to Python workers are kept small, since one row may hold two long token arrays.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     return spark

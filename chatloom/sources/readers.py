@@ -60,9 +60,15 @@ def scan_lines(spark: SparkSession, path: str, options: DataOptions = DataOption
     return rows.withColumn("line", F.explode(F.split("line", INNER_BREAK))) if inner else rows
 
 
-def scan_jsonl(spark: SparkSession, path: str, options: DataOptions = DataOptions()) -> DataFrame:
-    """``source_path, record_no, raw`` of JSON Lines; blank and comment lines are left out."""
+def scan_jsonl(spark: SparkSession, path: str, options: DataOptions = DataOptions(), skip: str | None = None) -> DataFrame:
+    """``source_path, record_no, raw`` of JSON Lines; blank and comment lines are left out.
+
+    Files whose lower-cased name ends in ``skip`` are not read.
+    """
     lines = scan_lines(spark, path, options, inner=False)
+    if skip:
+        # A predicate on the file path alone: the files are dropped when the scan is planned.
+        lines = lines.filter(~F.endswith(F.lower("source_path"), F.lit(skip)))
     content = drop_comment_lines(drop_empty_lines(lines, options), options)
     return number_lines(content, "record_no").select("source_path", "record_no", pystrip(F.col("line")).alias("raw"))
 
@@ -73,48 +79,25 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
     A ``.json`` file that opens with a bracket is one JSON value, so it is read as one row; a list
     gives many records. Corpora too large for that belong in JSON Lines, which are split freely.
     """
-    whole_files = _exists(spark, path, "*.json")
-    line_files = _exists(spark, path, "*", skip="*.json")
-    frames = []
-    if whole_files is not None:
-        texts = whole_files.select(
-            F.col("_metadata.file_path").alias("source_path"), pystrip(F.col("value")).alias("text")
-        )
-        single = F.col("text").rlike(r"^[\[{]")
-        # A list yields its elements, anything else itself; a .json file of lines yields its lines.
-        keep = F.filter(F.split("text", "\r\n|[\n\r]"), lambda x: ~_left_out(x, options))
-        staged = texts.select(
-            "source_path",
-            single.alias("_single"),
-            F.when(single, F.expr(strict_json("text"))).alias("_v"),
-            F.when(~single, F.transform(keep, pystrip)).alias("_lines"),
-        )
-        by_line = f"transform(_lines, x -> {strict_json('x')})"
-        found = F.expr(case(("_single", f"coalesce({items('_v')}, array(_v))"), otherwise=by_line))
-        frames.append(
-            staged.select("source_path", F.posexplode(found).alias("record_no", "record"))
-            .select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record")
-        )
-    if line_files is not None:
-        lined = scan_jsonl(spark, path, options).filter(~F.lower("source_path").endswith(".json"))
-        frames.append(lined.select("source_path", "record_no", F.expr(strict_json("raw")).alias("record")))
-    if not frames:
-        raise DataFormatError(f"Training data not found: {path}")
-    first, *rest = frames
-    for frame in rest:
-        first = first.unionByName(frame)
-    return first
-
-
-def _left_out(line: Column, options: DataOptions) -> Column:
-    return is_empty(line, options) | is_comment(line, options)
-
-
-def _exists(spark: SparkSession, path: str, glob: str, skip: str | None = None) -> DataFrame | None:
-    """Whole-file reader over the matching files, or None when there is none."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
-    names = [f for f in files.inputFiles() if skip is None or not f.lower().endswith(skip.lstrip("*"))]
-    return files if names else None
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]", recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("source_path"), pystrip(F.col("value")).alias("text")
+    )
+    single = F.col("text").rlike(r"^[\[{]")
+    keep = F.filter(F.split("text", "\r\n|[\n\r]"), lambda x: ~(is_empty(x, options) | is_comment(x, options)))
+    staged = texts.select(
+        "source_path",
+        single.alias("_single"),
+        F.when(single, F.expr(strict_json("text"))).alias("_v"),
+        F.when(~single, F.transform(keep, pystrip)).alias("_lines"),
+    )
+    # A list yields its elements, anything else itself; a .json file of lines yields its lines.
+    by_line = f"transform(_lines, x -> {strict_json('x')})"
+    found = F.expr(case(("_single", f"coalesce({items('_v')}, array(_v))"), otherwise=by_line))
+    whole = staged.select("source_path", F.posexplode(found).alias("record_no", "record"))
+    lined = scan_jsonl(spark, path, options, skip=".json")
+    return whole.select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record").unionByName(
+        lined.select("source_path", "record_no", F.expr(strict_json("raw")).alias("record"))
+    )
 
 
 def scan_catalog(df: DataFrame, split: str | None = None, split_column: str = "split") -> DataFrame:

@@ -144,6 +144,19 @@ def test_renderings(spark):
     assert [r.title for r in got] == ["hi there", "样本 7"]
 
 
+def test_long_conversations_are_rendered_in_parts(spark, monkeypatch):
+    from chatloom.operators import messages
+
+    monkeypatch.setattr(messages, "TURN_BLOCK", 3)
+    rows = [(1, t, "user" if t % 2 else "bot", f" m{t} " if t != 9 else " ") for t in range(10)] + [(2, 0, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = render.render_turns(turns).orderBy("conv_id", "part").collect()
+    assert [(p.part, p.n_messages) for p in parts] == [(0, 3), (1, 3), (2, 3)]
+    chat = [("user" if t % 2 else "assistant", f"m{t}") for t in range(9)]
+    whole = spark.createDataFrame([(chat,)], MSG).select(render.render_training_text(F.col("messages"))).first()[0]
+    assert "".join(p.text for p in parts) == whole
+
+
 def test_pair_export_does_not_resync(spark):
     chat = [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", " "), ("system", "s"), ("user", "d"), ("assistant", " e ")]
     frame = spark.createDataFrame([(1, chat), (2, [("user", "u"), ("system", "x"), ("assistant", "v")])], f"id int, {MSG}")

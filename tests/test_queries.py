@@ -44,7 +44,7 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["conv_id", "n_messages", "text"]
+    assert entry.entry(spark).columns == ["conv_id", "part", "n_messages", "text"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
