@@ -78,14 +78,19 @@ def a4_load_corpus(spark, sf_dir):
     return flat(readers.load_corpus(spark, path, "jsonl"))
 
 
+CARD_NAMES = ", ".join(lit(f) for f in readers.CARD_FILES)
+
+
 @query(
     "a5_scan_model_cards",
-    f"WITH {fx.CARDS} SELECT model_id::VARCHAR AS model_id, file, text || '�' AS text FROM cards WHERE file = 'LICENSE'",
+    f"SELECT doc_id::VARCHAR AS model_id, ([{CARD_NAMES}])[doc_id % 5 + 1] AS file, text || chr(65533) AS text FROM documents",
 )
 def a5_scan_model_cards(spark, sf_dir):
-    found = fx.cards(spark, sf_dir).filter("file in ('LICENSE', 'NOTES.md')")
-    path = F.concat_ws("/", F.lit("file:/models"), F.col("model_id").cast("string"), "file")
-    files = found.select(path.alias("path"), F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))).alias("content"))
+    names = F.array(*[F.lit(f) for f in readers.CARD_FILES])
+    name = F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat_ws("/", F.lit("file:/models"), F.col("doc_id").cast("string"), name)
+    content = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))
+    files = fx.load(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
     return readers.card_rows(files)
 
 
@@ -123,23 +128,21 @@ def b2_write_raw(spark, sf_dir):
 
 
 def editor_samples(spark, sf_dir) -> DataFrame:
-    """Conversations where the text of every turn number 1 is blank and odd ones start blank."""
-    blank = F.lit(" 　\n")
-    return fx.conversations(spark, sf_dir).withColumn(
-        "messages",
-        F.transform(
-            "messages",
-            lambda m, i: messages.message(
-                m["role"], F.when((i == 1) & (F.col("conv_id") % 3 == 0), blank).otherwise(m["content"])
-            ),
-        ),
+    """Conversations with a blank message behind the first one; some open with one more user
+    message, which shifts their pairs."""
+    conv, talk = F.col("conv_id"), F.col("messages")
+    blank = F.array(messages.message(F.lit("assistant"), F.lit(" \u3000\n")))
+    again = F.when(conv % 3 == 0, F.array(messages.message(F.lit("user"), F.lit("again")))).otherwise(
+        F.array().cast(messages.MESSAGES)
     )
+    rest = F.slice(talk, F.lit(2), F.greatest(F.size(talk) - 1, F.lit(0)))
+    return fx.conversations(spark, sf_dir).withColumn("messages", F.concat(again, F.slice(talk, 1, 1), blank, rest))
 
 
-EDITOR = f"""
+EDITOR = """
 spoken AS (
   SELECT conv_id, turn, role, text FROM conversations
-  WHERE NOT (turn = 1 AND conv_id % 3 = 0) AND {jstrip("text")} <> ''
+  UNION ALL SELECT DISTINCT conv_id, -1, 'user', 'again' FROM conversations WHERE conv_id % 3 = 0
 )"""
 
 
@@ -322,14 +325,12 @@ def d2_with_system(spark, sf_dir):
 
 @query(
     "d3_drop_empty_messages",
-    f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, role, {strip("text")} AS content
-    FROM conversations WHERE turn % 2 = 0 AND {strip("text")} <> ''""",
+    f"SELECT conv_id, turn AS n, role, {strip('text')} AS content FROM conversations",
 )
 def d3_drop_empty_messages(spark, sf_dir):
-    found = fx.conversations(spark, sf_dir).withColumn(
-        "messages",
-        F.transform("messages", lambda m, i: messages.message(m["role"], F.when(i % 2 == 0, m["content"]).otherwise(" \t"))),
-    )
+    blank = messages.message(F.lit(" GPT "), F.lit(" \t\u3000"))
+    doubled = F.flatten(F.transform("messages", lambda m: F.array(blank, m)))
+    found = fx.conversations(spark, sf_dir).withColumn("messages", doubled)
     return flat(found.withColumn("messages", messages.drop_empty_messages("messages")), "conv_id")
 
 
@@ -586,12 +587,11 @@ def f3_render_prompt(spark, sf_dir):
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN cut USING (conv_id)""",
 )
 def f4_sample_title(spark, sf_dir):
-    blanked = F.transform(
-        "messages",
-        lambda m: messages.message(m["role"], F.when(F.col("conv_id") % 5 == 0, F.lit(" ")).otherwise(m["content"])),
-    )
+    # Some conversations open with a blank user message.
+    blank = F.array(messages.message(F.lit("user"), F.lit(" ")))
+    opened = F.when(F.col("conv_id") % 5 == 0, F.concat(blank, "messages")).otherwise(F.col("messages"))
     return fx.conversations(spark, sf_dir).select(
-        "conv_id", render.sample_title(blanked, F.col("conv_id") + 1).alias("title")
+        "conv_id", render.sample_title(opened, F.col("conv_id") + 1).alias("title")
     )
 
 

@@ -144,13 +144,14 @@ def chatml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, turn_no, pred``: the turn before, or the gold text; some turns have none."""
+    """``conv_id, turn_no, pred``: the turn before, or the gold text; some are null."""
     turns = load(spark, sf_dir, "conversations")
     gold = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("turn_no"), F.col("text").alias("gold"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn_no"), F.col("text").alias("before"))
     mark = F.col("conv_id") + F.col("turn_no")
-    pred = F.when(mark % 3 == 0, F.col("gold")).otherwise(F.col("before"))
-    return gold.join(before, ["conv_id", "turn_no"], "left").filter(mark % 7 != 0).select("conv_id", "turn_no", pred.alias("pred"))
+    pred = F.when(mark % 7 == 0, F.lit(None).cast("string")).when(mark % 3 == 0, F.col("gold")).otherwise(F.col("before"))
+    # An inner join: a turn that has none before it gets no prediction row.
+    return gold.join(before, ["conv_id", "turn_no"]).select("conv_id", "turn_no", pred.alias("pred"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,18 +180,29 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completion bodies around assistant texts: some with reasoning, empty, or failed."""
+    """Completion bodies around assistant texts, some with reasoning: ``conv_id, turn, attempt,
+    status, body``. Attempt 0 carries the text; some have further attempts, empty or failed."""
     conv, turn = F.col("conv_id"), F.col("turn")
-    content = F.when(conv % 11 == 0, F.lit("")).when(conv % 5 == 0, F.concat(F.lit("<think> old </think>"), F.col("text"))).otherwise(F.col("text"))
+    content = F.when(conv % 5 == 0, F.concat(F.lit("<think> old </think>"), F.col("text"))).otherwise(F.col("text"))
     reasoning = F.when((conv + turn) % 2 == 0, F.lit(" plan "))
-    choice = F.struct(F.struct(F.lit("assistant").alias("role"), content.alias("content"), reasoning.alias("reasoning_content")).alias("message"))
-    body = F.to_json(F.struct(F.array(choice).alias("choices")))
-    status = F.when(conv % 13 == 12, F.lit(503)).when(conv % 13 == 11, F.lit(400)).otherwise(F.lit(200))
-    told = F.when(conv % 13 == 11, F.lit('{"error":{"message":"bad request"}}')).when(conv % 13 == 12, F.lit("busy"))
+
+    def body(text: Column, reason: Column) -> Column:
+        message = F.struct(F.lit("assistant").alias("role"), text.alias("content"), reason.alias("reasoning_content"))
+        return F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")))
+
+    attempts = [
+        (200, body(content, reasoning)),
+        (200, F.when(conv % 11 == 0, body(F.lit(""), F.lit(None).cast("string")))),
+        (503, F.when(conv % 13 == 12, F.lit("busy"))),
+        (400, F.when(conv % 13 == 11, F.lit('{"error":{"message":"bad request"}}'))),
+    ]
+    tried = F.array(*[F.struct(F.lit(i).alias("attempt"), F.lit(c).alias("status"), b.alias("body")) for i, (c, b) in enumerate(attempts)])
     return (
         load(spark, sf_dir, "conversations")
         .filter("role = 'assistant'")
-        .select("conv_id", "turn", status.alias("status"), F.coalesce(told, body).alias("body"))
+        .select("conv_id", "turn", F.explode(tried).alias("a"))
+        .filter("a.body is not null")
+        .select("conv_id", "turn", "a.attempt", "a.status", "a.body")
     )
 
 

@@ -103,26 +103,23 @@ def i5_usage_rollup(spark, sf_dir):
 
 RESPONSES = """
 answered AS (
-  SELECT conv_id, turn, conv_id % 13 AS fate, CASE WHEN conv_id % 11 = 0 THEN '' WHEN conv_id % 5 = 0 THEN '<think> old </think>' || text ELSE text END AS content,
-    (conv_id + turn) % 2 = 0 AS reasoned
+  SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '<think> old </think>' || text ELSE text END AS content, (conv_id + turn) % 2 = 0 AS reasoned
   FROM conversations WHERE role = 'assistant'
 ),
-parsed AS (
-  SELECT conv_id, turn, fate,
-    CASE WHEN reasoned AND NOT contains(content, '<think>') THEN '<think> plan </think>' || content ELSE content END AS text
-  FROM answered
-),
 outcome AS (
-  SELECT conv_id, turn, CASE WHEN fate < 11 AND text <> '' THEN text END AS text,
-    CASE WHEN fate = 11 THEN 'bad request' WHEN fate = 12 THEN 'HTTP 503' WHEN text = '' THEN 'empty content' END AS error
-  FROM parsed
+  SELECT conv_id, turn, 0 AS attempt,
+    CASE WHEN reasoned AND NOT contains(content, '<think>') THEN '<think> plan </think>' || content ELSE content END AS text, NULL AS error
+  FROM answered
+  UNION ALL SELECT conv_id, turn, 1, NULL, 'empty content' FROM answered WHERE conv_id % 11 = 0
+  UNION ALL SELECT conv_id, turn, 2, NULL, 'HTTP 503' FROM answered WHERE conv_id % 13 = 12
+  UNION ALL SELECT conv_id, turn, 3, NULL, 'bad request' FROM answered WHERE conv_id % 13 = 11
 )"""
 
 
-@query("i6_parse_responses", f"WITH {RESPONSES} SELECT conv_id, turn, text, error FROM outcome")
+@query("i6_parse_responses", f"WITH {RESPONSES} SELECT conv_id, turn, attempt, text, error FROM outcome")
 def i6_parse_responses(spark, sf_dir):
     found = rs.parse_responses(fx.responses(spark, sf_dir), status="status")
-    return found.select("conv_id", "turn", "text", "error")
+    return found.select("conv_id", "turn", "attempt", "text", "error")
 
 
 ASSEMBLED = f"""WITH {fx.CHUNKS}
@@ -176,11 +173,12 @@ def j2_build_eval_batch(spark, sf_dir):
 @query(
     "j3_build_prompt_requests",
     f"""SELECT p_partkey, {lit(drafting.PROMPT_WRITER)} AS system, {lit(drafting.TOPIC_PREFIX)} || p_name || {lit(drafting.COUNT_PREFIX + "8")} AS user,
-      0.9::DOUBLE AS temperature, 1024 AS max_tokens FROM part WHERE p_size % 10 <> 0""",
+      0.9::DOUBLE AS temperature, 1024 AS max_tokens FROM part""",
 )
 def j3_build_prompt_requests(spark, sf_dir):
-    topic = F.when(F.col("p_size") % 10 == 0, " ").otherwise(F.concat(F.col("p_name"), F.lit(" ")))
-    topics = fx.load(spark, sf_dir, "part").select("p_partkey", topic.alias("topic"))
+    # Every part's name, and a blank topic behind it.
+    named = F.array(F.concat(F.col("p_name"), F.lit(" ")), F.lit(" "))
+    topics = fx.load(spark, sf_dir, "part").select("p_partkey", F.explode(named).alias("topic"))
     body = F.from_json("body", "messages array<struct<content:string>>, temperature double, max_tokens int")
     found = drafting.build_prompt_requests(topics, "m").select("p_partkey", body.alias("b"))
     return found.select(

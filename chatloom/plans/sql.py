@@ -43,12 +43,12 @@ sample_rows AS (
   FROM clean JOIN valid USING (conv_id) WHERE content <> ''
 )"""
 
-# Predictions for the assistant turns: the turn before, or the gold text itself, or none at all.
+# Predictions for the assistant turns: the turn before, or the gold text itself, or none.
 PREDICTIONS = """
 gold AS (SELECT conv_id, turn AS turn_no, text AS gold FROM conversations WHERE role = 'assistant'),
 pairs AS (
   SELECT g.conv_id, g.turn_no, g.gold,
-    CASE WHEN (g.conv_id + g.turn_no) % 7 = 0 THEN ''
+    CASE WHEN (g.conv_id + g.turn_no) % 7 = 0 OR p.conv_id IS NULL THEN ''
          WHEN (g.conv_id + g.turn_no) % 3 = 0 THEN g.gold
          ELSE coalesce(p.text, '') END AS pred
   FROM gold g LEFT JOIN conversations p ON p.conv_id = g.conv_id AND p.turn = g.turn_no - 1
