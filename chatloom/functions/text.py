@@ -59,9 +59,3 @@ def splitlines(text: Column, pattern: str = LINE_BREAK) -> Column:
         F.split(text, pattern),
         lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a),
     )
-
-
-def truthy_text(*candidates: Column) -> Column:
-    """First candidate that is neither null nor empty, else the empty text."""
-    picked = [F.when(c != "", c) for c in candidates]
-    return F.coalesce(*picked, F.lit(""))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import js_blank, jstrim
-from chatloom.operators.formats import rejects, samples
 from chatloom.operators.render import render_chatml
 from chatloom.options import DataFormatError
 
@@ -96,7 +95,3 @@ def write_eval_report(summary: DataFrame, folder: str, name: str | None = None,
     text = F.to_json(F.struct(*summary.columns), {"pretty": "true", "ignoreNullFields": "false"})
     summary.select(text.alias("value")).coalesce(1).write.mode(mode).text(path)
     return path
-
-
-def split_outcome(converted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return samples(converted), rejects(converted)

@@ -310,3 +310,14 @@ def test_turn_table_cleaning_equals_array_cleaning(spark):
     arrays = samples_from_turns(turns).select("conv_id", validate("messages").alias("v"))
     array_form = sorted((r.conv_id, m.role, m.content) for r in arrays.collect() if r.v.reason is None for m in r.v.messages)
     assert long_form == array_form and {r[0] for r in array_form} == {1, 5}
+
+
+def test_registered_format(spark):
+    def shouted(records, options):
+        return formats.from_alpaca(records.withColumn("raw", F.lower("raw")), options)
+
+    formats.register_format("Shout", shouted)
+    raw = '{"INSTRUCTION":"Q","OUTPUT":"A"}'
+    frame = spark.createDataFrame([("f", 0, raw)], "source_path string, record_no long, raw string")
+    assert [m.content for m in formats.samples(formats.convert(frame, "SHOUT")).first().messages] == ["q", "a"]
+    assert "shout" in formats.format_names()

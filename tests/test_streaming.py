@@ -86,3 +86,17 @@ def test_follow_logs(spark, tmp_path):
     assert sorted(r.line for r in spark.read.parquet(out).collect()) == ["api-key *** boom", "old line", "partial"]
     later = ls.follow_logs(spark.read.text(str(folder)).select(F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("file_time")), (), since="2999-01-01")
     assert later.count() == 0
+
+
+def test_converters_run_on_streams(spark, tmp_path):
+    from chatloom.operators import formats
+
+    (tmp_path / "in").mkdir()
+    good = '{"messages":[{"role":"human","content":"q"},{"role":"bot","content":"a"}]}'
+    (tmp_path / "in" / "1.jsonl").write_text(good + "\n{\n")
+    raw = spark.readStream.text(str(tmp_path / "in")).select(F.lit("s").alias("source_path"), F.col("value").alias("raw"))
+    converted = formats.from_catalog(raw)
+    out = str(tmp_path / "out")
+    cs.run_available(converted.drop("raw"), out, str(tmp_path / "ckpt"))
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.reason or "", r.messages and [m.role for m in r.messages]) for r in rows) == [("", ["user", "assistant"]), ("invalid_json", None)]
