@@ -5,13 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatloom.llm import quality
+from chatloom.llm import line_dedup, mixing, packing, quality, tensored
 from chatloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE vocabulary of the packing queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_pairwise_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+        "partners",
+    )
+
+
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates over all documents."""
+    return tensored.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes of every document."""
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the language references for every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -29,6 +64,10 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pairwise_alignment": op1_pairwise_alignment,
+    "op5_tensored_minhash": op5_tensored_minhash,
+    "op8_dominance_packing": op8_dominance_packing,
+    "op9_pivotal_mixing": op9_pivotal_mixing,
     "op10_distribution_divergence": op10_distribution_divergence,
 }
 
