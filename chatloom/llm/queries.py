@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import line_dedup, mixing, packing, quality, tensored
+from chatloom.llm import (
+    licences,
+    line_dedup,
+    mixing,
+    packing,
+    ppm,
+    quality,
+    spotsigs,
+    template,
+    tensored,
+    zipwarc,
+)
 from chatloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +43,38 @@ def op1_pairwise_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of every document and of its edited text."""
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return template.extracted(table(spark, sf_dir, "pages"))
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families found in the paragraphs of every document."""
+    return licences.licence_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_paragraphs", "family", "probability", "likeness", "families", "unknown_paragraphs"
+    )
+
+
 def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates over all documents."""
     return tensored.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a byte trie and under single words."""
+    return ppm.scored(table(spark, sf_dir, "documents"))
+
+
+def op7_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web archives in ZIP packages and read back."""
+    return zipwarc.archived(table(spark, sf_dir, "pages"))
+
+
 def op8_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -64,11 +102,19 @@ def op10_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_pairwise_alignment": op1_pairwise_alignment,
-    "op5_tensored_minhash": op5_tensored_minhash,
-    "op8_dominance_packing": op8_dominance_packing,
-    "op9_pivotal_mixing": op9_pivotal_mixing,
-    "op10_distribution_divergence": op10_distribution_divergence,
+    f.__name__: f
+    for f in (
+        op1_pairwise_alignment,
+        op2_spotsigs,
+        op3_template_deduction,
+        op4_licence_scan,
+        op5_tensored_minhash,
+        op6_ppm,
+        op7_zip_archives,
+        op8_dominance_packing,
+        op9_pivotal_mixing,
+        op10_distribution_divergence,
+    )
 }
 
 # None of the ten can be said whole in SQL; tests/llm compares each with a brute-force version.
