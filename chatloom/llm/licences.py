@@ -173,7 +173,7 @@ def trained(background: list[str], rounds: int = 300, decay: float = 1e-4) -> Cl
 
 def template_likeness(text: str, family: str) -> float:
     """Largest share of pairs of words that a paragraph and a template of the family have in common,
-    of the shorter one's pairs; at least half of the longer one's words must not be foreign."""
+    of the shorter one's pairs."""
     own = {g for g in grams(text) if " " in g}
     best = 0.0
     for template in TEMPLATES.get(family, ()):

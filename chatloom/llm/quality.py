@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import pieces, with_arrow
+from chatloom.llm.common import landed, pieces, with_arrow
 
 CLASSES = 8  # lower case, upper case, other letters and marks, digits, white space, punctuation, symbols, rest
 SYMBOLS = "#*$%&|<>"
@@ -264,7 +264,9 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), references: DataFrame
     documents, or a text under the minimum lengths: base rules only. Repeated rows are judged each
     alike. An empty table gives an empty result. Columns of `docs` named like a result are replaced.
     """
-    known = collected(language_references(docs, rules) if references is None else references, rules)
+    if references is None:
+        references = landed(language_references(docs, rules), "references")
+    known = collected(references, rules)
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def judge(texts: list, langs: list) -> list:
