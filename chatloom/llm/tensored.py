@@ -80,7 +80,9 @@ def _rest(unsettled: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
     Two sets with the similarity share a shingle among the first n - ceil(s * n) + 1 of each, in one
     order of all shingles; the order is rarest first, so groups stay small. Pairs already in one
-    component are left out, as are shingles that one component has to itself.
+    component are left out, as are shingles that one component has to itself, and pairs whose first
+    shared shingle comes too late: the first one shared has the whole intersection behind it, so
+    at that place nothing is lost.
     """
     sets = shingles.join(unsettled, "id").select("id", "component", "shingles", F.size("shingles").alias("n"))
     token = sets.select("id", "component", "n", F.explode("shingles").alias("token"))
@@ -94,13 +96,21 @@ def _rest(unsettled: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     )
     prefix = F.expr(f"slice(t, 1, n - cast(ceil({percent} * n / 100) as int) + 1)")
     first = (
-        ranked.select("id", "component", "n", F.explode(prefix).alias("t"))
+        ranked.select("id", "component", "n", F.posexplode(prefix).alias("at", "t"))
         .where("t.mixed")
-        .select("id", "component", "n", F.col("t.token").alias("token"))
+        .select("id", "component", "n", "at", F.col("t.token").alias("token"))
+    )
+    a, b = (
+        first.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "at")]) for side in "ab"
+    )
+    a, b = a.withColumnRenamed("id_a", "a"), b.withColumnRenamed("id_b", "b")
+    # What can still be shared from the places of this shingle on must reach the similarity.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    near = (
+        (F.col("component_a") < F.col("component_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
     )
-    a = first.select("token", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = first.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return a.join(b, "token").where(near).select("a", "b").distinct()
 
 
