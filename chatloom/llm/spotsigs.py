@@ -180,7 +180,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     order = landed(following(ids.drop("many"), blocks), "order")
     giving = order.select(F.col("next_k").alias("k"), F.col("k").alias("to"), F.expr("n div 2").cast("int").alias("need"))
     given = keyed.join(giving, "k").select(
-        "to", F.expr("left(text, need)").alias("fill"), signatures(F.col("text")).alias("next_sigs")
+        "to",
+        F.col("doc_id").alias("next_doc_id"),  # both sides of the join so read the same shuffled columns
+        F.expr("left(text, need)").alias("fill"),
+        signatures(F.col("text")).alias("next_sigs"),
     )
     if repeated:
         given = given.dropDuplicates(["to"])
@@ -188,9 +191,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.col("fill"))
     return (
         keyed.join(given, F.col("k") == F.col("to"))
-        .select("doc_id", n.cast("long").alias("n_chars"), signatures(F.col("text")).alias("sigs"), edited.alias("edited"), "next_sigs")
+        .select(
+            keyed.doc_id,
+            "next_doc_id",
+            n.cast("long").alias("n_chars"),
+            signatures(F.col("text")).alias("sigs"),
+            edited.alias("edited"),
+            "next_sigs",
+        )
         .select(
             "doc_id",
+            "next_doc_id",
             "n_chars",
             F.sha2("edited", 256).alias("edited_sha256"),
             "sigs",
@@ -206,5 +217,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
             likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
             length_class(F.col("sigs")).alias("length_class"),
+            "next_doc_id",
         )
     )
