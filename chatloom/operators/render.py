@@ -51,27 +51,30 @@ def sample_title(messages: Column, number: Column) -> Column:
 def render_turns(
     turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """``key, part, n_messages, text``: training text of the valid conversations of a turn table.
+    """``key, n_messages, text``: training text of the valid conversations of a turn table.
 
-    A conversation is rendered in parts of 1024 turn numbers, so no group grows with its
-    conversation; the parts in order, put together, are its training text. All but overlong
-    conversations are one part. The texts are shuffled once, by (key, part), and joined to the
-    verdict on their conversation in that same partitioning.
+    Turns are first put together per block of turn numbers, so one conversation may hold a large
+    part of all turns; then the texts of its blocks, one row each, are put together in order. Only
+    the result row grows with its conversation, which it is.
     """
     clean = clean_turns(turns, key, turn, role, text)
     fragment = F.concat(F.lit(TURN_OPEN), F.col("role"), F.lit("\n"), F.col("content"), F.lit(TURN_CLOSE + "\n"))
-    parts = (
+    blocks = (
         clean.filter("spoken")
         .groupBy(key, "block")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(turn), fragment.alias("f")))).alias("_p"), F.max(turn).alias("_end"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(turn), fragment.alias("f")))).alias("_p"))
+        .join(valid_blocks(clean, key, turn), [key, "block"])
+        .select(
+            key,
+            F.size("_p").alias("_n"),
+            F.struct("block", F.array_join(F.transform("_p", lambda p: p["f"]), "").alias("f")).alias("_b"),
+        )
     )
-    opened = F.when(F.col("_end") == F.col("last_turn"), f"{TURN_OPEN}assistant\n").otherwise("")
-    return parts.join(valid_blocks(clean, key, turn), [key, "block"]).select(
-        key,
-        F.col("block").alias("part"),
-        F.size("_p").cast("bigint").alias("n_messages"),
-        F.concat(F.array_join(F.transform("_p", lambda p: p["f"]), ""), opened).alias("text"),
+    whole = blocks.groupBy(key).agg(
+        F.sum("_n").cast("bigint").alias("n_messages"), F.sort_array(F.collect_list("_b")).alias("_b")
     )
+    texts = F.array_join(F.transform("_b", lambda b: b["f"]), "")
+    return whole.select(key, "n_messages", F.concat(texts, F.lit(f"{TURN_OPEN}assistant\n")).alias("text"))
 
 
 def sample_stats(samples: DataFrame) -> DataFrame:

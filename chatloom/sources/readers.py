@@ -147,11 +147,12 @@ def load_corpus(
     if catalog_root is None:
         raise DataFormatError(f"No landed rows for {raw}: catalog_root is not set")
     landed = spark.read.parquet(f"{catalog_root.rstrip('/')}/{raw}")
+    # A row is known by its file and its place there, however files are cut into tasks.
+    if "record_no" not in landed.columns:
+        landed = landed.withColumn("record_no", F.col("_metadata.row_index"))
+    if "source_path" not in landed.columns:
+        landed = landed.withColumn("source_path", F.concat(F.lit(raw + "/"), F.col("_metadata.file_name")))
     rows = scan_catalog(landed, split)
-    if "record_no" not in rows.columns:
-        rows = rows.withColumn("record_no", F.monotonically_increasing_id())
-    if "source_path" not in rows.columns:
-        rows = rows.withColumn("source_path", F.lit(raw))
     return formats.require_samples(formats.samples(formats.from_catalog(rows, options)), raw)
 
 

@@ -144,17 +144,19 @@ def test_renderings(spark):
     assert [r.title for r in got] == ["hi there", "样本 7"]
 
 
-def test_long_conversations_are_rendered_in_parts(spark, monkeypatch):
-    from chatloom.operators import messages
-
-    monkeypatch.setattr(messages, "TURN_BLOCK", 3)
-    rows = [(1, t, "user" if t % 2 else "bot", f" m{t} " if t != 9 else " ") for t in range(10)] + [(2, 0, "user", "q")]
+def test_conversations_of_any_length_are_one_text(spark):
+    rows = [(1, t, "user" if t % 2 else "bot", f" m{t} " if t != 9 else " ") for t in range(5000)] + [(2, 0, "user", "q")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = render.render_turns(turns).orderBy("conv_id", "part").collect()
-    assert [(p.part, p.n_messages) for p in parts] == [(0, 3), (1, 3), (2, 3)]
-    chat = [("user" if t % 2 else "assistant", f"m{t}") for t in range(9)]
+    (got,) = render.render_turns(turns).collect()
+    chat = [("user" if t % 2 else "assistant", f"m{t}") for t in range(5000) if t != 9]
     whole = spark.createDataFrame([(chat,)], MSG).select(render.render_training_text(F.col("messages"))).first()[0]
-    assert "".join(p.text for p in parts) == whole
+    assert (got.conv_id, got.n_messages, got.text) == (1, 4999, whole)
+
+
+def test_thousands_of_secrets(spark):
+    secrets = tuple(f"sk-{i}" for i in range(5000)) + ("a+b", "c\\d")
+    frame = spark.createDataFrame([("x sk-4999 sk-49 a+b c\\d aab",)], "t string")
+    assert frame.select(gv.redact_literal(F.col("t"), secrets)).first()[0] == "x *** *** *** *** aab"
 
 
 def test_pair_export_does_not_resync(spark):
