@@ -136,30 +136,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from each id of the links: (id, component).
 
     Labels travel along the links and along the star of each label, so that chains shorten by
-    half or more in a round; every round is landed in the shared folder. Nothing is collected but
-    one count a round.
+    half or more in a round; every round is landed in the shared folder. What a round joins by label
+    is landed first, so that the rows of one large component are split over tasks. Nothing is
+    collected but one count a round.
     """
     edges = landed(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "links")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = landed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     while True:
-        near = (
+        near = landed(
             both.join(labels, both.b == labels.id)
             .select(F.col("a").alias("id"), "component")
             .union(labels.select("id", "component"))
             .groupBy("id")
-            .agg(F.min("component").alias("component"))
+            .agg(F.min("component").alias("component")),
+            "near",
         )
         # A label's own label: the smallest that any id carrying the old label has now seen.
-        seen = (
+        seen = landed(
             near.join(labels.withColumnRenamed("component", "old"), "id")
-            .groupBy(F.col("old").alias("id"))
+            .groupBy(F.col("old").alias("component"))
             .agg(F.min("component").alias("jump"))
+            .where("jump < component"),
+            "seen",
         )
-        jumped = (
-            near.join(seen.withColumnRenamed("id", "component"), "component", "left")
-            .select("id", F.least("component", "jump").alias("component"))
-        )
+        jumped = near.join(seen, "component", "left").select("id", F.least("component", "jump").alias("component"))
         after = landed(jumped, "labels")
         changed = after.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old")
         if changed.isEmpty():

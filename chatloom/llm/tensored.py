@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "signatures",
     )
     known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id"))
+    # Landed, so that the rows of one text that many documents have are split over tasks.
+    classes = landed(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("id")), "class-ids")
     copies = known.join(classes, ["n_shingles", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     copies = landed(copies.where("a <> b").distinct(), "copies")
     sets = landed(
