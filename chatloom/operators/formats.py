@@ -174,6 +174,12 @@ def from_custom(records: DataFrame, options: DataOptions = DataOptions()) -> Dat
     return _finish(_parsed(records), bind(_custom(options), "f", _CUSTOM_MESSAGES), _NOT_OBJECT, options)
 
 
+def catalog_columns(options: DataOptions = DataOptions()) -> tuple[str, ...]:
+    """The keys of a catalogue row that from_catalog looks at."""
+    own = (options.custom_system_key, options.custom_user_key, options.custom_assistant_key)
+    return ("messages", "conversations", "instruction", "input", "output", "response", *own)
+
+
 def from_catalog(records: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
     """Rows of a dataset catalogue, each row's layout detected on its own."""
 

@@ -91,20 +91,23 @@ def a5_scan_model_cards(spark, sf_dir):
     path = F.concat_ws("/", F.lit("file:/models"), F.col("doc_id").cast("string"), name)
     content = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))
     files = fx.load(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
-    return readers.card_rows(files)
+    return readers.card_rows(files, "/models")
 
 
 @query(
     "a8_scan_listing",
-    f"WITH {fx.LISTING} SELECT replace(model_id, '/', '#') AS model_id, path, size, mtime FROM listing",
+    """SELECT 'brand=' || replace(p_brand, '#', '-') || '/kind=' || (p_size % 4) AS model_id, 'txt' AS suffix,
+      sum(coalesce(strlen(p_name), 0) + 1)::BIGINT AS size FROM part GROUP BY ALL""",
 )
 def a8_scan_listing(spark, sf_dir):
-    files = fx.listing(spark, sf_dir).select(
-        F.concat_ws("/", F.lit("file:/models"), F.replace("model_id", F.lit("/"), F.lit("#")), "path").alias("path"),
-        F.col("size").alias("length"),
-        F.col("mtime").alias("modificationTime"),
+    part = fx.load(spark, sf_dir, "part").select(
+        F.replace("p_brand", F.lit("#"), F.lit("-")).alias("brand"), (F.col("p_size") % 4).alias("kind"), F.col("p_name").alias("value")
     )
-    return readers.listing_rows(files, "/models")
+    root = scratch_path(spark, "models")
+    part.write.partitionBy("brand", "kind").text(root)
+    # A model has as many files as tasks met it, so the files are summed.
+    found = readers.scan_listing(spark, root, depth=2)
+    return found.groupBy("model_id", F.substring_index("path", ".", -1).alias("suffix")).agg(F.sum("size").alias("size"))
 
 
 # --- sinks ---------------------------------------------------------------------------------

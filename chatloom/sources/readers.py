@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -25,6 +28,8 @@ _WHOLE_FILE = {"utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE
 # The files a license is looked up in.
 CARD_FILES = ("README.md", "LICENSE", "license", "LICENSE.txt", "configuration.json")
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
 
 def _decoded(raw: Column, encoding: str) -> Column:
     charset = _LINE_SAFE[encoding]
@@ -100,14 +105,20 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
     )
 
 
-def scan_catalog(df: DataFrame, split: str | None = None, split_column: str = "split") -> DataFrame:
-    """Rows of a landed dataset as variant records; ``split`` prunes partitions."""
+def scan_catalog(
+    df: DataFrame, split: str | None = None, split_column: str = "split", probed: Collection[str] | None = None
+) -> DataFrame:
+    """Rows of a landed dataset as variant records; ``split`` prunes partitions.
+
+    With ``probed`` only these columns are packed into the records, and so only they are read.
+    """
     rows = df
     if split_column in df.columns:
         rows = (df.filter(F.col(split_column) == split) if split is not None else df).drop(split_column)
     keys = [c for c in ("sample_id", "source_path", "record_no") if c in rows.columns]
-    fields = [c for c in rows.columns if c not in keys]
-    return rows.select(*keys, F.to_variant_object(F.struct(*fields)).alias("record"))
+    fields = [c for c in rows.columns if c not in keys and (probed is None or c in probed)]
+    packed = F.to_variant_object(F.struct(*fields)) if fields else F.parse_json(F.lit("{}"))
+    return rows.select(*keys, packed.alias("record"))
 
 
 def looks_like_hub_id(value: str) -> bool:
@@ -152,42 +163,61 @@ def load_corpus(
         landed = landed.withColumn("record_no", F.col("_metadata.row_index"))
     if "source_path" not in landed.columns:
         landed = landed.withColumn("source_path", F.concat(F.lit(raw + "/"), F.col("_metadata.file_name")))
-    rows = scan_catalog(landed, split)
+    rows = scan_catalog(landed, split, probed=formats.catalog_columns(options))
     return formats.require_samples(formats.samples(formats.from_catalog(rows, options)), raw)
 
 
-def scan_model_cards(spark: SparkSession, root: str) -> DataFrame:
-    """``model_id, file, text`` of the card files below a root; bad bytes become U+FFFD."""
+def _below(root: str, depth: int) -> tuple[Column, Column]:
+    """``model_id, path`` of the file in column ``path``: the first ``depth`` folders below the root
+    name the model, the rest is the path in it. Both are null outside the root and above the models.
+
+    The root is cut off as a prefix, without scheme and host, which Spark may write in other ways.
+    """
+    bare = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    if not bare.startswith("/"):
+        raise DataFormatError(f"root must be an absolute path: {root}")
+    if depth < 1:
+        raise DataFormatError("depth must be 1 or more")
+    path = F.regexp_replace("path", _SCHEME, "")
+    parts = F.split(F.when(F.startswith(path, F.lit(bare)), F.substr(path, F.lit(len(bare) + 1))), "/")
+    deep = F.when(F.size(parts) > depth, parts)
+    model = F.array_join(F.slice(deep, 1, depth), "/")
+    return model, F.array_join(F.slice(deep, depth + 1, F.greatest(F.size(deep), F.lit(1))), "/")
+
+
+def scan_model_cards(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """``model_id, file, text`` of the card files in the model folders, which lie ``depth`` folders
+    below an absolute root; deeper files are no cards. Bad bytes become U+FFFD."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "{" + ",".join(CARD_FILES) + "}")
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    return card_rows(files)
+    return card_rows(files, root, depth)
 
 
-def card_rows(files: DataFrame) -> DataFrame:
+def card_rows(files: DataFrame, root: str, depth: int = 1) -> DataFrame:
     """Card rows of binary files (``path, content``)."""
-    parts = F.split("path", "/")
-    found = files.select(F.element_at(parts, -2).alias("model_id"), F.element_at(parts, -1).alias("file"), "content")
+    model, file = _below(root, depth)
+    found = files.select(model.alias("model_id"), file.alias("file"), "content")
     return found.filter(F.col("file").isin(*CARD_FILES)).select(
         "model_id", "file", F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )
 
 
-def scan_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``model_id, path, size, mtime`` below a root, one folder per model; contents are not read."""
-    return listing_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+def scan_listing(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
+    """``model_id, path, size, mtime`` of the files in model folders, named as by scan_model_cards;
+    contents are not read."""
+    return listing_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, depth)
 
 
-def listing_rows(files: DataFrame, root: str) -> DataFrame:
-    """Listing rows of ``path, length, modificationTime``: the first folder below root is the model."""
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    inside = F.substring_index(F.col("path"), base + "/", -1)
+def listing_rows(files: DataFrame, root: str, depth: int = 1) -> DataFrame:
+    """Listing rows of ``path, length, modificationTime``."""
+    model, inner = _below(root, depth)
     return files.select(
-        F.substring_index(inside, "/", 1).alias("model_id"),
-        F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
+        model.alias("model_id"),
+        inner.alias("path"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"),
-    )
+    ).filter("model_id is not null")

@@ -15,25 +15,27 @@ SEPARATORS = [chr(c) for c in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x202
 SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace()]
 
 
-def model_pairs(text, options=DataOptions()):
-    kept = []
-    for raw in text.splitlines():
-        line = raw.strip()
-        if options.skip_empty_lines and not line:
-            continue
-        if options.skip_comment_lines and line.startswith(options.comment_prefix):
-            continue
-        kept.append(line)
-    pairs = [(kept[i], kept[i + 1]) for i in range(0, len(kept) - 1, 2)]
-    return [p for p in pairs if all(p)], len(kept) % 2
-
-
 def random_text(rng, n):
-    out = []
+    """A text, and what each of its lines was made as: ("blank" | "comment" | "line", content)."""
+    made, out, end = [], [], ""
     for i in range(n):
-        line = rng.choice(["", " ", "# note", "  #x", f"line {i} é{rng.choice(SPACES[:12])}", f"　w{i}"])
-        out.append(line + rng.choice(["\n", "\n", "\n", "\r\n", "\r"] + SEPARATORS))
-    return "".join(out) + "end\n"
+        kind = rng.choice(["blank", "comment", "line", "line"])
+        content = {"blank": "", "comment": f"#{i}", "line": rng.choice([f"line {i} é", f"w{i}"])}[kind]
+        left, right = rng.choice(["", " ", "\u3000"]), rng.choice(["", " ", "\t", "\xa0", "\x1f"])
+        if end == "\r" and not left + content + right:
+            left = " "  # a line feed after a carriage return would end no line of its own
+        end = rng.choice(["\n", "\n", "\n", "\r\n", "\r"] + SEPARATORS)
+        out.append(left + content + right + end)
+        made.append((kind, content))
+    return "".join(out) + "end\n", [*made, ("line", "end")]
+
+
+def made_pairs(made, options=DataOptions()):
+    """The pairs that a text made by random_text must give, and how many lines stay unpaired."""
+    gone = {"blank"} if options.skip_empty_lines else set()
+    gone |= {"comment"} if options.skip_comment_lines and options.comment_prefix == "#" else set()
+    kept = [content for kind, content in made if kind not in gone]
+    return [(u, a) for u, a in zip(kept[::2], kept[1::2]) if u and a], len(kept) % 2
 
 
 @pytest.fixture()
@@ -54,24 +56,24 @@ def test_pairing_over_many_splits(spark, tmp_path, small_splits, options):
     rng = random.Random(3)
     texts = {f"f{i}.txt": random_text(rng, n) for i, n in enumerate((900, 301, 2, 50))}
     for name, text in texts.items():
-        (tmp_path / name).write_bytes(text.encode())
+        (tmp_path / name).write_bytes(text[0].encode())
     scan = readers.scan_lines(spark, str(tmp_path), options)
     assert scan.select("source_path", "block_start").distinct().count() >= 10
     converted = formats.convert(scan, "Default", options)
     got = {}
     for r in formats.samples(converted).orderBy("source_path", "record_no").collect():
         got.setdefault(r.source_path.rsplit("/", 1)[-1], []).append(tuple(m.content for m in r.messages))
-    for name, text in texts.items():
-        assert got.get(name, []) == model_pairs(text, options)[0], name
+    for name, (_, made) in texts.items():
+        assert got.get(name, []) == made_pairs(made, options)[0], name
 
     counters = {r.source_path.rsplit("/", 1)[-1]: r for r in report.lines_report(scan, converted, options).collect()}
-    for name, text in texts.items():
-        raw = text.splitlines()
-        assert counters[name].raw_lines == len(raw)
-        assert counters[name].dropped_unpaired == model_pairs(text, options)[1]
-        assert counters[name].samples == len(model_pairs(text, options)[0])
+    for name, (_, made) in texts.items():
+        pairs, unpaired = made_pairs(made, options)
+        assert counters[name].raw_lines == len(made)
+        assert counters[name].dropped_unpaired == unpaired
+        assert counters[name].samples == len(pairs)
         if options.skip_empty_lines:
-            assert counters[name].skipped_empty == sum(not x.strip() for x in raw)
+            assert counters[name].skipped_empty == sum(kind == "blank" for kind, _ in made)
         assert counters[name].utf8_ok
 
 
@@ -104,11 +106,11 @@ def test_no_single_task_exchange_in_pairing(spark, tmp_path):
 def test_text_column_follows_the_same_rules(spark):
     rng = random.Random(5)
     texts = {f"d{i}": random_text(rng, rng.randint(0, 40)) for i in range(200)}
-    frame = spark.createDataFrame(list(texts.items()), "source_path string, text string")
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "source_path string, text string")
     got = {}
     for r in formats.samples(formats.from_text(frame)).orderBy("source_path", "record_no").collect():
         got.setdefault(r.source_path, []).append(tuple(m.content for m in r.messages))
-    assert got == {k: model_pairs(v)[0] for k, v in texts.items() if model_pairs(v)[0]}
+    assert got == {k: made_pairs(made)[0] for k, (_, made) in texts.items() if made_pairs(made)[0]}
 
 
 def test_strip_and_line_rules(spark):
@@ -180,6 +182,30 @@ def test_cards_and_listing(spark, tmp_path):
     assert listing == {("m1", "README.md", 22), ("m1", "sub/w.bin", 3)}
 
 
+def test_models_of_two_owners_keep_apart(spark, tmp_path):
+    root = tmp_path / "models"
+    for name in ("org1/m/README.md", "org2/m/README.md", "org2/m/onnx/README.md", "org2/submodels/y.bin", "org2/README.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    for spelled in (str(root), f"file://{root}/", f"file:{root}"):
+        cards = {(c.model_id, c.text) for c in readers.scan_model_cards(spark, spelled, depth=2).collect()}
+        assert cards == {("org1/m", "org1/m/README.md"), ("org2/m", "org2/m/README.md")}
+        listing = {(r.model_id, r.path) for r in readers.scan_listing(spark, spelled, depth=2).collect()}
+        assert listing == {("org1/m", "README.md"), ("org2/m", "README.md"), ("org2/m", "onnx/README.md"), ("org2/submodels", "y.bin")}
+    nested = spark.createDataFrame([("file:/models/x/submodels/y.bin", 1, None)], "path string, length long, modificationTime timestamp")
+    assert [(r.model_id, r.path) for r in readers.listing_rows(nested, "/models").collect()] == [("x", "submodels/y.bin")]
+    with pytest.raises(DataFormatError):
+        readers.listing_rows(nested, "models")
+
+
+def test_catalog_reads_probed_columns_only(spark, tmp_path):
+    spark.createDataFrame([("q", "a", "long")], "instruction string, output string, notes string").write.parquet(str(tmp_path / "own" / "c"))
+    found = readers.load_corpus(spark, "own/c", "catalog", catalog_root=str(tmp_path))
+    assert [[m.content for m in r.messages] for r in found.collect()] == [["q", "a"]]
+    schema = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x).split("ReadSchema")[1]
+    assert "instruction" in schema and "notes" not in schema
+
+
 def test_sinks(spark, tmp_path):
     records = spark.createDataFrame([("f", 0, json.dumps(sample("é x"))), ("f", 1, "{")], "source_path string, record_no long, raw string")
     converted = formats.from_messages_jsonl(records)
