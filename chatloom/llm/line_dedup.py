@@ -118,11 +118,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("l"),
     ).select("doc_id", "text_key", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
     each = each.where(F.col("words") >= RARE_WORDS)
-    seeds = (
+    # Landed, so that the rows of one very common line are split over tasks.
+    seeds = landed(
         each.groupBy("line")
         .agg(F.count("*").alias("texts"), F.max("words").alias("words"), F.min(F.struct("doc_id", "text_key")).alias("o"))
         .where((F.col("texts") > 1) & ((F.col("texts") <= RARE_TEXTS) | (F.col("words") >= LONG_WORDS)))
-        .select("line", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key"))
+        .select("line", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key")),
+        "seeds",
     )
     pairs = (
         each.join(seeds, "line")
