@@ -91,11 +91,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = landed(
         keyed.groupBy("text_key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")), "texts"
     )
-    copies = keyed.join(first, "text_key").where("doc_id <> owner")
-    copies = copies.select(
+    # Repeated rows are merged before the join, so that no aggregate keeps the copies of a text together.
+    copies = keyed.select("doc_id", "text_key", F.size(lines).alias("n")).distinct().join(first, "text_key")
+    copies = copies.where("doc_id <> owner").select(
         "doc_id",
         "text_key",
-        F.sequence(F.lit(0), F.size(lines) - 1).alias("removed"),
+        F.sequence(F.lit(0), F.col("n") - 1).alias("removed"),
         F.col("owner").alias("partner"),
     )
     owners = first.select(F.col("owner").alias("doc_id"), "text_key")
@@ -146,7 +147,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", "removed", F.col("owner").alias("partner"))
     )
     return (
-        aligned.unionByName(copies.dropDuplicates(["doc_id", "text_key"]))
+        aligned.unionByName(copies)
         .groupBy("doc_id", "text_key")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"),
