@@ -8,15 +8,15 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import landed, word_hashes
 
 ORDER = 5  # bytes of the longest context
-# Bounds of what is sent to workers: nodes of the trie per order, and words with a count at hand.
-# A larger trie keeps the nodes with the highest counts; words beyond are joined, not dropped.
-NODES, WORDS = 1 << 21, 1 << 17
+# Bounds of what is sent to workers: bytes with their context, and words, those met most often.
+# The model holds all of them: what is not sent meets its value in a join.
+GRAMS, WORDS = 1 << 21, 1 << 17
 # Bytes that UTF-8 never has: before a text, and after it.
 PAD, END = 0xFE, 0xFF
 _PADDING = bytes([PAD]) * ORDER
@@ -79,13 +79,14 @@ class _Tally:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over all of `docs`: kind 0 word hashes, 1 bytes with their context, 2 documents.
+    """(kind, key, n) of `docs` with text and held_out: of the rows trained on, kind 0 word hashes,
+    1 bytes with their context, 2 documents; of the rows held out, 3 bytes with their context.
 
     Every task sums what it reads before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, texts = _Tally(), _Tally(), 0
+        tallies, texts = {0: _Tally(), 1: _Tally(), 3: _Tally()}, 0
 
         def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -94,51 +95,116 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            column = batch.column(0).to_pylist()
-            texts += len(column)
-            for text in column:
-                words.add(word_hashes(text))
-            for data, owner in _segments([_lower(t) for t in column]):
-                grams.add(_keys(data)[owner >= 0])
-            for kind, tally in enumerate((words, grams)):
+            parts: dict[int, list[bytes]] = {1: [], 3: []}
+            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts[3 if held else 1].append(_lower(text))
+                if not held:
+                    texts += 1
+                    tallies[0].add(word_hashes(text))
+            for kind, part in parts.items():
+                for data, owner in _segments(part):
+                    tallies[kind].add(_keys(data)[owner >= 0])
+            for kind, tally in tallies.items():
                 if tally.fresh > 4 * _FLUSH:
                     tally.settle()
                 if len(tally.keys) > _FLUSH:
                     yield out(kind, tally.keys, tally.counts)
                     tally.keys, tally.counts = tally.keys[:0], tally.counts[:0]
-        for kind, tally in enumerate((words, grams)):
+        for kind, tally in tallies.items():
             tally.settle()
             if len(tally.keys):
                 yield out(kind, tally.keys, tally.counts)
         yield out(2, np.zeros(1, np.uint64), np.array([texts], np.int64))
 
-    made = docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    made = docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _most(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows (key, n) with the highest counts, sorted by key: all with n from the lowest on that
-    leaves at most `limit` rows."""
-    many = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n"))
-    least, total = 1 << 62, 0
-    for r in many.collect():
+    """(key, value) of the rows (key, n, value) met most often: all from the lowest class of counts
+    on that leaves at most `limit` rows. A class is a sixteenth of a doubling."""
+    classed = counts.withColumn("class", F.floor(F.log2("n") * 16))
+    least, total = 1 << 30, 0
+    for r in classed.groupBy("class").agg(F.count("*").alias("rows")).orderBy(F.desc("class")).collect():
         total += r.rows
         if total > limit:
             break
-        least = r.n
-    got = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys = got["key"].to_numpy().view(np.uint64) if len(got) else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    return keys[order], got["n"].to_numpy()[order] if len(got) else np.zeros(0, np.int64)
+        least = r["class"]
+    got = classed.where(F.col("class") >= least).select("key", "value").toArrow()
+    return got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
 
 
-def trie(grams: DataFrame, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order from 0 to ORDER: sorted keys (context bytes, then the byte) and their counts."""
-    levels = []
-    for k in range(ORDER + 1):
-        key = F.col("key") if k == ORDER else F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        levels.append(_most(grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n")), nodes))
-    return levels
+def _tail(n: int) -> Column:
+    """The last n bytes of a key."""
+    return F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def _context() -> Column:
+    return F.shiftright("key", 8)
+
+
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """(key, n, value) for each row (key, n, asked): how often it is met, and the log10 probability of
+    its last byte after the others under the trie of all rows with n > 0.
+
+    Method-D escapes: half a count of each symbol goes to the escape. Symbols of a longer context are
+    excluded from shorter ones; as all symbols seen after a context are seen after its shorter ones
+    too, what a context excludes from the next shorter one is two sums, taken once per context.
+    Keys with n = 0 walk from the longest context to the shortest by joins; the tables of the two
+    shortest hold at most 65,536 rows and are broadcast.
+    """
+    entries = {ORDER: grams.where("n > 0").select("key", "n")}
+    for k in range(ORDER - 1, -1, -1):
+        shorter = entries[k + 1].groupBy(_tail(k + 1).alias("key")).agg(F.sum("n").alias("n"))
+        entries[k] = landed(shorter, f"order-{k}")
+
+    def contexts(k: int) -> DataFrame:
+        full = entries[k].withColumn("below", F.lit(0).cast("long"))
+        if k:
+            below = entries[k - 1].select(F.col("key").alias("suffix"), F.col("n").alias("below"))
+            full = entries[k].withColumn("suffix", _tail(k)).join(F.broadcast(below) if k < 3 else below, "suffix")
+        sums = F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("shadow")
+        return full.groupBy(_context().alias("context")).agg(*sums)
+
+    longest = landed(contexts(ORDER), "contexts")
+    seen = (
+        grams.where("n > 0")
+        .withColumn("context", _context())
+        .join(longest, "context")
+        .select("key", F.col("asked").alias("n"), F.log10((F.col("n") - 0.5) / F.col("total")).alias("value"))
+    )
+    walk = grams.where("n = 0").selectExpr(
+        "key", "asked", "0D as value", "true as open", "0L as gone_mass", "0L as gone_kinds"
+    )
+    for k in range(ORDER, -1, -1):
+        at = longest if k == ORDER else contexts(k)
+        found = entries[k].select(F.col("key").alias("gram"), F.col("n").alias("found"))
+        walk = (
+            walk.withColumn("gram", _tail(k + 1))
+            .withColumn("context", F.shiftright("gram", 8))
+            .join(F.broadcast(at) if k < 2 else at, "context", "left")
+            .join(F.broadcast(found) if k < 2 else found, "gram", "left")
+        )
+        live = F.col("open") & F.col("total").isNotNull()
+        hit = live & F.col("found").isNotNull()
+        mass, kinds = F.col("total") - F.col("gone_mass"), F.col("kinds") - F.col("gone_kinds")
+        step = (
+            F.when(hit, F.log10((F.col("found") - 0.5) / mass))
+            .when(live & (kinds > 0), F.log10(0.5 * kinds / mass))
+            .otherwise(0.0)
+        )
+        walk = walk.select(
+            "key",
+            "asked",
+            (F.col("value") + step).alias("value"),
+            (F.col("open") & ~hit).alias("open"),
+            *[
+                F.when(live & ~hit, F.col(new)).otherwise(F.col(old)).alias(old)
+                for old, new in (("gone_mass", "shadow"), ("gone_kinds", "kinds"))
+            ],
+        )
+    left = F.when(F.col("open"), F.log10(256 - F.col("gone_kinds"))).otherwise(0.0)
+    return seen.union(walk.select("key", F.col("asked").alias("n"), F.col("value") - left))
 
 
 class Lookup:
@@ -179,145 +245,115 @@ class Lookup:
         return out
 
 
-class Model:
-    """A pretrained trie: method-D escapes (half a count of each symbol goes to the escape), symbols of a longer context excluded from shorter ones.
-
-    All symbols seen after a context are seen after its shorter ones too, so what a context excludes
-    from the next shorter one is two sums, taken once.
-    """
+def _lists(owner: np.ndarray, n: int, *values: np.ndarray) -> list[pa.ListArray]:
+    """Values as lists per owner from 0 to n - 1; owners come in ascending order."""
+    cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32())
+    return [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in values]
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.entries, self.counts, self.contexts, self.stats = [], [], [], []
-        for k, (keys, counts) in enumerate(levels):
-            context = keys >> np.uint64(8)
-            starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, int)
-            total = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
-            kinds = np.diff(np.append(starts, len(keys)))
-            lower = np.zeros(len(keys), np.int64)
-            if k:
-                at = self.entries[k - 1].find(keys & np.uint64((1 << 8 * k) - 1))
-                lower = np.where(at >= 0, self.counts[k - 1][at], 0) if len(self.counts[k - 1]) else lower
-            shadow = np.add.reduceat(lower, starts) if len(starts) else total
-            self.entries.append(Lookup(keys))
-            self.counts.append(counts.astype(np.float64))
-            self.contexts.append(Lookup(context[starts]))
-            self.stats.append(np.stack([total, kinds, shadow], axis=1).astype(np.float64))
-            if k == len(levels) - 1:
-                self.top = np.log10((counts - 0.5) / np.repeat(total, kinds)) if len(keys) else np.zeros(0)
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its context."""
-        at = self.entries[-1].find(keys)
-        out = np.where(at >= 0, self.top[at], 0.0) if len(self.top) else np.zeros(len(keys))
-        todo = np.flatnonzero(at < 0)
-        if not len(todo):
-            return out
-        score = np.zeros(len(todo))
-        gone_mass, gone_kinds = np.zeros(len(todo)), np.zeros(len(todo))
-        open_ = np.ones(len(todo), bool)
-        for k in range(ORDER, -1, -1):
-            live = np.flatnonzero(open_)
-            if not len(live):
-                break
-            part = keys[todo[live]] & np.uint64((1 << 8 * (k + 1)) - 1)
-            node = self.contexts[k].find(part >> np.uint64(8))
-            live, part, node = live[node >= 0], part[node >= 0], node[node >= 0]
-            if not len(live):
-                continue
-            total, kinds, shadow = self.stats[k][node].T
-            mass, distinct = total - gone_mass[live], kinds - gone_kinds[live]
-            found = self.entries[k].find(part)
-            hit = found >= 0
-            score[live[hit]] += np.log10((self.counts[k][found[hit]] - 0.5) / mass[hit])
-            open_[live[hit]] = False
-            miss = ~hit & (distinct > 0)
-            score[live[miss]] += np.log10(0.5 * distinct[miss] / mass[miss])
-            gone_mass[live[~hit]], gone_kinds[live[~hit]] = shadow[~hit], kinds[~hit]
-        score[open_] -= np.log10(256 - gone_kinds[open_])
-        out[todo] = score
-        return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        out = np.zeros(len(texts))
-        for data, owner in _segments(texts):
-            real = owner >= 0
-            out += np.bincount(owner[real], self.log_probabilities(_keys(data)[real]), len(texts))
-        return out
+def _text_logs(texts: list[bytes], lookup: Lookup, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of the known logs of each text; owner, key and number of all other keys, by owner."""
+    out, others = np.zeros(len(texts)), []
+    for data, owner in _segments(texts):
+        keys, owner = _keys(data)[owner >= 0], owner[owner >= 0]
+        at = lookup.find(keys)
+        met = at >= 0
+        out += np.bincount(owner[met], logs[at[met]], len(texts))
+        keys, owner = keys[~met], owner[~met]
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])[: len(keys)])
+        others.append((owner[starts], keys[starts], np.diff(np.append(starts, len(keys)))))
+    owner, keys, times = (np.concatenate(x) if others else np.zeros(0, np.int64) for x in (zip(*others) if others else ([], [], [])))
+    return out, owner.astype(np.int64), keys.astype(np.uint64), times.astype(np.int64)
 
 
 _held: dict[str, tuple] = {}
 
 
-def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", nodes: int = NODES) -> DataFrame:
+def scored(
+    docs: DataFrame,
+    held_out: str = "crc32(cast(doc_id as string)) % 7 = 2",
+    sent_grams: int = GRAMS,
+    sent_words: int = WORDS,
+) -> DataFrame:
     """Scores of every row of `docs` under a trie and under single words, both counted on the rows
     for which the SQL condition `held_out` is not true.
 
     A-Z is lower-cased. base_score adds log10((c + 1) / (N + V + 1)) over words and one end. `score` is
-    the log10 probability of the whole text, byte by byte, and its end. The trie, at most `nodes`
-    contexts with a byte per order, and the counts of the most frequent words are sent to workers;
-    other words meet their counts in a join.
+    the log10 probability of the whole text, byte by byte, and its end. The trie keeps every context
+    of the corpus; the values met most often, at most `sent_grams` bytes with their context and
+    `sent_words` words, are sent to workers, all others meet their values in a join. The bounds do
+    not change a result.
 
     Null or empty text: the end alone. A null doc_id is trained on. Repeated rows count as often as
     they stand there. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     split = docs.select("doc_id", "text", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
-    counts = landed(corpus_counts(split.where("not held_out")), "counts")
-    words = counts.where("kind = 0").select("key", "n")
+    counts = landed(corpus_counts(split), "counts")
+    words = counts.where("kind = 0").select("key", "n", F.log10(F.col("n") + 1).alias("value"))
     texts = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     known = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total = (known.n or 0) + texts
     distinct = known.v + (1 if texts else 0)
-    grams = counts.where("kind = 1").select("key", "n")
-    sent = spark.sparkContext.broadcast((trie(grams, nodes), _most(words, WORDS)))
+    trained = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("n")
+    asked = counts.where("kind in (1, 3)").groupBy("key").agg(trained, F.sum("n").alias("asked"))
+    grams = landed(gram_logs(landed(asked, "grams")), "gram-logs")
+    sent = spark.sparkContext.broadcast((_most(grams, sent_grams), _most(words, sent_words)))
     tag = uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _held:
             _held.clear()
-            levels, (keys, n) = sent.value
-            _held[tag] = Model(levels), Lookup(keys), np.log10(n + 1.0)
-        model, lookup, logs = _held[tag]
+            _held[tag] = [(Lookup(keys), values) for keys, values in sent.value]
+        (gram_lookup, gram_values), (lookup, logs) = _held[tag]
         row = TaskContext.get().partitionId() << 33
         end = np.log10(texts + 1.0)
         for batch in batches:
             column = batch.column(1).to_pylist()
+            size = len(column)
             hashes = [word_hashes(t) for t in column]
             lengths = np.array([len(h) for h in hashes], np.int64)
-            owner = np.repeat(np.arange(len(column)), lengths)
+            owner = np.repeat(np.arange(size), lengths)
             every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             at = lookup.find(every)
             common = at >= 0
-            base = np.bincount(owner[common], logs[at[common]] if len(logs) else None, len(column)) + end
-            many = np.bincount(owner[common], minlength=len(column)) + (1 if texts else 0)
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[~common], minlength=len(column)))])
-            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(every[~common].view(np.int64)))
+            base = np.bincount(owner[common], logs[at[common]], size) + end
+            many = np.bincount(owner[common], minlength=size) + (1 if texts else 0)
+            score, gram_owner, keys, times = _text_logs([_lower(t) for t in column], gram_lookup, gram_values)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + len(column))),
+                    pa.array(np.arange(row, row + size)),
                     batch.column(0),
                     batch.column(2),
                     pa.array(lengths + 1),
                     pa.array(many, pa.int64()),
                     pa.array(base, pa.float64()),
-                    pa.array(model.scores([_lower(t) for t in column]), pa.float64()),
-                    rare,
+                    pa.array(score, pa.float64()),
+                    *_lists(owner[~common], size, every[~common].view(np.int64)),
+                    *_lists(gram_owner, size, keys.view(np.int64), times),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "common", "base", "score", "rare"],
+                names=["row", "doc_id", "held_out", "n_tokens", "common", "base", "score", "rare", "grams", "times"],
             )
-            row += len(column)
+            row += size
 
     schema = (
-        "row long, doc_id long, held_out boolean, n_tokens long, common long, base double, score double, rare array<long>"
+        "row long, doc_id long, held_out boolean, n_tokens long, common long, base double, score double,"
+        " rare array<long>, grams array<long>, times array<long>"
     )
     made = landed(split.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scores")
-    rest = (
+    rare_words = (
         made.select("row", F.explode("rare").alias("key"))
         .join(words, "key")
-        .groupBy("row")
-        .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
+        .select("row", F.lit(1).alias("more"), F.col("value").alias("logs"), F.lit(0.0).alias("bytes"))
+    )
+    rare_grams = (
+        made.select("row", F.inline(F.arrays_zip(F.col("grams").alias("key"), F.col("times").alias("times"))))
+        .join(grams.select("key", "value"), "key")
+        .select("row", F.lit(0), F.lit(0.0), F.col("times") * F.col("value"))
     )
+    rest = rare_words.union(rare_grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "logs", "bytes")])
     each = float(np.log10(total + distinct + 1))
     return made.join(rest, "row", "left").select(
         "doc_id",
@@ -326,5 +362,5 @@ def scored(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         (F.col("common") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - each * F.col("n_tokens")).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("bytes", F.lit(0.0))).alias("score"),
     )

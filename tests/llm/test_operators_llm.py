@@ -383,6 +383,14 @@ def test_ppm(spark, sf_dir, texts):
     assert rows[i].score == pytest.approx(score)
 
 
+def test_ppm_bounds_of_what_is_sent_change_nothing(spark, odd):
+    few = {(r.doc_id, r.n_tokens): r for r in ppm.scored(odd, "doc_id in (3, 8)", 40, 3).collect()}
+    for r in ppm.scored(odd, "doc_id in (3, 8)").collect():
+        other = few[r.doc_id, r.n_tokens]
+        assert other.n_known == r.n_known and other.held_out == r.held_out
+        assert other.score == pytest.approx(r.score) and other.base_score == pytest.approx(r.base_score)
+
+
 def test_ppm_edges(spark, odd):
     rows = ppm.scored(odd).collect()
     assert len(rows) == 11 and all(r.score < 0 and r.base_score < 0 for r in rows)
