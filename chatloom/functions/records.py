@@ -76,10 +76,11 @@ def is_object(value: str) -> str:
     return f"(try_variant_get({value}, '$', 'map<string,variant>') IS NOT NULL)"
 
 
-def describe(value: str) -> str:
-    """Kind and text of a value; the text follows Python's ``str`` for scalars."""
+def describe(value: str, js: bool = False) -> str:
+    """Kind and text of a value; the text of a scalar follows Python's ``str`` or JavaScript's ``String``."""
     probe = f"named_struct('kind', coalesce(schema_of_variant({value}), 'ABSENT'), 'text', try_variant_get({value}, '$', 'string'))"
-    text = case(
+    scripted = case(("p.kind IN ('DOUBLE', 'FLOAT')", f"regexp_replace(p.text, {lit(r'^(-?[0-9]+)[.]0$')}, '$1')"), otherwise="p.text")
+    text = scripted if js else case(
         ("p.kind = 'BOOLEAN'", "initcap(p.text)"),
         # An integral decimal of ordinary size was written with a fraction part: 1.0.
         (f"startswith(p.kind, 'DECIMAL') AND p.kind RLIKE {lit(r'^DECIMAL\(\d+,0\)$')} AND length(p.text) <= 18", "concat(p.text, '.0')"),
@@ -92,7 +93,7 @@ def _false_scalar(d: str) -> str:
     number = lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     zero = lit(r"^-?0(\.0+)?(E0)?$")
     return (
-        f"({d}.kind IN ('ABSENT', 'VOID') OR ({d}.kind = 'STRING' AND {d}.text = '') OR ({d}.kind = 'BOOLEAN' AND {d}.text = 'False')"
+        f"({d}.kind IN ('ABSENT', 'VOID') OR ({d}.kind = 'STRING' AND {d}.text = '') OR ({d}.kind = 'BOOLEAN' AND lower({d}.text) = 'false')"
         f" OR ({d}.kind <> 'STRING' AND {d}.text RLIKE {zero} AND {d}.kind RLIKE {number}))"
     )
 
@@ -109,12 +110,12 @@ def js_falsy(d: str) -> str:
 
 def first_truthy(*values: str, falsy: Callable[[str], str] = py_falsy) -> str:
     """Text of the first true value, or null when all are false."""
-    picked = [bind(describe(v), "d", f"CASE WHEN NOT {falsy('d')} THEN d.text END") for v in values]
+    picked = [bind(describe(v, falsy is js_falsy), "d", f"CASE WHEN NOT {falsy('d')} THEN d.text END") for v in values]
     return f"coalesce({', '.join(picked)})" if len(picked) > 1 else picked[0]
 
 
 def is_truthy(value: str, falsy: Callable[[str], str] = py_falsy) -> str:
-    return bind(describe(value), "d", f"NOT {falsy('d')}")
+    return bind(describe(value, falsy is js_falsy), "d", f"NOT {falsy('d')}")
 
 
 def described_text(d: str, null_text: str | None, missing_text: str | None) -> str:

@@ -82,9 +82,9 @@ def _listed(parsed: str) -> str:
     """Prompts of a parsed JSON answer, or null when it has neither accepted layout."""
     whole, inner = items(parsed), items(field(parsed, "prompts"))
     named = f"coalesce({first_truthy(field('x', 'prompt'), field('x', 'content'), falsy=js_falsy)}, '')"
-    entry = bind(describe("x"), "e", case(("e.kind = 'STRING'", "e.text"), otherwise=named))
+    entry = bind(describe("x", js=True), "e", case(("e.kind = 'STRING'", "e.text"), otherwise=named))
     kept = f"filter(transform({whole}, x -> {entry}), s -> s <> '')"
-    prompts = f"transform(filter({inner}, x -> {is_truthy('x', js_falsy)}), x -> {describe('x')}.text)"
+    prompts = f"transform(filter({inner}, x -> {is_truthy('x', js_falsy)}), x -> {describe('x', js=True)}.text)"
     no_null = f"NOT exists({whole}, x -> is_variant_null(x))"
     return case((f"{whole} IS NOT NULL", case((no_null, kept))), otherwise=prompts)
 
@@ -92,11 +92,10 @@ def _listed(parsed: str) -> str:
 def _stringified(parsed: str) -> str:
     text = case(
         ("e.kind = 'VOID'", "'null'"),
-        ("e.kind = 'BOOLEAN'", "lower(e.text)"),
         ("startswith(e.kind, 'OBJECT')", "'[object Object]'"),
         otherwise="e.text",
     )
-    return f"transform({items(parsed)}, x -> {bind(describe('x'), 'e', text)})"
+    return f"transform({items(parsed)}, x -> {bind(describe('x', js=True), 'e', text)})"
 
 
 def _bullets(raw: str) -> str:

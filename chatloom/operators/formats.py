@@ -329,6 +329,17 @@ def editor_json_records(texts: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(*keys, F.col("_i").cast("bigint").alias("record_no"), "record")
 
 
+def import_any(texts: DataFrame, text: str = "text", name: str = "source_path") -> DataFrame:
+    """Samples of files of any editor layout: each file is read as what ``sniff_format`` finds.
+
+    Row-local; the texts are scanned once for each of the three layouts.
+    """
+    sniffed = sniff_format(F.col(text), F.col(name))
+    records = samples(import_editor_json(editor_json_records(texts.filter(sniffed == "json"), text)))
+    marked = import_chatml(texts.filter(sniffed == "chatml").withColumn("record_no", F.lit(0).cast("bigint")), text)
+    return records.unionByName(marked).unionByName(import_editor_txt(texts.filter(sniffed == "txt"), text))
+
+
 # --- dispatch and outcome ------------------------------------------------------------------
 
 Converter = Callable[[DataFrame, DataOptions], DataFrame]

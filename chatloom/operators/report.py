@@ -21,8 +21,11 @@ def text_report(texts: DataFrame, converted: DataFrame, options: DataOptions = D
     return _joined(lines, converted, source)
 
 
-def lines_report(lines: DataFrame, converted: DataFrame, options: DataOptions = DataOptions()) -> DataFrame:
-    """Counters of a line-file scan; ``lines`` is the scan before the line filters."""
+def lines_report(
+    lines: DataFrame, converted: DataFrame, options: DataOptions = DataOptions(), paired: bool = True
+) -> DataFrame:
+    """Counters of a line-file scan; ``lines`` is the scan before the line filters. Without ``paired``
+    a line is a record of its own (JSON Lines) and no tail is left over."""
     empty, comment = is_empty(F.col("line"), options), is_comment(F.col("line"), options)
     counted = lines.groupBy("source_path").agg(
         F.count(F.lit(1)).alias("raw_lines"),
@@ -31,12 +34,8 @@ def lines_report(lines: DataFrame, converted: DataFrame, options: DataOptions =
         F.bool_and("utf8_ok").alias("utf8_ok"),
     )
     content = F.col("raw_lines") - F.col("skipped_empty") - F.col("skipped_comments")
-    return _joined(counted.withColumn("dropped_unpaired", content % 2), converted, "source_path")
-
-
-def records_report(converted: DataFrame, source: str = "source_path") -> DataFrame:
-    """Samples, skipped and failed records per source."""
-    return _outcome(converted, source)
+    tail = content % 2 if paired else F.lit(0).cast("bigint")
+    return _joined(counted.withColumn("dropped_unpaired", tail), converted, "source_path")
 
 
 def _outcome(converted: DataFrame, source: str) -> DataFrame:
@@ -57,8 +56,3 @@ def _joined(counted: DataFrame, converted: DataFrame, source: str) -> DataFrame:
         # One warning per odd tail and per skipped pair.
         (F.col("dropped_unpaired") + F.coalesce("skipped", zero)).alias("warnings"),
     )
-
-
-def reject_counts(converted: DataFrame, source: str = "source_path") -> DataFrame:
-    """How often each reason occurred per source."""
-    return converted.filter(F.col("reason").isNotNull()).groupBy(source, "reason").agg(F.count(F.lit(1)).alias("records"))

@@ -213,6 +213,27 @@ def b7_conversion_report(spark, sf_dir):
     return report.text_report(texts, formats.from_text(texts), source="doc_id")
 
 
+@query(
+    "b7_records_report",
+    f"""WITH {CLEAN_TURNS}
+    SELECT 'm' || conv_id AS source_path,
+      1 + (conv_id % 10 >= 6)::BIGINT + (conv_id % 3 = 0)::BIGINT + (conv_id % 4 = 1)::BIGINT AS raw_lines,
+      (conv_id % 4 = 1)::BIGINT AS skipped_empty, (conv_id % 3 = 0)::BIGINT AS skipped_comments,
+      0::BIGINT AS dropped_unpaired, true AS utf8_ok,
+      (conv_id IN (SELECT conv_id FROM valid))::BIGINT AS samples, (conv_id % 10 = 9)::BIGINT AS warnings
+    FROM (SELECT DISTINCT conv_id FROM conversations)""",
+)
+def b7_records_report(spark, sf_dir):
+    """One source per conversation; some have a comment or a blank line too."""
+    conv = F.floor(F.col("record_no") / 10)
+    records = fx.rec_messages(spark, sf_dir).withColumn("source_path", F.concat(F.lit("m"), conv))
+    first = F.col("record_no") % 10 == 0
+    note, blank = F.when(first & (conv % 3 == 0), "# note"), F.when(first & (conv % 4 == 1), " ")
+    scanned = records.select("source_path", F.explode(F.array_compact(F.array("raw", note, blank))).alias("line"))
+    lines_ = scanned.withColumn("utf8_ok", F.is_valid_utf8("line"))
+    return report.lines_report(lines_, formats.from_messages_jsonl(records), paired=False)
+
+
 # --- lines ---------------------------------------------------------------------------------
 
 
@@ -531,6 +552,21 @@ def e11_sniff_format(spark, sf_dir):
     return texts.select("name", formats.sniff_format(F.col("text"), F.col("name")).alias("format"))
 
 
+@query(
+    "e11_import_any",
+    f"""WITH docs AS (SELECT doc_id, text FROM documents), {EDITOR_PAIRS}, lined AS ({PAIR_MESSAGES})
+    SELECT 'd' || doc_id AS source_path, record_no, n, role, content FROM lined
+    UNION ALL SELECT 'c' || conv_id, 0, turn, role, CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END FROM conversations
+    UNION ALL SELECT 'r' || conv_id, 0, turn, role, coalesce(text, '') FROM conversations""",
+)
+def e11_import_any(spark, sf_dir):
+    name = lambda letter, key: F.concat(F.lit(letter), key).alias("source_path")
+    docs = fx.load(spark, sf_dir, "documents").select(name("d", "doc_id"), "text")
+    marked = fx.chatml_texts(spark, sf_dir).select(name("c", "conv_id"), "text")
+    records = fx.conversations(spark, sf_dir).select(name("r", "conv_id"), F.to_json(F.struct("messages")).alias("text"))
+    return flat(formats.import_any(docs.unionByName(marked).unionByName(records)), "source_path", "record_no")
+
+
 # --- rendering -----------------------------------------------------------------------------
 
 

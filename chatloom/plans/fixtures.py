@@ -251,9 +251,9 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.floor(d / 3)
     name = F.element_at(F.array(F.lit("apache-2.0"), F.lit("'MIT'"), F.lit("CC BY NC"), F.lit("")), (model % 4 + 1).cast("int"))
     readme = F.concat(F.lit("---\ntags: a:b\nLicense: other\nlicense : "), name, F.lit("\n---\n"), F.col("text"))
-    config = F.when(model % 3 == 0, F.to_json(F.struct(F.lit("llama 3 community").alias("license"), F.col("lang")))).when(
-        model % 3 == 1, F.lit('{"license": ""}')
-    ).otherwise(F.lit("{"))
+    config = F.when(model % 3 == 0, F.to_json(F.struct(F.lit("llama 3 community").alias("license"), "lang", "text"))).when(
+        model % 3 == 1, F.to_json(F.struct(F.lit("").alias("license"), "text"))
+    ).otherwise(F.concat(F.lit("{"), F.coalesce("text", F.lit(""))))
     return load(spark, sf_dir, "documents").select(
         model.alias("model_id"),
         F.when(d % 3 == 0, "README.md")

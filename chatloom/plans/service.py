@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from chatloom.operators import drafting, evaluate, responses as rs
@@ -256,7 +258,8 @@ def a6_scan_log_stream(spark, sf_dir):
 @query("m1_follow_logs", f"WITH {LINES} SELECT {REDACTED} AS line FROM l")
 def m1_follow_logs(spark, sf_dir):
     out = scratch_path(spark, "log-out")
-    stream = ls.follow_logs(ls.scan_log_stream(spark, landed_logs(spark, sf_dir), 1), SECRETS)
+    begun = datetime.now(timezone.utc) - timedelta(seconds=5)
+    stream = ls.follow_logs(ls.scan_log_stream(spark, landed_logs(spark, sf_dir), 1), SECRETS, begun)
     cs.run_available(stream, out, scratch_path(spark, "log-ckpt"))
     return spark.read.schema("line string").parquet(out)
 

@@ -68,14 +68,16 @@ def scan_lines(spark: SparkSession, path: str, options: DataOptions = DataOption
 def scan_jsonl(spark: SparkSession, path: str, options: DataOptions = DataOptions(), skip: str | None = None) -> DataFrame:
     """``source_path, record_no, raw`` of JSON Lines; blank and comment lines are left out.
 
-    Files whose lower-cased name ends in ``skip`` are not read.
+    Files whose lower-cased name ends in ``skip`` are not read. A line that is no UTF-8 has a null
+    ``raw``, which every converter rejects.
     """
     lines = scan_lines(spark, path, options, inner=False)
     if skip:
         # A predicate on the file path alone: the files are dropped when the scan is planned.
         lines = lines.filter(~F.endswith(F.lower("source_path"), F.lit(skip)))
     content = drop_comment_lines(drop_empty_lines(lines, options), options)
-    return number_lines(content, "record_no").select("source_path", "record_no", pystrip(F.col("line")).alias("raw"))
+    raw = F.when(F.col("utf8_ok"), pystrip(F.col("line"))).alias("raw")
+    return number_lines(content, "record_no").select("source_path", "record_no", raw)
 
 
 def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOptions()) -> DataFrame:
@@ -83,14 +85,16 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
 
     A ``.json`` file that opens with a bracket is one JSON value, so it is read as one row; a list
     gives many records. Corpora too large for that belong in JSON Lines, which are split freely.
+    Where the bytes are no UTF-8 (of a ``.json`` file, or of a line) the record is null, a reject.
     """
     texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]", recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("source_path"), pystrip(F.col("value")).alias("text")
+        F.col("_metadata.file_path").alias("source_path"), pystrip(F.col("value")).alias("text"), F.is_valid_utf8("value").alias("_ok")
     )
     single = F.col("text").rlike(r"^[\[{]")
     keep = F.filter(F.split("text", "\r\n|[\n\r]"), lambda x: ~(is_empty(x, options) | is_comment(x, options)))
     staged = texts.select(
         "source_path",
+        "_ok",
         single.alias("_single"),
         F.when(single, F.expr(strict_json("text"))).alias("_v"),
         F.when(~single, F.transform(keep, pystrip)).alias("_lines"),
@@ -98,7 +102,8 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
     # A list yields its elements, anything else itself; a .json file of lines yields its lines.
     by_line = f"transform(_lines, x -> {strict_json('x')})"
     found = F.expr(case(("_single", f"coalesce({items('_v')}, array(_v))"), otherwise=by_line))
-    whole = staged.select("source_path", F.posexplode(found).alias("record_no", "record"))
+    whole = staged.select("source_path", "_ok", F.posexplode(found).alias("record_no", "record"))
+    whole = whole.withColumn("record", F.when(F.col("_ok"), F.col("record")))
     lined = scan_jsonl(spark, path, options, skip=".json")
     return whole.select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record").unionByName(
         lined.select("source_path", "record_no", F.expr(strict_json("raw")).alias("record"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def scan_log_stream(spark: SparkSession, folder: str, files_per_batch: int | Non
     return rows.select(F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("file_time"))
 
 
-def follow_logs(lines: DataFrame, secrets: tuple[str, ...] = (), since=None) -> DataFrame:
-    """Redacted lines, stateless. ``since`` leaves out files that were there before that time.
+def follow_logs(lines: DataFrame, secrets: tuple[str, ...] = (), since: datetime | None = None) -> DataFrame:
+    """Redacted lines, stateless. Files that were there before ``since`` (the time of this call, unless
+    given) are left out; a job that is restarted passes the time it first began.
     Whole lines are redacted, so no secret can hide across a read boundary."""
-    new = lines if since is None else lines.filter(F.col("file_time") > F.lit(since))
-    return new.select(redact_literal(F.col("line"), secrets).alias("line"))
+    start = since or datetime.now(timezone.utc)
+    return lines.filter(F.col("file_time") > F.lit(start)).select(redact_literal(F.col("line"), secrets).alias("line"))

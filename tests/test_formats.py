@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions.records import strict_json
-from chatloom.operators import formats
+from chatloom.operators import drafting, formats
 from chatloom.operators.messages import samples_from_turns, valid_turns
 from chatloom.options import FAILFAST, DataFormatError, DataOptions
 
@@ -245,3 +245,34 @@ def test_registered_format(spark):
     frame = spark.createDataFrame([("f", 0, raw)], "source_path string, record_no long, raw string")
     assert [m.content for m in formats.samples(formats.convert(frame, "SHOUT")).first().messages] == ["q", "a"]
     assert "shout" in formats.format_names()
+
+
+def test_editor_side_scalars(spark):
+    raw = '{"messages":[{"role":"user","content":true},{"role":"user","content":1.0},{"role":"user","content":0.5},{"role":"user","content":false}]}'
+    record = spark.createDataFrame([("s", 0, raw)], "source_path string, record_no long, raw string")
+    found = formats.import_editor_json(record).first().messages
+    assert [m.content for m in found] == ["true", "1", "0.5", ""]
+    answer = spark.createDataFrame([(1, '{"prompts":[true,1.0,2e3,"x"]}'), (2, "[true]")], "id int, text string")
+    found = drafting.drafted_prompts(answer).orderBy("id", "n").collect()
+    assert [r.prompt for r in found if r.id == 1] == ["true", "1", "2000", "x"]
+
+
+def test_lines_report_counts_records(spark):
+    from chatloom.operators import report
+
+    lines = [("a", "", True), ("a", "# note", True), ("a", '{"messages":[]}', True), ("a", "{", False)]
+    scanned = spark.createDataFrame(lines, "source_path string, line string, utf8_ok boolean")
+    records = spark.createDataFrame([("a", 0, '{"messages":[]}'), ("a", 1, None)], "source_path string, record_no long, raw string")
+    r = report.lines_report(scanned, formats.from_messages_jsonl(records), paired=False).first()
+    assert (r.raw_lines, r.skipped_empty, r.skipped_comments, r.dropped_unpaired, r.utf8_ok, r.samples) == (4, 1, 1, 0, False, 0)
+
+
+def test_bad_bytes_are_rejected(spark, tmp_path):
+    from chatloom.sources import readers
+
+    good = b'{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}'
+    (tmp_path / "a.jsonl").write_bytes(good + b"\n" + good.replace(b"q", b"\xff") + b"\n")
+    (tmp_path / "b.json").write_bytes(b"[" + good.replace(b"a\"}", b"\xff\"}") + b"]")
+    found = formats.from_messages_jsonl(readers.scan_records(spark, str(tmp_path))).collect()
+    assert sorted((r.source_path[-6:].strip("/"), r.reason) for r in found if r.reason) == [(".jsonl", "invalid_json"), ("b.json", "invalid_json")]
+    assert sum(r.reason is None for r in found) == 1
