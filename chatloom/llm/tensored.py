@@ -2,53 +2,67 @@
 
 from __future__ import annotations
 
+import math
+from functools import cache, partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import components, landed, mixed, shingle_set, with_arrow
 
-# Two collections of HALVES keys of ROWS minhashes each; every pair of a left and a right key is the
-# key of one table. 2 * 10 * 3 = 60 minhashes serve 100 tables of 6, which would take 600. Two
-# documents of similarity s meet in a table with probability (1 - (1 - s**3)**10)**2: 0.9999 at 0.85.
-HALVES, ROWS = 10, 3
+# Two collections of half keys of ROWS minhashes each; every pair of a left and a right key is the
+# key of one table. With 10 keys a collection 2 * 10 * 3 = 60 minhashes serve 100 tables of 6, which
+# would take 600. Two documents of similarity s meet in a table with probability
+# (1 - (1 - s**3)**halves)**2: 0.9999 at 0.85 with 10 keys. Lower thresholds take more keys, see halves().
+ROWS, MISS = 3, (1 - 0.85**3) ** 10
+
+
+def halves(percent: int) -> int:
+    """Keys of a collection with which documents at the threshold meet at least as likely as at 85."""
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - (min(percent, 99) / 100) ** ROWS) - 1e-9))
+
 
-_random = np.random.default_rng(20_260_101)
-_FACTORS = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64) | np.uint64(1)
-_MASKS = _random.integers(0, 1 << 63, 2 * HALVES * ROWS, dtype=np.uint64)
+@cache
+def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and masks of the hash functions of 2 * count half keys."""
+    random = np.random.default_rng(20_260_101)
+    factors = random.integers(0, 1 << 63, 2 * count * ROWS, dtype=np.uint64) | np.uint64(1)
+    return factors, random.integers(0, 1 << 63, 2 * count * ROWS, dtype=np.uint64)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
+def minhashes(shingles: np.ndarray, count: int) -> np.ndarray:
     """Smallest value of each hash function over a set that is not empty."""
-    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    factors, masks = _functions(count)
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(shingles), 4096):
             part = shingles[None, start : start + 4096]
-            np.minimum(out, ((part ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1), out=out)
+            np.minimum(out, ((part ^ masks[:, None]) * factors[:, None]).min(axis=1), out=out)
     return out
 
 
-def half_keys(shingles: np.ndarray) -> np.ndarray:
-    """The 2 * HALVES keys: left ones, then right ones."""
-    hashes = minhashes(shingles).reshape(2 * HALVES, ROWS)
-    key = np.arange(2 * HALVES, dtype=np.uint64)
+def half_keys(shingles: np.ndarray, count: int) -> np.ndarray:
+    """The 2 * count keys: left ones, then right ones."""
+    hashes = minhashes(shingles, count).reshape(2 * count, ROWS)
+    key = np.arange(2 * count, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for r in range(ROWS):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + hashes[:, r])
     return key.view(np.int64)
 
 
-def _signatures(texts: list) -> tuple[list, ...]:
+def _signatures(texts: list, count: int) -> tuple[list, ...]:
     sizes, first, second, left, right = [], [], [], [], []
     for text in texts:
         shingles = shingle_set(text)
         sizes.append(len(shingles))
         if len(shingles):
-            keys = half_keys(shingles)
+            keys = half_keys(shingles, count)
             with np.errstate(over="ignore"):
                 sums = [mixed(shingles).sum(), mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()]
             a, b = np.array(sums, np.uint64).view(np.int64)
-            first.append(int(a)), second.append(int(b)), left.append(keys[:HALVES]), right.append(keys[HALVES:])
+            first.append(int(a)), second.append(int(b)), left.append(keys[:count]), right.append(keys[count:])
         else:
             first.append(0), second.append(0), left.append([]), right.append([])
     return sizes, first, second, left, right
@@ -133,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             docs.select("doc_id", "text"),
             ["text"],
             "n_shingles long, h1 long, h2 long, lefts array<long>, rights array<long>",
-            _signatures,
+            partial(_signatures, count=halves(percent)),
         ).drop("text"),
         "signatures",
     )

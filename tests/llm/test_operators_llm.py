@@ -129,6 +129,24 @@ def test_near_duplicates_finds_chains_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Planted pairs between 0.80 and 0.85, and some under 0.80, which stay; tables grow with the threshold."""
+    rows, want = [], set()
+    for k in range(120):
+        word = [f"d{k}w{i}" for i in range(304)]
+        other = list(word)
+        for at in range(6 if k % 3 else 9):  # five shingles each: 300 less 30 or 45 shared
+            other[20 + 30 * at] = "x"
+        a, b = shingles(" ".join(word)), shingles(" ".join(other))
+        near = 100 * len(a & b) >= 80 * len(a | b)
+        assert 100 * len(a & b) < 85 * len(a | b) and near == bool(k % 3)
+        rows += [(2 * k, " ".join(word)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} if near else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in tensored.near_duplicates(docs, percent=80).collect() if r.kept} == want
+    assert tensored.halves(85) == 10 and (1 - (1 - 0.8**3) ** tensored.halves(80)) ** 2 > 0.9998
+
+
 def test_near_duplicates_edges(spark, odd):
     got = {(r.doc_id, r.n_shingles): r for r in tensored.near_duplicates(odd).collect()}
     assert got[2, 116].component_id == 1 and not got[2, 116].kept
