@@ -1,24 +1,28 @@
-"""Line dedup by pairwise alignment: shared rare lines find pairs, patience diff aligns them."""
+"""Line dedup by pairwise alignment: shared long lines and runs find pairs, patience diff aligns them."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Set
+from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import landed, with_arrow
+from chatloom.llm.common import landed, mixed, with_arrow
 
-# A line of RARE_WORDS words or more may seed an alignment if at most RARE_TEXTS distinct texts have
-# it, a line of LONG_WORDS or more in any case: so long a line is no common phrase.
-RARE_WORDS, RARE_TEXTS, LONG_WORDS = 8, 64, 20
+# A shared line of LINE_WORDS words or more seeds an alignment, and so does a shared run of neighbouring
+# lines that add up to RUN_WORDS or more, however many texts have it.
+LINE_WORDS, RUN_WORDS = 8, 20
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list[int], b: list[int], blank: Set[int] = frozenset()) -> list[tuple[int, int]]:
     """Matched places (i, j) of two sequences, by patience diff.
 
     Equal heads and tails match; between them the elements that are unique in both are aligned by
-    the longest increasing run of their places, and each gap is treated alike.
+    the longest increasing run of their places, and each gap is treated alike. In a gap without such
+    elements the longest equal runs match; `blank` elements match there only beside others.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -61,17 +65,23 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             for (p, q), (p2, q2) in zip(chain, [*chain[1:], (i_end, j_end)], strict=True):
                 todo.append((p, p2, q, q2))
             todo.append((i, chain[0][0], j, chain[0][1]))
+        elif any(p[1] and x not in blank for x, p in places.items()):
+            diff = SequenceMatcher(blank.__contains__, a[i:i_end], b[j:j_end], autojunk=False)
+            for p, q, size in diff.get_matching_blocks():
+                out.extend((i + p + k, j + q + k) for k in range(size))
     return sorted(out)
 
 
-def common_blocks(later: list[int], earlier: list[int], seeds: set[int]) -> list[int]:
-    """Places in `later` of the aligned runs of equal lines that hold a seed line."""
+def common_blocks(later: list[int], earlier: list[int], seeds: Set[int], words: list[int] | None = None) -> list[int]:
+    """Places in `later` of the aligned runs of equal lines that hold a seed line or, by the `words` of
+    each line, a seed run."""
+    blank = {x for x, n in zip(later, words, strict=True) if not n} if words else frozenset()
     out: list[int] = []
     run: list[int] = []
     last = (-2, -2)
-    for i, j in [*patience(later, earlier), (-9, -9)]:
+    for i, j in [*patience(later, earlier, blank), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if any(later[k] in seeds for k in run):
+            if any(later[k] in seeds for k in run) or (words and sum(words[k] for k in run) >= RUN_WORDS):
                 out.extend(run)
             run = []
         run.append(i)
@@ -79,12 +89,32 @@ def common_blocks(later: list[int], earlier: list[int], seeds: set[int]) -> list
     return out
 
 
+def seed_keys(lines: list[int], words: list[int]) -> np.ndarray:
+    """Distinct keys of the lines that may seed and of the shortest run from each line on that may.
+
+    Blank lines are left out of runs, so a run has at most RUN_WORDS lines. Equal passages of RUN_WORDS
+    words have the run from their first line in common.
+    """
+    n = np.array(words, np.int64)
+    full = n > 0
+    key, n = np.array(lines, np.int64).view(np.uint64)[full], n[full]
+    total = np.concatenate([[0], np.cumsum(n)])
+    end = np.searchsorted(total, total[:-1] + RUN_WORDS)  # the run from i on is i .. end[i] - 1
+    at = np.flatnonzero((end <= len(n)) & (end > np.arange(len(n)) + 1))
+    run = np.full(len(at), RUN_WORDS, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int((end[at] - at).max(initial=0))):
+            inside = at + k < end[at]
+            run[inside] = mixed(run[inside] * np.uint64(0x9E3779B97F4A7C15) + key[at[inside] + k])
+    return np.unique(np.concatenate([key[n >= LINE_WORDS], run])).view(np.int64)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_lines, removed, partners) for documents that lose lines.
 
-    Every line that seeds belongs to the first document that has it; each later one is paired with
-    that document, so a line that a third of all documents share makes one pair for each of them and
-    no more. Texts are equal classes first: later copies lose all lines.
+    Every line or run that seeds belongs to the first document that has it; each later one is paired
+    with that document, so a line that a third of all documents share makes one pair for each of them
+    and no more. Texts are equal classes first: later copies lose all lines.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("text_key"), "text")
     lines = F.split("text", "\n")
@@ -100,7 +130,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.col("owner").alias("partner"),
     )
     owners = first.select(F.col("owner").alias("doc_id"), "text_key")
-    stored = landed(
+    stored = (
         keyed.join(owners, ["doc_id", "text_key"], "left_semi")
         .dropDuplicates(["doc_id", "text_key"])
         .select(
@@ -108,22 +138,21 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             "text_key",
             F.transform(lines, lambda l: F.xxhash64(F.trim(l))).alias("lines"),
             F.transform(
-                lines, lambda l: F.size(F.split(F.trim(l), "[\\x20\\x09-\\x0D]+")).cast("int")
+                lines, lambda l: F.regexp_count(l, F.lit("[^\\x20\\x09-\\x0D]+")).cast("int")
             ).alias("words"),
-        ),
-        "lines",
+        )
     )
-    each = stored.select(
-        "doc_id",
-        "text_key",
-        F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("l"),
-    ).select("doc_id", "text_key", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    each = each.where(F.col("words") >= RARE_WORDS)
+
+    def keys(lines: list, words: list) -> tuple:
+        return ([seed_keys(*x) for x in zip(lines, words, strict=True)],)
+
+    stored = landed(with_arrow(stored, ["lines", "words"], "keys array<long>", keys), "lines")
+    each = stored.select("doc_id", "text_key", F.explode("keys").alias("line"))
     # Landed, so that the rows of one very common line are split over tasks.
     seeds = landed(
         each.groupBy("line")
-        .agg(F.count("*").alias("texts"), F.max("words").alias("words"), F.min(F.struct("doc_id", "text_key")).alias("o"))
-        .where((F.col("texts") > 1) & ((F.col("texts") <= RARE_TEXTS) | (F.col("words") >= LONG_WORDS)))
+        .agg(F.count("*").alias("texts"), F.min(F.struct("doc_id", "text_key")).alias("o"))
+        .where("texts > 1")
         .select("line", F.col("o.doc_id").alias("owner"), F.col("o.text_key").alias("owner_key")),
         "seeds",
     )
@@ -133,16 +162,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "text_key", "owner", "owner_key")
         .agg(F.collect_set("line").alias("seeds"))
     )
-    both = pairs.join(stored.drop("words"), ["doc_id", "text_key"]).join(
+    both = pairs.join(stored.drop("keys"), ["doc_id", "text_key"]).join(
         stored.select(F.col("doc_id").alias("owner"), F.col("text_key").alias("owner_key"), F.col("lines").alias("others")),
         ["owner", "owner_key"],
     )
 
-    def align(later: list, earlier: list, seeds: list) -> tuple:
-        return ([common_blocks(a, b, set(s)) for a, b, s in zip(later, earlier, seeds, strict=True)],)
+    def align(later: list, earlier: list, seeds: list, words: list) -> tuple:
+        return ([common_blocks(a, b, set(s), n) for a, b, s, n in zip(later, earlier, seeds, words, strict=True)],)
 
     aligned = (
-        with_arrow(both, ["lines", "others", "seeds"], "removed array<int>", align)
+        with_arrow(both, ["lines", "others", "seeds", "words"], "removed array<int>", align)
         .where(F.size("removed") > 0)
         .select("doc_id", "text_key", "removed", F.col("owner").alias("partner"))
     )
@@ -161,7 +190,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Adds n_lines, n_removed (of the whole text) and partners, the ids of the earlier documents.
     Earlier is a smaller doc_id; of every deleted line the first document that has it keeps it.
-    Only runs of aligned lines with a seed line (see RARE_WORDS) go, so common short lines stay.
+    Only runs of aligned lines with a seed line or run (see LINE_WORDS) go, so common short lines stay.
 
     Null text stays null, empty text empty, with nothing removed. A null doc_id: never compared. Rows
     that repeat doc_id and text are one document, treated alike; rows that repeat a doc_id with

@@ -184,6 +184,30 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_what_very_many_share(spark):
+    """Lines of 8 to 19 words and passages of short lines go from all later texts, however many there are."""
+    phrase = sentence(30, 9)
+    passage = [sentence(40 + k, 6) for k in range(9)]
+    rows = []
+    for i in range(90):
+        own = [sentence(1000 + 2 * i, 12), sentence(1001 + 2 * i, 12)]
+        rows.append((i, "\n".join([own[0], phrase, own[1], "see also:", "", *passage, "end."])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 90):
+        assert got[i] == f"{sentence(1000 + 2 * i, 12)}\n{sentence(1001 + 2 * i, 12)}"
+    few = [(1, "\n".join(["a b c", "", "", "x y", "a b c"])), (2, "\n".join(["q", "a b c", "", "", "x y", "r"]))]
+    kept = line_dedup.line_dedup(spark.createDataFrame(few, "doc_id long, text string")).collect()
+    assert {r.text for r in kept} == {t for _, t in few}
+
+
+def test_patience_matches_runs_without_unique_lines():
+    a, b = list("pabcqabcr"), list("sabctabcabcu")
+    assert line_dedup.patience(a, b) == [(1, 1), (2, 2), (3, 3), (5, 5), (6, 6), (7, 7)]
+    assert line_dedup.patience(list("p-q-"), list("-r-s"), {"-"}) == []
+
+
 def test_line_dedup_keeps_the_first_of_every_line(spark, sf_dir, texts):
     left = {r.doc_id: r.text for r in line_dedup.line_dedup(table(spark, sf_dir, "documents")).collect()}
     kept = {x.strip(" ") for t in left.values() for x in t.split("\n")}
