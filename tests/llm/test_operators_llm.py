@@ -367,6 +367,22 @@ def test_template_without_names(spark):
     assert template.extracted(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "opening",
+    [
+        "<body class='has-sidebar'><div><article class='post comment-open'>",
+        "<body class='search-results'><div class='no-sidebar'><article>",
+        "<body><div class='content with-sidebar'><main class='with-sidebar'>",
+        "<body><div class='sidebar widget'><article>",
+    ],
+)
+def test_template_names_of_states_hide_nothing(spark, opening):
+    page = opening + "<p>Kept {0}</p><div class='comment-list'>bad {0}</div><div class=sidebar>bad</div>"
+    assert template.main_text(page.format(1), None, set()) == "Kept 1"
+    docs = spark.createDataFrame([(i, "http://h/", page.format(i)) for i in range(3)], "page_id long, url string, html string")
+    assert [r.text for r in template.extracted(docs).orderBy("page_id").collect()] == ["Kept 0", "Kept 1", "Kept 2"]
+
+
 def test_licence_scan(spark, odd):
     model = licences.trained([sentence(s, 25) for s in range(200)])
     for family, templates in licences.TEMPLATES.items():
