@@ -383,6 +383,28 @@ def test_template_names_of_states_hide_nothing(spark, opening):
     assert [r.text for r in template.extracted(docs).orderBy("page_id").collect()] == ["Kept 0", "Kept 1", "Kept 2"]
 
 
+def test_template_of_unnamed_articles(spark):
+    """Siblings of one article, long notices, long class lists, hosts of two pages, copies of one page."""
+    notice = sentence(70, 120)
+    long_list = " ".join(f"k{i}" for i in range(60)) + " content"
+
+    def pages(host, body, n):
+        return [(100 * ord(host) + i, f"http://{host}/", "<body>" + body.format(sentence(300 + i, 40), sentence(400 + i, 20))) for i in range(n)]
+
+    rows = [
+        *pages("a", f"<div id=t>Home</div><div id=x><div id=y><p>{{0}}</div><div id=z><p>{{1}}</div></div><div id=n>{notice}</div>", 12),
+        *pages("b", f"<div id=t>{{1}}</div><div class='{long_list}'><p>{{0}}</div>", 3),
+        *pages("c", "<div id=t>Home</div><div id=x><p>{0}</div>", 2),
+        *[(10000 + i, "http://d/", f"<body><p>{notice}") for i in range(2)],
+        *pages("e", "<div class='page-widget'><p>{0}</div>", 3),
+    ]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {f"{chr(r.page_id // 100)}{r.page_id % 100}": r.text for r in template.extracted(docs).collect()}
+    assert got["a3"] == f"{sentence(303, 40)}\n{sentence(403, 20)}"
+    assert got["b1"] == sentence(301, 40) and got["c1"] == sentence(301, 40)
+    assert got["d0"] == notice and got["e2"] == sentence(302, 40)
+
+
 def test_licence_scan(spark, odd):
     model = licences.trained([sentence(s, 25) for s in range(200)])
     for family, templates in licences.TEMPLATES.items():
