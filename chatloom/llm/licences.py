@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from chatloom.llm.common import with_arrow
 
@@ -64,12 +68,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
-# At most so many paragraphs of the corpus, those with the smallest hashes, train the unknown class.
-BACKGROUND = 3000
+# At most so many distinct paragraphs of the corpus, those with the smallest hashes, train the unknown
+# class; of a longer one the first HEAD characters.
+BACKGROUND, HEAD = 3000, 2000
 # A paragraph of a family is confirmed if it shares this much with a template.
 LIKENESS = 0.6
+# A paragraph without a word that names or tells of a licence is confirmed if it shares this many pairs
+# of words with a template: fewer, as in "and the" or "can be found in the", are plain English.
+UNNAMED_PAIRS = 8
+_NAMED = re.compile(
+    r"licen[cs]|copyright|permission|public domain|redistribut|warrant|waived|cc0|gnu|mozilla|creative commons"
+    r"|unencumbered|\b(?:mit|bsd|apache|l?gpl|mpl|cc|by-sa|by-nc)\b",
+    re.I,
+)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-_HINT = re.compile(r"licen[cs]|copyright|permission|public domain|redistribut|warrant|waived|cc0|gnu|mozilla|creative commons", re.I)
 
 
 def grams(text: str) -> list[str]:
@@ -88,12 +100,22 @@ class Classifier:
 
     def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of a paragraph's features; each counted gram weighs 1 / sqrt(all grams)."""
-        found = grams(text)
-        known = sorted({self.places[g] for g in found if g in self.places})
-        strange = 1 - sum(g in self.places for g in found) / max(1, len(found))
-        size = max(1, len(found)) ** 0.5
-        n = len(self.places)
-        return np.array([*known, n, n + 1]), np.array([1 / size] * len(known) + [strange, 1.0])
+        words = _WORD.findall(text.lower())
+        places, many, known, hits, before = self.places, max(1, 2 * len(words) - 1), set(), 0, None
+        for word in words:  # a pair is known only if both of its words are
+            at = places.get(word)
+            if at is not None:
+                known.add(at)
+                hits += 1
+                if before is not None and (pair := places.get(f"{before} {word}")) is not None:
+                    known.add(pair)
+                    hits += 1
+                before = word
+            else:
+                before = None
+        size = many**0.5
+        n = len(places)
+        return np.array([*sorted(known), n, n + 1]), np.array([1 / size] * len(known) + [1 - hits / many, 1.0])
 
     def probabilities(self, text: str) -> np.ndarray:
         at, values = self.row(text)
@@ -171,23 +193,58 @@ def trained(background: list[str], rounds: int = 300, decay: float = 1e-4) -> Cl
     return model
 
 
+@cache
+def _template_pairs(family: str) -> list[set[str]]:
+    return [{g for g in grams(template) if " " in g} for template in TEMPLATES.get(family, ())]
+
+
 def template_likeness(text: str, family: str) -> float:
     """Largest share of pairs of words that a paragraph and a template of the family have in common,
     of the shorter one's pairs."""
     own = {g for g in grams(text) if " " in g}
     best = 0.0
-    for template in TEMPLATES.get(family, ()):
-        other = {g for g in grams(template) if " " in g}
+    for other in _template_pairs(family):
         if own and other:
             best = max(best, len(own & other) / min(len(own), len(other)))
     return best
 
 
+def confirmed(text: str, family: str, likeness: float) -> bool:
+    """If a paragraph is near a template of the family by more than a few common words."""
+    if likeness < LIKENESS or _NAMED.search(text):
+        return likeness >= LIKENESS
+    own = set(grams(text))
+    return any(len(own & other) >= UNNAMED_PAIRS for other in _template_pairs(family))
+
+
 def background_paragraphs(docs: DataFrame, most: int = BACKGROUND) -> list[str]:
-    """A bounded sample of the corpus: the paragraphs without a licence word that have the smallest hashes."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    lines = lines.where(~F.col("line").rlike("(?i)" + _HINT.pattern)).where(F.length("line") < 2000)
-    return [r.line for r in lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(most).collect()]
+    """A bounded sample of the corpus: the distinct paragraphs with the smallest hashes that are near no template."""
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, str] = {}
+        bound, refused = 1 << 63, set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for line in (text or "").split("\n"):
+                    h = xxh3_64_intdigest(line) >> 1
+                    if h >= bound or h in kept or h in refused or not line or line.isspace():
+                        continue
+                    if any(confirmed(line, f, template_likeness(line, f)) for f in TEMPLATES):
+                        refused.add(h)
+                        continue
+                    kept[h] = line[:HEAD]
+                    if len(kept) >= 2 * most:
+                        for h in sorted(kept)[most:]:
+                            bound = h if h < bound else bound
+                            del kept[h]
+                        refused = {h for h in refused if h < bound}
+        first = sorted(kept)[:most]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first, pa.int64()), pa.array([kept[h] for h in first], pa.string())], names=["h", "line"]
+        )
+
+    found = docs.select("text").mapInArrow(smallest, "h long, line string").distinct()
+    return [r.line for r in found.orderBy("h", "line").limit(most).collect()]
 
 
 def licence_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -195,12 +252,11 @@ def licence_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
 
     n_paragraphs; family, probability and likeness of the confirmed paragraph with the highest
     probability (first wins ties; null if none); families, all confirmed ones, sorted, joined by
-    commas; unknown_paragraphs, those with a word about licences that no family explains. A
-    prediction is confirmed if it is a family, more probable than not, and near one of its templates.
+    commas; unknown_paragraphs, those that no family explains. Every paragraph is scored; one without
+    any word of the templates is unknown whatever the weights. A prediction is confirmed if it is a family, more probable than not, and near one of its templates.
 
     The classifier is trained on variants of the templates and at most BACKGROUND paragraphs of
-    `docs` unless one is given. A paragraph without any word about licences is unknown without being
-    scored. Null or empty text: no paragraphs. Repeated rows are scanned alike. An empty table gives
+    `docs` unless one is given. Null or empty text: no paragraphs. Repeated rows are scanned alike. An empty table gives
     an empty result. Columns of `docs` named like a result are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or trained(background_paragraphs(docs)))
@@ -214,13 +270,11 @@ def licence_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
                 if not line or line.isspace():
                     continue
                 many += 1
-                if not _HINT.search(line):
-                    continue
                 odds = model.probabilities(line)
                 at = int(odds.argmax())
                 family = FAMILIES[at]
                 near = template_likeness(line, family) if family != UNKNOWN else 0.0
-                if family == UNKNOWN or odds[at] < 0.5 or near < LIKENESS:
+                if family == UNKNOWN or odds[at] < 0.5 or not confirmed(line, family, near):
                     strange += 1
                     continue
                 found.add(family)

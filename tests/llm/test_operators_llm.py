@@ -416,6 +416,31 @@ def test_licence_scan(spark, odd):
     assert licences.licence_scan(odd.limit(0)).count() == 0
 
 
+def test_licence_scan_scores_every_paragraph(spark):
+    """Licence lines without a word like licence, and paragraphs that are unknown; the sample has none near a template."""
+    found = {
+        "Distributed under CC BY-SA 4.0.": "CC-BY-SA",
+        'of this software and associated documentation files (the "Software"), to deal': "MIT",
+        "in the Software without restriction, including without limitation the rights": "MIT",
+    }
+    rows = [(k, "\n".join([sentence(k, 25), line, "", sentence(900 + k, 25)])) for k, line in enumerate(found)]
+    rows += [(k, sentence(k, 25) + "\nThe licence fee of this firm is due in the month of May.") for k in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.licence_scan(docs).collect()}
+    for k, family in enumerate(found.values()):
+        assert (got[k].families, got[k].n_paragraphs, got[k].unknown_paragraphs) == (family, 3, 2)
+    plain = spark.createDataFrame([(1, "and the\nto use\nthat can be found in the")], "doc_id long, text string")
+    assert licences.licence_scan(plain, licences.trained([sentence(s, 25) for s in range(200)])).first().families == ""
+    sample = licences.background_paragraphs(docs)
+    assert "The licence fee of this firm is due in the month of May." in sample and len(sample) == len(set(sample)) == 197
+    assert not set(found) & set(sample) and len(licences.background_paragraphs(docs, 20)) == 20
+    text = licences.TEMPLATES["MIT"][2] + " zzz qqq of this"
+    model = licences.trained([sentence(s, 25) for s in range(200)], 5)
+    want = licences.grams(text)
+    assert list(model.row(text)[0][:-2]) == sorted({model.places[g] for g in want if g in model.places})
+    assert model.row(text)[1][-2] == pytest.approx(1 - sum(g in model.places for g in want) / len(want))
+
+
 def test_licence_held_out():
     model = licences.trained([sentence(s, 25) for s in range(200)])
     held = licences.training_paragraphs(seed=99, each=40)
