@@ -116,8 +116,8 @@ def exact_groups(
         "hits",
     )
     content = met.where("stays").select("digest", F.col("text").alias("content"))
-    differ = met.where("not stays").join(content, "digest").where("text <> content").select("digest").distinct()
-    differ = landed(differ, "differ")
+    differ = met.where("not stays").join(content, "digest").where("text <> content").select("digest")
+    differ = landed(differ, "differ")  # not made distinct before: the join could not be split then
     if differ.isEmpty():
         return judged
     mixed = met.drop("stays").join(differ, "digest", "left_semi")
