@@ -211,7 +211,8 @@ PIECE = 40
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant texts cut into pieces; the last piece carries finish and usage, except where it
-    was lost: ``id, seq, ts, content, finish_reason, total_tokens, conv_id``."""
+    was lost; some pause for a minute in the middle: ``id, seq, ts, content, finish_reason,
+    total_tokens, conv_id``."""
     turns = load(spark, sf_dir, "conversations").filter("role = 'assistant'")
     pieces = F.greatest(F.ceil(F.length("text") / PIECE), F.lit(1)).cast("int")
     cut = turns.select(
@@ -219,10 +220,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     last = (F.col("seq") == F.col("pieces") - 1) & (F.col("conv_id") % 13 != 0)
     start = F.lit(1_700_000_000) + F.col("conv_id") * 600 + F.col("turn") * 60
+    pause = F.when((F.col("conv_id") % 4 == 1) & (F.col("seq") * 2 >= F.col("pieces")), 60).otherwise(0)
     return cut.select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.col("seq").cast("bigint").alias("seq"),
-        F.timestamp_seconds(start + F.pmod("seq", F.lit(20))).alias("ts"),
+        F.timestamp_seconds(start + F.pmod("seq", F.lit(20)) + pause).alias("ts"),
         F.expr(f"substring(text, seq * {PIECE} + 1, {PIECE})").alias("content"),
         F.when(last, "stop").alias("finish_reason"),
         F.when(last, F.col("pieces").cast("bigint")).alias("total_tokens"),

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 _USAGE = T.StructType([T.StructField(n, T.LongType()) for n in ("prompt_tokens", "completion_tokens", "total_tokens")])
 _DELTA = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
@@ -30,8 +39,19 @@ CHUNK_SCHEMA = T.StructType(
     ]
 )
 
-# How long a completion may pause, and how late a chunk may come.
-SESSION_GAP, LATENESS = "30 seconds", "10 seconds"
+# How long a completion without an end may pause, and how late a chunk may come.
+IDLE, LATENESS = timedelta(minutes=10), "10 seconds"
+
+_COMPLETION = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("_started", T.LongType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("finish_reason", T.StringType()),
+        T.StructField("total_tokens", T.LongType()),
+        T.StructField("chunks", T.LongType()),
+    ]
+)
 
 
 def scan_chunk_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -52,34 +72,101 @@ def flatten_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def assemble_chunk_stream(chunks: DataFrame, gap: str = SESSION_GAP, lateness: str = LATENESS) -> DataFrame:
-    """One row per completion and session, emitted once the watermark has passed it.
+class Completions(StatefulProcessor):
+    """One completion per key. Pieces are appended to a list state and read once, at the end; what is
+    rewritten per micro-batch is one short row: the first and last time (ms and us), the number of
+    pieces, and the latest finish and usage with their running numbers.
 
-    State is bounded by the open completions: a chunk later than ``lateness`` is dropped (and
-    counted in the query progress), and a session without an end comes out with a null finish.
+    A completion ends when its finish or error event and all numbers before that are there; when the
+    watermark passes an end that still lacks a number, for that chunk would now be late; or, without
+    an end, after ``idle_ms`` of event time without a chunk. It stays known as done for that long, so
+    that chunks delivered again open no second one.
     """
 
-    def last(value: str):
-        return F.max(F.when(F.col(value).isNotNull(), F.struct("seq", F.col(value).alias("v"))))
-
-    sessions = (
-        chunks.withWatermark("ts", lateness)
-        .groupBy("id", F.session_window("ts", gap).alias("session"))
-        .agg(
-            F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("c"))).alias("_p"),
-            last("finish_reason").alias("_f"),
-            last("total_tokens").alias("_u"),
-            F.count(F.lit(1)).alias("chunks"),
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        head = "done boolean, first_us long, last_ms long, pieces long, end long, finish string, told long, tokens long"
+        self.head = handle.getValueState("head", head)
+        self.pieces = handle.getListState("pieces", "seq long, content string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = self.head.get()
+        if held is not None and held[0]:
+            return
+        _, first, last, many, end, finish, told, tokens = held or (False, None, 0, 0, None, None, None, None)
+        new = []
+        for r in rows:
+            us = r["_us"]
+            first, last = us if first is None else min(first, us), max(last, us // 1000)
+            new.append((r["seq"], r["content"] or ""))
+            if r["finish_reason"] is not None and (end is None or r["seq"] >= end):
+                end, finish = r["seq"], r["finish_reason"]
+            if r["total_tokens"] is not None and (told is None or r["seq"] >= told):
+                told, tokens = r["seq"], r["total_tokens"]
+        many += len(new)
+        if end is not None and many > end:
+            text = dict(reversed([*self.pieces.get(), *new] if held else new))  # of a number sent twice, the first counts
+            if sum(0 <= n <= end for n in text) > end:
+                self._wake(last + self.idle_ms, timerValues)
+                self._close(last)
+                yield self._row(key, first, text, finish, tokens)
+                return
+        if held is None or (end is not None and held[4] is None):
+            self._wake(last + (self.idle_ms if end is None else 1), timerValues)
+        self.pieces.appendList(new)
+        self.head.update((False, first, last, many, end, finish, told, tokens))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        held = self.head.get()
+        if held is None:
+            return
+        done, first, last, _, end, finish, _, tokens = held
+        now = timerValues.getCurrentWatermarkInMs()
+        due = last + (self.idle_ms if done or end is None else 1)
+        if due > now:  # chunks came since the timer was set
+            self._wake(due, timerValues)
+        elif done:
+            self.head.clear()
+        else:
+            text = dict(reversed(list(self.pieces.get())))
+            if last + self.idle_ms > now:
+                self._wake(last + self.idle_ms, timerValues)
+                self._close(last)
+            else:
+                self.pieces.clear()
+                self.head.clear()
+            yield self._row(key, first, text, finish, tokens)
+
+    def _wake(self, at: int, now: TimerValues) -> None:
+        self.handle.registerTimer(max(at, now.getCurrentWatermarkInMs() + 1))
+
+    def _close(self, last: int) -> None:
+        self.pieces.clear()
+        self.head.update((True, None, last, None, None, None, None, None))
+
+    def _row(self, key: tuple, first: int, text: dict[int, str], finish: str | None, tokens: int | None) -> Row:
+        return Row(
+            id=key[0], _started=first, content="".join(text[n] for n in sorted(text)), finish_reason=finish, total_tokens=tokens, chunks=len(text)
         )
-    )
-    return sessions.select(
-        "id",
-        F.col("session.start").alias("started"),
-        F.array_join(F.transform(F.sort_array("_p"), lambda p: p["c"]), "").alias("content"),
-        F.col("_f.v").alias("finish_reason"),
-        F.col("_u.v").alias("total_tokens"),
-        "chunks",
-    )
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_chunk_stream(chunks: DataFrame, idle: timedelta = IDLE, lateness: str = LATENESS) -> DataFrame:
+    """One row per completion, given out as soon as it is whole: ``id, started, content,
+    finish_reason, total_tokens, chunks``. A pause inside does not cut it, up to ``idle``.
+
+    Running numbers begin at 0; a chunk sent twice counts once. A chunk later than ``lateness`` is
+    dropped (and counted in the query progress), so state is bounded by the completions of the last
+    ``idle`` of event time. A completion without an end comes out with a null finish.
+    """
+    keyed = chunks.withWatermark("ts", lateness).where("id is not null and seq is not null and ts is not null").withColumn("_us", F.unix_micros("ts"))
+    found = keyed.groupBy("id").transformWithState(Completions(idle // timedelta(milliseconds=1)), _COMPLETION, "append", "EventTime")
+    return found.select("id", F.timestamp_micros("_started").alias("started"), "content", "finish_reason", "total_tokens", "chunks")
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -105,3 +105,51 @@ def test_converters_run_on_streams(spark, tmp_path):
     cs.run_available(converted.drop("raw"), out, str(tmp_path / "ckpt"))
     rows = spark.read.parquet(out).collect()
     assert sorted((r.reason or "", r.messages and [m.role for m in r.messages]) for r in rows) == [("", ["user", "assistant"]), ("invalid_json", None)]
+
+
+def pausing():
+    """Completions with a minute's pause, with a lost chunk, with an error, without an end, and one sent twice."""
+    rows = []
+    for c in range(8):
+        for s in range(6):
+            at = 1000 + c + s + (60 if s >= 3 else 0)
+            rows.append((f"p{c}", s, at, f"{s};", "stop" if s == 5 and c != 6 else None, 3 if s == 5 else None))
+    rows = [r for r in rows if r[:2] != ("p4", 2)]
+    rows += [("p7", s, 1008 + s, f"{s};", None, None) for s in range(2)]
+    rows += [("e", 0, 1000, "x", None, None), ("e", 1, 1001, None, "error", None)]
+    return rows
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_pauses_losses_and_repeats(spark, tmp_path, files):
+    land(spark, pausing(), str(tmp_path / "in"), files)
+    whole = "0;1;2;3;4;5;"
+    want = {f"p{c}": (whole, "stop", 3, 6) for c in (0, 1, 2, 3, 5, 7)}
+    want |= {"p4": ("0;1;3;4;5;", "stop", 3, 5), "p6": (whole, None, 3, 6), "e": ("x", "error", None, 2)}
+    assert run(spark, tmp_path, "a", 1) == want
+    assert spark.read.parquet(str(tmp_path / "out-a")).count() == len(want)
+
+
+def test_completion_comes_out_at_its_end_and_is_remembered(spark, tmp_path):
+    write(spark, [("a", 0, 1000, "x", None, None), ("b", 0, 1000, "q", None, None)], str(tmp_path / "in" / "b0"))
+    assert run(spark, tmp_path, "s", 1) == {}
+    write(spark, [("a", 1, 1060, "y", "stop", 2)], str(tmp_path / "in" / "b1"))
+    want = {"a": ("xy", "stop", 2, 2)}
+    assert run(spark, tmp_path, "s", 1) == want  # no watermark has passed it
+    write(spark, [("a", 1, 1060, "y", "stop", 2), ("a", 0, 1060, "x", None, None)], str(tmp_path / "in" / "b2"))
+    assert run(spark, tmp_path, "s", 1) == want
+    write(spark, [("closing", 0, 10**6, None, None, None)], str(tmp_path / "in" / "b3"))
+    assert run(spark, tmp_path, "s", 1) == want | {"b": ("q", None, None, 1)}
+    assert spark.read.parquet(str(tmp_path / "out-s")).count() == 2
+
+
+def test_pieces_are_appended_and_read_once(spark, tmp_path):
+    """The list state grows by what a micro-batch brings; nothing is left of it at the end."""
+    for s in range(4):
+        write(spark, [("a", s, 1000 + s, "x" * 100, None, None)], str(tmp_path / "in" / f"b{s}"))
+        run(spark, tmp_path, "p", 1)
+        held = spark.read.format("statestore").option("stateVarName", "pieces").load(str(tmp_path / "ckpt-p"))
+        assert held.count() == s + 1
+    write(spark, [("a", 4, 1004, "!", "stop", 1)], str(tmp_path / "in" / "b4"))
+    assert run(spark, tmp_path, "p", 1)["a"][0] == "x" * 400 + "!"
+    assert spark.read.format("statestore").option("stateVarName", "pieces").load(str(tmp_path / "ckpt-p")).count() == 0
