@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chatloom.operators import drafting, evaluate, responses as rs
 from chatloom.operators.governance import redact_literal
+from chatloom.operators.secrets import redact_table
 from chatloom.plans import fixtures as fx
 from chatloom.plans.corpus import flat
 from chatloom.plans.registry import query
@@ -308,3 +309,28 @@ def m2_assemble_chunk_stream(spark, sf_dir):
 def k7_redact_literal(spark, sf_dir):
     lines = fx.log_lines(spark, sf_dir)
     return lines.select("event_id", redact_literal(F.col("line"), SECRETS).alias("line"))
+
+
+# Secrets are the keys of two users in three; the longest that a line's key begins with is covered.
+TABLED = f"""WITH {LINES}, s AS (SELECT DISTINCT 'sk-' || user_id AS secret FROM events WHERE user_id % 3 > 0),
+  k AS (SELECT DISTINCT user_id, 'sk-' || user_id AS key FROM events),
+  cut AS (SELECT user_id, key, unnest(range(4, length(key) + 1)) AS n FROM k),
+  longest AS (SELECT user_id, max(n) AS n FROM cut JOIN s ON secret = key[1:n] GROUP BY user_id)
+  SELECT e.event_id, concat('INFO ', event_type, ' api-key ', CASE WHEN n IS NULL THEN 'sk-' || e.user_id ELSE '***' || ('sk-' || e.user_id)[n + 1:] END, ' event=', e.event_id) AS line
+  FROM events e LEFT JOIN longest USING (user_id)"""
+
+
+def secret_table(spark, sf_dir):
+    users = fx.load(spark, sf_dir, "events").where("user_id % 3 > 0")
+    return users.select(F.concat(F.lit("sk-"), "user_id").alias("secret"))
+
+
+@query("k7_redact_table", TABLED)
+def k7_redact_table(spark, sf_dir):
+    return redact_table(fx.log_lines(spark, sf_dir), secret_table(spark, sf_dir))
+
+
+@query("k7_redact_table_joined", TABLED)
+def k7_redact_table_joined(spark, sf_dir):
+    """The way of tables that are too large to be sent to tasks."""
+    return redact_table(fx.log_lines(spark, sf_dir), secret_table(spark, sf_dir), secret_bytes=0)

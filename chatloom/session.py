@@ -56,3 +56,11 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that several jobs read, in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several jobs read to the shared folder and read it back: the lineage is cut,
+    rows have a fixed place, and the planner knows the size of what it reads."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -111,7 +111,9 @@ class Completions(StatefulProcessor):
             text = dict(reversed([*self.pieces.get(), *new] if held else new))  # of a number sent twice, the first counts
             if sum(0 <= n <= end for n in text) > end:
                 self._wake(last + self.idle_ms, timerValues)
-                self._close(last)
+                if held:
+                    self.pieces.clear()
+                self.head.update((True, None, last, None, None, None, None, None))
                 yield self._row(key, first, text, finish, tokens)
                 return
         if held is None or (end is not None and held[4] is None):
@@ -132,21 +134,17 @@ class Completions(StatefulProcessor):
             self.head.clear()
         else:
             text = dict(reversed(list(self.pieces.get())))
+            self.pieces.clear()
             if last + self.idle_ms > now:
                 self._wake(last + self.idle_ms, timerValues)
-                self._close(last)
+                self.head.update((True, None, last, None, None, None, None, None))
             else:
-                self.pieces.clear()
                 self.head.clear()
             yield self._row(key, first, text, finish, tokens)
 
     def _wake(self, at: int, now: TimerValues) -> None:
         self.handle.registerTimer(max(at, now.getCurrentWatermarkInMs() + 1))
 
-    def _close(self, last: int) -> None:
-        self.pieces.clear()
-        self.head.update((True, None, last, None, None, None, None, None))
-
     def _row(self, key: tuple, first: int, text: dict[int, str], finish: str | None, tokens: int | None) -> Row:
         return Row(
             id=key[0], _started=first, content="".join(text[n] for n in sorted(text)), finish_reason=finish, total_tokens=tokens, chunks=len(text)
