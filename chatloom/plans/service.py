@@ -15,6 +15,7 @@ from chatloom.plans.registry import query
 from chatloom.plans.sql import lit, strip
 from chatloom.session import scratch_path
 from chatloom.streaming import chunks as cs
+from chatloom.streaming import follow as fl
 from chatloom.streaming import logs as ls
 
 WRAPPED = "CASE WHEN conv_id % 4 = 0 THEN text WHEN conv_id % 4 = 1 THEN '<think> ' || text || chr(10) || '</think>x' ELSE '<think></think><think>b</think>' || text END"
@@ -305,6 +306,14 @@ def m2_assemble_chunk_stream(spark, sf_dir):
     return spark.read.parquet(out).drop("started")
 
 
+@query("m1_follow_files", f"WITH {LINES} SELECT {REDACTED} AS line FROM l")
+def m1_follow_files(spark, sf_dir):
+    out = scratch_path(spark, "log-out")
+    stream = fl.follow_files(spark, landed_logs(spark, sf_dir), SECRETS, "earliest").select("line")
+    cs.run_available(stream, out, scratch_path(spark, "log-ckpt"))
+    return spark.read.schema("line string").parquet(out)
+
+
 @query("k7_redact_literal", f"WITH {LINES} SELECT event_id, {REDACTED} AS line FROM l")
 def k7_redact_literal(spark, sf_dir):
     lines = fx.log_lines(spark, sf_dir)
