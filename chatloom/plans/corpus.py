@@ -13,6 +13,7 @@ from chatloom.plans.registry import query
 from chatloom.plans.sql import CLEAN_TURNS, LF, jstrip, lines as sql_lines, lit, numbered, strip
 from chatloom.session import scratch_path
 from chatloom.sources import readers, sinks
+from chatloom.sources.files import write_files
 
 PROMPT = "You are a helpful assistant."
 BLANKS_KEPT = DataOptions(skip_empty_lines=False)
@@ -87,11 +88,19 @@ CARD_NAMES = ", ".join(lit(f) for f in readers.CARD_FILES)
 )
 def a5_scan_model_cards(spark, sf_dir):
     names = F.array(*[F.lit(f) for f in readers.CARD_FILES])
-    name = F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
-    path = F.concat_ws("/", F.lit("file:/models"), F.col("doc_id").cast("string"), name)
+    name = F.concat_ws("/", F.col("doc_id").cast("string"), F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")))
     content = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))
-    files = fx.load(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content"))
-    return readers.card_rows(files, "/models")
+    root = scratch_path(spark, "models")
+    write_files(fx.spread(fx.load(spark, sf_dir, "documents"), "doc_id").select(name.alias("name"), content.alias("content")), root)
+    return readers.scan_model_cards(spark, root)
+
+
+@query("a4_materialise", SAMPLES)
+def a4_materialise(spark, sf_dir):
+    path = scratch_path(spark, "corpus")
+    fx.rec_messages(spark, sf_dir).select(F.col("raw").alias("value")).write.text(path)
+    done = readers.materialise(spark, path, "jsonl", scratch_path(spark, "training"))
+    return flat(spark.read.schema(f"messages {messages.MESSAGES}").json(done.processed))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Collection
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from chatloom.operators import formats
 from chatloom.operators.lines import drop_comment_lines, drop_empty_lines, is_comment, is_empty, number_lines
 from chatloom.options import DROPMALFORMED, DataFormatError, DataOptions
 from chatloom.session import configure
+from chatloom.sources import sinks
 
 # Encodings whose files can be cut at LF and CR bytes before decoding.
 _LINE_SAFE = {
@@ -132,7 +134,15 @@ def looks_like_hub_id(value: str) -> bool:
     return bool(text) and "/" in text and not text.startswith((".", "/")) and "\\" not in text
 
 
-def load_corpus(
+class Corpus(NamedTuple):
+    """A source that was found: its samples, and its catalogue rows where it has any."""
+
+    name: str
+    samples: DataFrame
+    rows: DataFrame | None
+
+
+def find_corpus(
     spark: SparkSession,
     spec: str,
     data_format: str,
@@ -141,9 +151,9 @@ def load_corpus(
     split: str = "train",
     catalog_root: str | None = None,
     mode: str = DROPMALFORMED,
-) -> DataFrame:
-    """Samples of a corpus: an existing path is parsed by its declared format; otherwise an id of
-    the form ``owner/name`` is read from landed catalogue rows, with the layout detected per row."""
+) -> Corpus:
+    """A corpus that nothing was read of yet: an existing path is parsed by its declared format;
+    otherwise an id ``owner/name`` means landed catalogue rows, with the layout detected per row."""
     configure(spark)
     options = options or DataOptions()
     raw = spec.strip(PY_SPACE)
@@ -155,7 +165,8 @@ def load_corpus(
     else:
         scan = scan_lines if data_format.strip().lower() in formats.LINE_FORMATS else scan_records
         converted = formats.convert(scan(spark, raw, options), data_format, options)
-        return formats.require_samples(formats.samples(converted, mode), raw)
+        stem = re.sub(r"(?<=.)\.[^.]*$", "", raw.rstrip("/").rsplit("/", 1)[-1])
+        return Corpus(stem, formats.samples(converted, mode), None)
     if source == "local" or not looks_like_hub_id(raw):
         raise DataFormatError(f"Training data not found: {raw}")
     if source not in ("auto", "hf", "modelscope"):
@@ -163,13 +174,42 @@ def load_corpus(
     if catalog_root is None:
         raise DataFormatError(f"No landed rows for {raw}: catalog_root is not set")
     landed = spark.read.parquet(f"{catalog_root.rstrip('/')}/{raw}")
+    plain = landed.filter(F.col("split") == split).drop("split") if "split" in landed.columns else landed
     # A row is known by its file and its place there, however files are cut into tasks.
     if "record_no" not in landed.columns:
         landed = landed.withColumn("record_no", F.col("_metadata.row_index"))
     if "source_path" not in landed.columns:
         landed = landed.withColumn("source_path", F.concat(F.lit(raw + "/"), F.col("_metadata.file_name")))
     rows = scan_catalog(landed, split, probed=formats.catalog_columns(options))
-    return formats.require_samples(formats.samples(formats.from_catalog(rows, options)), raw)
+    return Corpus(raw.replace("/", "__"), formats.samples(formats.from_catalog(rows, options)), plain)
+
+
+def load_corpus(spark: SparkSession, spec: str, data_format: str, *args: object, **how: object) -> DataFrame:
+    """Samples of a corpus (see find_corpus); one that yields no sample is refused."""
+    return formats.require_samples(find_corpus(spark, spec, data_format, *args, **how).samples, spec.strip(PY_SPACE))
+
+
+class Materialised(NamedTuple):
+    processed: str
+    raw: str | None
+    samples: int
+
+
+def materialise(
+    spark: SparkSession, spec: str, data_format: str, folder: str, *args: object, write_mode: str = "overwrite", **how: object
+) -> Materialised:
+    """Find a corpus (see find_corpus), write its samples to ``folder/processed/NAME.jsonl`` and archive
+    its catalogue rows, if it has any, in ``folder/raw/NAME.jsonl``.
+
+    The source is converted once: samples are counted as they are written, and a corpus without one is
+    refused at the commit, before anything is archived; what stood there then stays.
+    """
+    corpus = find_corpus(spark, spec, data_format, *args, **how)
+    base = folder.rstrip("/")
+    path = f"{base}/processed/{corpus.name}.jsonl"
+    counts = sinks.write_processed(corpus.samples, path, write_mode)
+    raw = None if corpus.rows is None else sinks.write_raw(corpus.rows, f"{base}/raw", corpus.name, write_mode)
+    return Materialised(path, raw, counts["rows"])
 
 
 def _below(root: str, depth: int) -> tuple[Column, Column]:

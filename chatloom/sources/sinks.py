@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import js_blank, jstrim
 from chatloom.operators.render import render_chatml
-from chatloom.options import DataFormatError
+from chatloom.sources.files import write_files, write_lines
 
 
 def processed_lines(found: DataFrame) -> DataFrame:
@@ -17,11 +17,10 @@ def processed_lines(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct("messages")).alias("value"))
 
 
-def write_processed(found: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write samples as JSON Lines; an empty dataset is refused."""
-    if found.isEmpty():
-        raise DataFormatError("Refusing to write empty processed dataset.")
-    processed_lines(found).write.mode(mode).text(path)
+def write_processed(found: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Write samples as JSON Lines in one pass; an empty dataset is refused when the rows are counted
+    at the commit, and then nothing is written. Gives the counts."""
+    return write_lines(processed_lines(found), path, mode, least=1, suffix=".jsonl")
 
 
 def write_outcome(converted: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -89,9 +88,10 @@ def pair_text(pairs: DataFrame) -> DataFrame:
 
 
 def write_eval_report(summary: DataFrame, folder: str, name: str | None = None, mode: str = "errorifexists") -> str:
-    """Indented JSON of a one-row summary; the default name carries the UTC time."""
+    """One file with the indented JSON of a one-row summary; the default name carries the UTC time."""
     stamp = name or f"eval-{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}.json"
     path = f"{folder.rstrip('/')}/{stamp}"
     text = F.to_json(F.struct(*summary.columns), {"pretty": "true", "ignoreNullFields": "false"})
-    summary.select(text.alias("value")).coalesce(1).write.mode(mode).text(path)
+    report = summary.select(F.lit(stamp).alias("name"), F.concat(text, F.lit("\n")).alias("content"))
+    write_files(report, folder, "append", replace=mode == "overwrite", least=1)
     return path

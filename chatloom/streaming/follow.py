@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from chatloom.operators.governance import redact_literal
+from chatloom.sources.files import filesystem
 
 HEAD = 256  # bytes at the beginning by which a file is known again
 BLOCK = 1 << 20
@@ -20,13 +21,6 @@ RANGE_BYTES = 32 << 20  # new bytes of a file that one task reads
 BATCH_LINES = 10_000
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI; a bare path is local."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-    return pafs.LocalFileSystem(), path
-
-
 def complete_bytes(file: pa.NativeFile, size: int) -> int:
     """Place behind the last line break in the first `size` bytes, looked for from the end."""
     end = size
