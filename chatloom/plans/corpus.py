@@ -14,6 +14,7 @@ from chatloom.plans.sql import CLEAN_TURNS, LF, jstrip, lines as sql_lines, lit,
 from chatloom.session import scratch_path
 from chatloom.sources import readers, sinks
 from chatloom.sources.files import write_files
+from chatloom.sources.json_lists import scan_large_json
 
 PROMPT = "You are a helpful assistant."
 BLANKS_KEPT = DataOptions(skip_empty_lines=False)
@@ -72,6 +73,24 @@ def a3_scan_catalog(spark, sf_dir):
 SAMPLES = f"WITH {CLEAN_TURNS} SELECT n, role, content FROM sample_rows"
 
 
+@query(
+    "a2_scan_json_lists",
+    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1 AS record_no, length(text) AS chars, md5(text) AS digest
+    FROM documents""",
+)
+def a2_scan_json_lists(spark, sf_dir):
+    """Lists of 500 documents a file, cut at their elements as files of any size are."""
+    docs = fx.load(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("block"))
+    lists = docs.agg(F.to_json(F.sort_array(F.collect_list(F.struct("doc_id", "text")))).alias("content"))
+    root = scratch_path(spark, "lists")
+    write_files(lists.select(F.concat(F.col("block").cast("string"), F.lit(".json")).alias("name"), "content"), root)
+    found = scan_large_json(spark, root, 0, DataOptions()).withColumn("text", F.expr("variant_get(record, '$.text', 'string')"))
+    return found.select(
+        F.expr("variant_get(record, '$.doc_id', 'long')").alias("doc_id"), "record_no",
+        F.length("text").cast("bigint").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"),
+    )
+
+
 @query("a4_load_corpus", SAMPLES)
 def a4_load_corpus(spark, sf_dir):
     path = scratch_path(spark, "corpus")

@@ -17,6 +17,7 @@ from chatloom.operators.lines import drop_comment_lines, drop_empty_lines, is_co
 from chatloom.options import DROPMALFORMED, DataFormatError, DataOptions
 from chatloom.session import configure
 from chatloom.sources import sinks
+from chatloom.sources.json_lists import scan_large_json
 
 # Encodings whose files can be cut at LF and CR bytes before decoding.
 _LINE_SAFE = {
@@ -27,6 +28,9 @@ _LINE_SAFE = {
 # Encodings Spark can decode only for a whole file.
 _WHOLE_FILE = {"utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-32": "UTF-32"}
 
+# A .json file is read as one row up to this size.
+WHOLE_BYTES = 8 << 20
+
 # The files a license is looked up in.
 CARD_FILES = ("README.md", "LICENSE", "license", "LICENSE.txt", "configuration.json")
 
@@ -85,12 +89,17 @@ def scan_jsonl(spark: SparkSession, path: str, options: DataOptions = DataOption
 def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOptions()) -> DataFrame:
     """``source_path, record_no, record`` (variant) of ``.json`` and JSON Lines files.
 
-    A ``.json`` file that opens with a bracket is one JSON value, so it is read as one row; a list
-    gives many records. Corpora too large for that belong in JSON Lines, which are split freely.
-    Where the bytes are no UTF-8 (of a ``.json`` file, or of a line) the record is null, a reject.
+    A ``.json`` file that opens with a bracket is one JSON value; a list gives many records. Up to
+    WHOLE_BYTES such a file is read as one row, and above it is cut at its records by as many tasks as it
+    has splits, with the same rows. Where the bytes are no UTF-8 (of a ``.json`` file, or of a line) the
+    record is null, a reject.
     """
-    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.[jJ][sS][oO][nN]", recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("source_path"), pystrip(F.col("value")).alias("text"), F.is_valid_utf8("value").alias("_ok")
+    names = "*.[jJ][sS][oO][nN]"
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=names, recursiveFileLookup=True)
+    texts = files.where(F.col("_metadata.file_size") <= WHOLE_BYTES).select(
+        F.col("_metadata.file_path").alias("source_path"),
+        pystrip(F.regexp_replace("value", "^\ufeff", "")).alias("text"),  # the line reader drops the mark too
+        F.is_valid_utf8("value").alias("_ok"),
     )
     single = F.col("text").rlike(r"^[\[{]")
     keep = F.filter(F.split("text", "\r\n|[\n\r]"), lambda x: ~(is_empty(x, options) | is_comment(x, options)))
@@ -107,9 +116,13 @@ def scan_records(spark: SparkSession, path: str, options: DataOptions = DataOpti
     whole = staged.select("source_path", "_ok", F.posexplode(found).alias("record_no", "record"))
     whole = whole.withColumn("record", F.when(F.col("_ok"), F.col("record")))
     lined = scan_jsonl(spark, path, options, skip=".json")
-    return whole.select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record").unionByName(
+    found = whole.select("source_path", F.col("record_no").cast("bigint").alias("record_no"), "record").unionByName(
         lined.select("source_path", "record_no", F.expr(strict_json("raw")).alias("record"))
     )
+    sized = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
+    if sized.where(F.col("length") > WHOLE_BYTES).isEmpty():
+        return found
+    return found.unionByName(scan_large_json(spark, path, WHOLE_BYTES, options))
 
 
 def scan_catalog(
