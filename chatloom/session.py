@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A frame is broadcast only after its row count was taken and found below this.
-BROADCAST_ROWS = 500_000
 ARROW_ROWS = 1_000
 
 

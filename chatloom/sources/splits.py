@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 KEYS = ["source_path", "block_start"]
 # A table of splits is broadcast only up to this many bytes, after they were summed.
 FACT_BYTES = 64 << 20
+CHANGED = "the file splits changed between two passes over the lines"
 
 
 def before(*order: str) -> W:
@@ -25,12 +26,21 @@ def told(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of a file scan, in their order, with the facts of their split.
 
     A table of splits too large to be broadcast is joined by shuffle, and the rows are put in order again.
+    Both passes over the files must cut them alike; a row of a split that is not known fails the job.
     """
-    size = facts.agg(F.sum(F.octet_length("source_path") + 8 * len(facts.columns) + 64)).first()[0] or 0
-    if size <= FACT_BYTES:
-        return rows.join(F.broadcast(facts), KEYS)
-    marked = rows.withColumn("_mid", F.monotonically_increasing_id()).join(facts, KEYS)
-    return marked.repartition(*KEYS).sortWithinPartitions(*KEYS, "_mid").drop("_mid")
+    marked, known = rows, facts.withColumn("_known", F.lit(True))
+    small = few(facts)
+    if not small:
+        marked = rows.withColumn("_mid", F.monotonically_increasing_id())
+    joined = marked.join(F.broadcast(known) if small else known, KEYS, "left")
+    checked = joined.withColumn("_known", F.coalesce("_known", F.raise_error(F.lit(CHANGED)).cast("boolean")))
+    return checked if small else checked.repartition(*KEYS).sortWithinPartitions(*KEYS, "_mid").drop("_mid")
+
+
+def few(facts: DataFrame) -> bool:
+    """Whether a table of splits may be broadcast, by its bytes."""
+    size = facts.agg(F.sum(F.octet_length("source_path") + 8 * len(facts.columns) + 64)).first()[0]
+    return (size or 0) <= FACT_BYTES
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
