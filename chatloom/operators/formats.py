@@ -376,12 +376,30 @@ def rejects(converted: DataFrame) -> DataFrame:
     return converted.filter(F.col("reason").isNotNull()).select(*keep)
 
 
+def is_error() -> Column:
+    """Whether a converted record is one that stops a file: what is passed over does not."""
+    return F.col("reason").isNotNull() & ~F.col("reason").isin(*SKIPPED)
+
+
+def first_errors(converted: DataFrame) -> DataFrame:
+    """``source_path, record_no, reason``: the first erroneous record of each file that has one, whatever
+    order tasks run in. One row per task and file is exchanged."""
+    first = F.min(F.struct("record_no", "reason")).alias("_first")
+    return converted.filter(is_error()).groupBy("source_path").agg(first).select("source_path", "_first.record_no", "_first.reason")
+
+
+def sound_files(converted: DataFrame) -> DataFrame:
+    """Samples of the files without any erroneous record: an error drops the whole file."""
+    return samples(converted).join(first_errors(converted).select("source_path"), "source_path", "left_anti").select(*samples(converted).columns)
+
+
 def samples(converted: DataFrame, mode: str = DROPMALFORMED) -> DataFrame:
     """Samples of a converted frame.
 
     ``DROPMALFORMED`` leaves rejects out (``PERMISSIVE`` too: read them with ``rejects``).
-    ``FAILFAST`` stops the job at the first erroneous record. The check is part of the row filter,
-    so no column pruning can remove it and no partial output is committed.
+    ``FAILFAST`` stops the job at an erroneous record that some task meets. The check is part of the row
+    filter, so no column pruning can remove it and no partial output is committed. Which one is the
+    first of a file tell ``first_errors`` and, as it writes, ``sinks.write_converted``.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -389,7 +407,7 @@ def samples(converted: DataFrame, mode: str = DROPMALFORMED) -> DataFrame:
     if mode == FAILFAST:
         where = F.concat_ws("#", *[F.col(c).cast("string") for c in ("source_path", "record_no") if c in converted.columns])
         failed = F.raise_error(F.concat(F.lit("bad record "), where, F.lit(": "), F.col("reason"))).cast("boolean")
-        good = F.when(~good & ~F.col("reason").isin(*SKIPPED), failed).otherwise(good)
+        good = F.when(is_error(), failed).otherwise(good)
     kept = converted.filter(good)
     return kept.drop("reason", "raw") if mode != PERMISSIVE else kept.drop("reason")
 

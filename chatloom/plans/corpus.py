@@ -413,19 +413,43 @@ def d5_load_system_prompt(spark, sf_dir):
     return talk.select("conv_id", F.get(lead, F.lit(0))["content"].alias("prompt"))
 
 
-@query(
-    "d6_validation_mode",
-    """SELECT conv_id * 10 AS record_no, CASE WHEN NOT bool_or(role = 'user') THEN 'no_user' ELSE 'no_assistant' END AS reason
+REJECTED = """SELECT conv_id * 10 AS record_no, CASE WHEN NOT bool_or(role = 'user') THEN 'no_user' ELSE 'no_assistant' END AS reason
       FROM conversations GROUP BY conv_id HAVING NOT (bool_or(role = 'user') AND bool_or(role = 'assistant'))
     UNION ALL SELECT DISTINCT conv_id * 10 + 1, 'no_messages' FROM conversations WHERE conv_id % 10 = 9
     UNION ALL SELECT DISTINCT conv_id * 10 + 2, 'invalid_json' FROM conversations WHERE conv_id % 10 = 8
     UNION ALL SELECT DISTINCT conv_id * 10 + 3, 'invalid_json' FROM conversations WHERE conv_id % 10 = 7
-    UNION ALL SELECT DISTINCT conv_id * 10 + 4, 'unsupported_role' FROM conversations WHERE conv_id % 10 = 6""",
-)
+    UNION ALL SELECT DISTINCT conv_id * 10 + 4, 'unsupported_role' FROM conversations WHERE conv_id % 10 = 6"""
+
+
+@query("d6_validation_mode", REJECTED)
 def d6_validation_mode(spark, sf_dir):
     return formats.rejects(formats.from_messages_jsonl(fx.rec_messages(spark, sf_dir))).select("record_no", "reason")
 
 
+def in_files(spark, sf_dir):
+    """The records of every fiftieth conversation in one file."""
+    records = fx.rec_messages(spark, sf_dir)
+    return formats.from_messages_jsonl(records.withColumn("source_path", F.concat(F.lit("f"), F.expr("record_no div 10 % 50").cast("string"))))
+
+
+@query(
+    "d6_first_errors",
+    f"""SELECT 'f' || (record_no // 10 % 50) AS source_path, min(record_no) AS record_no, arg_min(reason, record_no) AS reason
+    FROM ({REJECTED}) WHERE reason <> 'no_messages' GROUP BY 1""",
+)
+def d6_first_errors(spark, sf_dir):
+    return formats.first_errors(in_files(spark, sf_dir))
+
+
+@query(
+    "d6_sound_files",
+    f"""WITH {CLEAN_TURNS}, broken AS (SELECT DISTINCT record_no // 10 % 50 AS f FROM ({REJECTED}) WHERE reason <> 'no_messages')
+    SELECT conv_id * 10 AS record_no, n, role, content FROM sample_rows WHERE conv_id % 50 NOT IN (SELECT f FROM broken)""",
+)
+def d6_sound_files(spark, sf_dir):
+    return flat(formats.sound_files(in_files(spark, sf_dir)), "record_no")
+
+
 # --- converters ----------------------------------------------------------------------------
 
 PAIR_MESSAGES = """

@@ -7,12 +7,14 @@ are done and their messages tell that there are rows enough. Otherwise the targe
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.errors import PySparkException
@@ -22,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from chatloom.options import DataFormatError
 
-NO_ROWS = "NO_ROWS_TO_COMMIT"
+NO_ROWS, BAD_RECORD = "NO_ROWS_TO_COMMIT", "BAD_RECORD_TO_COMMIT"
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -35,16 +37,19 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task wrote: its staging folder, which holds a manifest of its files, and counts."""
+    """What a task wrote: its staging folder, which holds a manifest of its files, and counts; the first bad
+    record it met, (path, number, reason)."""
 
     folder: str
     rows: int
     size: int
+    bad: tuple[str, int, str] | None = None
 
 
 class FilesWriter(DataSourceArrowWriter):
-    """Options: path; kind, `named` for (name, content) rows or `lines` for one text column; least, the
-    rows without which nothing is committed; suffix of line files; replace, to put named files over others."""
+    """Options: path; kind, `named` for (name, content) rows or `lines` for one text column, which
+    (source_path, record_no, reason) of the rows that must not be there may follow; least, the rows without
+    which nothing is committed; suffix of line files; replace, to put named files over others."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.uri, self.kind = options["path"], options.get("kind", "named")
@@ -84,6 +89,12 @@ class FilesWriter(DataSourceArrowWriter):
         out = None
         try:
             for batch in batches:
+                if batch.num_columns > 1:
+                    good = batch.column(3).is_null()
+                    for bad in batch.filter(pc.invert(good)).select([1, 2, 3]).to_pylist():
+                        first = tuple(bad.values())
+                        done.bad = first if done.bad is None else min(done.bad, first)
+                    batch = batch.filter(good)
                 if not batch.num_rows:
                     continue
                 out = out or fs.open_output_stream(f"{done.folder}/0")
@@ -109,6 +120,9 @@ class FilesWriter(DataSourceArrowWriter):
         fs, path = filesystem(self.uri)
         done = [m for m in messages if m is not None]
         rows = sum(m.rows for m in done)
+        bad = [m.bad for m in done if m.bad is not None]
+        if bad:
+            raise ValueError(f"{BAD_RECORD} {json.dumps(min(bad))} END")
         if rows < self.least:
             raise ValueError(f"{NO_ROWS}: {rows} rows, at least {self.least} are asked for")
         aside, placed = f"{path}/_replaced-{self.job}", 0
@@ -188,6 +202,10 @@ def _saved(df: DataFrame, path: str, mode: str, **options: object) -> dict[str,
     try:
         writer.options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).save(path)
     except PySparkException as failed:
+        told = re.search(rf"{BAD_RECORD} (\[.*\]) END", str(failed))
+        if told:
+            where, number, reason = json.loads(told[1])
+            raise DataFormatError(f"{where}, record {number}: {reason}") from None
         if NO_ROWS in str(failed):
             raise DataFormatError(f"Nothing to write to {path}: fewer rows than asked for.") from None
         raise
@@ -207,5 +225,11 @@ def write_files(files: DataFrame, path: str, mode: str = "errorifexists", replac
 
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists", least: int = 0, suffix: str = ".txt") -> dict[str, int]:
     """Write the texts of the first column as lines, one file per task, counted in the same pass; with
-    fewer rows than `least` the target stays as it was, also where it was to be overwritten."""
-    return _saved(lines.select(F.col(lines.columns[0]).cast("string").alias("value")), path, mode, kind="lines", least=least, suffix=suffix)
+    fewer rows than `least` the target stays as it was, also where it was to be overwritten.
+
+    With the columns ``source_path, record_no, reason`` behind it, rows that have a reason are errors: the
+    first one, by path and number, is raised at the commit, and nothing is written.
+    """
+    text = F.col(lines.columns[0]).cast("string").alias("value")
+    told = [F.col("source_path").cast("string"), F.col("record_no").cast("long"), F.col("reason")] if "reason" in lines.columns else []
+    return _saved(lines.select(text, *told), path, mode, kind="lines", least=least, suffix=suffix)

@@ -148,10 +148,12 @@ def looks_like_hub_id(value: str) -> bool:
 
 
 class Corpus(NamedTuple):
-    """A source that was found: its samples, and its catalogue rows where it has any."""
+    """A source that was found: its converted records, how they are checked, and its catalogue rows where
+    it has any."""
 
     name: str
-    samples: DataFrame
+    converted: DataFrame
+    validation: str
     rows: DataFrame | None
 
 
@@ -179,7 +181,7 @@ def find_corpus(
         scan = scan_lines if data_format.strip().lower() in formats.LINE_FORMATS else scan_records
         converted = formats.convert(scan(spark, raw, options), data_format, options)
         stem = re.sub(r"(?<=.)\.[^.]*$", "", raw.rstrip("/").rsplit("/", 1)[-1])
-        return Corpus(stem, formats.samples(converted, mode), None)
+        return Corpus(stem, converted, mode, None)
     if source == "local" or not looks_like_hub_id(raw):
         raise DataFormatError(f"Training data not found: {raw}")
     if source not in ("auto", "hf", "modelscope"):
@@ -194,12 +196,15 @@ def find_corpus(
     if "source_path" not in landed.columns:
         landed = landed.withColumn("source_path", F.concat(F.lit(raw + "/"), F.col("_metadata.file_name")))
     rows = scan_catalog(landed, split, probed=formats.catalog_columns(options))
-    return Corpus(raw.replace("/", "__"), formats.samples(formats.from_catalog(rows, options)), plain)
+    # Bad catalogue rows are passed over in every mode.
+    return Corpus(raw.replace("/", "__"), formats.from_catalog(rows, options), DROPMALFORMED, plain)
 
 
 def load_corpus(spark: SparkSession, spec: str, data_format: str, *args: object, **how: object) -> DataFrame:
-    """Samples of a corpus (see find_corpus); one that yields no sample is refused."""
-    return formats.require_samples(find_corpus(spark, spec, data_format, *args, **how).samples, spec.strip(PY_SPACE))
+    """Samples of a corpus (see find_corpus); one that yields no sample is refused. ``materialise`` does so
+    without reading ahead."""
+    corpus = find_corpus(spark, spec, data_format, *args, **how)
+    return formats.require_samples(formats.samples(corpus.converted, corpus.validation), spec.strip(PY_SPACE))
 
 
 class Materialised(NamedTuple):
@@ -214,13 +219,14 @@ def materialise(
     """Find a corpus (see find_corpus), write its samples to ``folder/processed/NAME.jsonl`` and archive
     its catalogue rows, if it has any, in ``folder/raw/NAME.jsonl``.
 
-    The source is converted once: samples are counted as they are written, and a corpus without one is
-    refused at the commit, before anything is archived; what stood there then stays.
+    The source is converted once: samples are counted as they are written, and a corpus without one, or
+    with ``mode="FAILFAST"`` one with a bad record, is refused at the commit, before anything is archived;
+    what stood there then stays.
     """
     corpus = find_corpus(spark, spec, data_format, *args, **how)
     base = folder.rstrip("/")
     path = f"{base}/processed/{corpus.name}.jsonl"
-    counts = sinks.write_processed(corpus.samples, path, write_mode)
+    counts = sinks.write_converted(corpus.converted, path, corpus.validation, write_mode)
     raw = None if corpus.rows is None else sinks.write_raw(corpus.rows, f"{base}/raw", corpus.name, write_mode)
     return Materialised(path, raw, counts["rows"])
 

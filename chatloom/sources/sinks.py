@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import js_blank, jstrim
+from chatloom.operators.formats import is_error, samples
 from chatloom.operators.render import render_chatml
+from chatloom.options import DROPMALFORMED, FAILFAST
 from chatloom.sources.files import write_files, write_lines
 
 
@@ -23,6 +25,19 @@ def write_processed(found: DataFrame, path: str, mode: str = "errorifexists") ->
     return write_lines(processed_lines(found), path, mode, least=1, suffix=".jsonl")
 
 
+def write_converted(converted: DataFrame, path: str, validation: str = DROPMALFORMED, mode: str = "errorifexists") -> dict[str, int]:
+    """Write the samples of a converted frame as JSON Lines in one pass.
+
+    With ``FAILFAST`` the first erroneous record, by path and number, is raised as a DataFormatError when
+    all tasks are done, the same one however they ran, and nothing is written.
+    """
+    if validation != FAILFAST:
+        return write_processed(samples(converted, validation), path, mode)
+    kept = converted.filter(F.col("reason").isNull() | is_error())
+    lines = kept.select(F.to_json(F.struct("messages")).alias("value"), "source_path", "record_no", "reason")
+    return write_lines(lines, path, mode, least=1, suffix=".jsonl")
+
+
 def write_outcome(converted: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write samples and rejects in one pass, partitioned by ``accepted``."""
     converted.withColumn("accepted", F.col("reason").isNull()).write.partitionBy("accepted").mode(mode).parquet(path)

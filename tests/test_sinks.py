@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.options import DataFormatError, DataOptions
+from chatloom.operators import formats
+from chatloom.options import FAILFAST, DataFormatError, DataOptions
 from chatloom.sources import files, readers, sinks
 
 
@@ -129,3 +130,35 @@ def test_report_is_one_file(spark, tmp_path):
         sinks.write_eval_report(summary, str(tmp_path / "r"), "a.json")
     sinks.write_eval_report(summary, str(tmp_path / "r"), "a.json", "overwrite")
     assert tree(tmp_path / "r") == ["_SUCCESS", "a.json", "b.json"]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 8])
+def test_first_error_is_the_same_however_tasks_run(spark, tmp_path, parts):
+    good = json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]})
+    rows = [(f, i, good) for f in ("b.jsonl", "a.jsonl") for i in range(40)]
+    rows[7], rows[55], rows[70] = ("b.jsonl", 7, "{"), ("a.jsonl", 15, '{"messages":[]}'), ("a.jsonl", 30, "{")
+    rows += [("a.jsonl", 40, '{"x":1}')]  # passed over, no error
+    records = spark.createDataFrame(rows, "source_path string, record_no long, raw string").repartition(parts)
+    converted = formats.from_messages_jsonl(records)
+    out = str(tmp_path / "out")
+    with pytest.raises(DataFormatError, match=r"^a\.jsonl, record 15: empty_messages$"):
+        sinks.write_converted(converted, out, FAILFAST)
+    assert not (tmp_path / "out").exists()
+    assert sinks.write_converted(converted, out)["rows"] == 77
+    with pytest.raises(DataFormatError, match="record 15"):
+        sinks.write_converted(converted, out, FAILFAST, "overwrite")
+    assert spark.read.text(out).count() == 77
+    errors = {(r.source_path, r.record_no, r.reason) for r in formats.first_errors(converted).collect()}
+    assert errors == {("a.jsonl", 15, "empty_messages"), ("b.jsonl", 7, "invalid_json")}
+    assert formats.sound_files(converted).count() == 0
+    fine = converted.filter("source_path = 'a.jsonl' and record_no not in (15, 30)")
+    assert formats.sound_files(fine).columns == formats.samples(fine).columns and formats.sound_files(fine).count() == 38
+    assert sinks.write_converted(fine, str(tmp_path / "fine"), FAILFAST)["rows"] == 38
+
+
+def test_materialise_stops_at_the_first_bad_record(spark, tmp_path):
+    good = json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]})
+    (tmp_path / "c.jsonl").write_text(f"{good}\n{{\n{good}\n[1\n")
+    with pytest.raises(DataFormatError, match=r"c\.jsonl, record 1: invalid_json"):
+        readers.materialise(spark, str(tmp_path / "c.jsonl"), "jsonl", str(tmp_path / "t"), mode=FAILFAST)
+    assert readers.materialise(spark, str(tmp_path / "c.jsonl"), "jsonl", str(tmp_path / "t")).samples == 2
