@@ -30,6 +30,10 @@ LICENSE_WORD = rf"(?iu)(?<![\p{{L}}\p{{N}}])(apache(?:-|[{PY_SPACE}]*)2\.0|mit|b
 LICENSE_HEAD_LINES, LICENSE_HEAD_CHARS = 8, 80
 UNNAMED_LICENSE = "see LICENSE"
 MASK, MASK_PREFIX, MASK_MIN = "***", 4, 8
+# The warnings, around the license's name.
+NO_LICENSE = "No license file or model-card license field was found."
+RESTRICTED_LICENSE = ("License `", "` looks non-commercial or restricted. Review before production use.")
+UNKNOWN_LICENSE = ("License `", "` was found but commercial use is not auto-classified. Read the model card.")
 
 
 def _front_lines(text: Column) -> Column:
@@ -128,23 +132,14 @@ def classify_license(name: Column) -> Column:
 
 
 def license_warning(name: Column, commercial_ok: Column) -> Column:
+    def around(told: tuple[str, str]) -> Column:
+        return F.concat(F.lit(told[0]), name, F.lit(told[1]))
+
     return (
-        F.when(name.isNull(), "No license file or model-card license field was found.")
-        .when(
-            ~commercial_ok,
-            F.concat(
-                F.lit("License `"), name,
-                F.lit("` looks non-commercial or restricted. Review before production use."),
-            ),
-        )
-        .when(
-            commercial_ok.isNull(),
-            F.concat(
-                F.lit("License `"), name,
-                F.lit("` was found but commercial use is not auto-classified. Read the model card."),
-            ),
-        )
-    )
+        F.when(name.isNull(), NO_LICENSE)
+        .when(~commercial_ok, around(RESTRICTED_LICENSE))
+        .when(commercial_ok.isNull(), around(UNKNOWN_LICENSE))
+    )
 
 
 def license_report(cards: DataFrame, key: str = "model_id") -> DataFrame:

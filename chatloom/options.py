@@ -12,6 +12,7 @@ MODES = (FAILFAST, DROPMALFORMED, PERMISSIVE)
 
 @dataclass(frozen=True)
 class DataOptions:
+    # The names and defaults of the conversion settings that users' files hold.
     skip_empty_lines: bool = True
     skip_comment_lines: bool = True
     comment_prefix: str = "#"

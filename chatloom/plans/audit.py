@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import PY_SPACE
 from chatloom.operators import governance as gv
 from chatloom.operators import snapshots as sn
 from chatloom.plans import fixtures as fx
 from chatloom.plans.registry import query
-from chatloom.plans.sql import lines, lit, strip
-
-HEAD = f"array_to_string({lines('text')}[1:{gv.LICENSE_HEAD_LINES}], ' ')"
+from chatloom.plans.sql import PY_SPACE, lines, lit, strip
+
+# Fixed values, written out here apart from the operators', so that a wrong one there shows.
+RESTRICTED = (
+    "non-commercial", "noncommercial", "research only", "research-only", "no commercial", "cc-by-nc", "cc by-nc",
+    "llama 2 community", "llama 3 community",
+)
+PERMITTED = ("apache-2.0", "apache 2.0", "mit", "bsd-2-clause", "bsd-3-clause", "apache2")
+TOKENIZER_NAMES = ("tokenizer.json", "tokenizer.model", "vocab.json", "spiece.model", "tokenizer_config.json")
+ADAPTER_NAMES = ("adapter_config.json", "adapter_model.safetensors", "adapter_model.bin")
+CONFIG_PROBLEM = "missing or empty config.json"
+TOKENIZER_PROBLEM = "missing tokenizer files (expected tokenizer.json / tokenizer.model / vocab.json+merges.txt / tokenizer_config.json)"
+WEIGHT_PROBLEM = "missing weight files (.safetensors / .bin / .pt / .gguf)"
+SHARD_PROBLEM = "safetensors index references missing shards: "
+INDEX_PROBLEM = "model.safetensors.index.json is not valid JSON"
+
+HEAD = f"array_to_string({lines('text')}[1:8], ' ')"
 NAME = lit(rf"(?i)(apache(?:-|[{PY_SPACE}]*)2\.0|mit|bsd|llama|cc-by[^{PY_SPACE},]*)")
 FROM_TEXT = f"""CASE WHEN regexp_matches({HEAD}, {NAME}) THEN regexp_extract({HEAD}, {NAME}, 1)
-  WHEN {strip(f"{HEAD}[:{gv.LICENSE_HEAD_CHARS}]")} <> '' THEN {strip(f"{HEAD}[:{gv.LICENSE_HEAD_CHARS}]")} ELSE '{gv.UNNAMED_LICENSE}' END"""
+  WHEN {strip(f"{HEAD}[:80]")} <> '' THEN {strip(f"{HEAD}[:80]")} ELSE 'see LICENSE' END"""
 
 
 def model_cards(spark, sf_dir):
@@ -44,9 +57,9 @@ picked AS (
 
 LOW = "lower(license)"
 VERDICT = f"""CASE WHEN license IS NULL THEN NULL
-  WHEN {" OR ".join(f"contains({LOW}, {lit(h)})" for h in gv.RESTRICTIVE_HINTS)}
+  WHEN {" OR ".join(f"contains({LOW}, {lit(h)})" for h in RESTRICTED)}
     OR list_contains(regexp_split_to_array({LOW}, {lit(f"[{PY_SPACE}]+")}), 'nc') THEN false
-  WHEN {LOW} IN ({", ".join(map(lit, gv.PERMISSIVE))}) OR contains({LOW}, 'apache') THEN true END"""
+  WHEN {LOW} IN ({", ".join(map(lit, PERMITTED))}) OR contains({LOW}, 'apache') THEN true END"""
 
 
 @query("k2_pick_license_source", f"WITH {fx.CARDS}, {SAID} SELECT * FROM picked")
@@ -103,7 +116,7 @@ SETTING = "CASE p_partkey % 4 WHEN 0 THEN 'HUB_TOKEN' WHEN 1 THEN 'SERVE_API_KEY
 @query(
     "k8_redact_settings",
     f"""SELECT p_partkey, {SETTING} AS key,
-      CASE WHEN p_partkey % 4 > 1 THEN p_name WHEN length(p_name) <= {gv.MASK_MIN} THEN '***' ELSE p_name[:{gv.MASK_PREFIX}] || '***' END AS value
+      CASE WHEN p_partkey % 4 > 1 THEN p_name WHEN length(p_name) <= 8 THEN '***' ELSE p_name[:4] || '***' END AS value
     FROM part""",
 )
 def k8_redact_settings(spark, sf_dir):
@@ -130,19 +143,19 @@ def k9_redact_args(spark, sf_dir):
 
 FLAGS = f"""
 named_missing AS (
-  SELECT model_id, '{sn.NO_SHARDS}' || array_to_string(list_sort(list(shard))[1:{sn.NAMED_SHARDS}], ', ') AS problem FROM missing GROUP BY model_id
-  UNION ALL SELECT DISTINCT model_id, '{sn.BAD_INDEX}' FROM listing WHERE ends_with(model_id, '3')
+  SELECT model_id, '{SHARD_PROBLEM}' || array_to_string(list_sort(list(shard))[1:8], ', ') AS problem FROM missing GROUP BY model_id
+  UNION ALL SELECT DISTINCT model_id, '{INDEX_PROBLEM}' FROM listing WHERE ends_with(model_id, '3')
 ),
 flags AS (
   SELECT model_id, bool_or(path = 'config.json' AND size > 0) AS config,
-    bool_or(path IN ({", ".join(map(lit, sn.TOKENIZER_FILES))}) AND size > 0) OR (bool_or(path = 'vocab.json') AND bool_or(path = 'merges.txt')) AS tokenizer,
-    bool_or(regexp_matches(path, {lit(sn.WEIGHT_FILE)}) AND size > 0) AS weights,
-    bool_or(path IN ({", ".join(map(lit, sn.ADAPTER_FILES))})) AS adapter
+    bool_or(path IN ({", ".join(map(lit, TOKENIZER_NAMES))}) AND size > 0) OR (bool_or(path = 'vocab.json') AND bool_or(path = 'merges.txt')) AS tokenizer,
+    bool_or(regexp_matches(path, '(?i)[^/][.](safetensors|bin|pt|pth|gguf)$') AND size > 0) AS weights,
+    bool_or(path IN ({", ".join(map(lit, ADAPTER_NAMES))})) AS adapter
   FROM listing GROUP BY model_id
 ),
 audited AS (
-  SELECT model_id, adapter, concat_ws('; ', CASE WHEN NOT config THEN {lit(sn.NO_CONFIG)} END, CASE WHEN NOT tokenizer THEN {lit(sn.NO_TOKENIZER)} END,
-    CASE WHEN NOT weights THEN {lit(sn.NO_WEIGHTS)} END, problem) AS problems
+  SELECT model_id, adapter, concat_ws('; ', CASE WHEN NOT config THEN {lit(CONFIG_PROBLEM)} END, CASE WHEN NOT tokenizer THEN {lit(TOKENIZER_PROBLEM)} END,
+    CASE WHEN NOT weights THEN {lit(WEIGHT_PROBLEM)} END, problem) AS problems
   FROM flags LEFT JOIN named_missing USING (model_id)
 )"""
 

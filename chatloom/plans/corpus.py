@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import JS_SPACE, splitlines
+from chatloom.functions.text import splitlines
 from chatloom.operators import formats, lines, messages, render, report
 from chatloom.options import PERMISSIVE, DataOptions
 from chatloom.plans import fixtures as fx
 from chatloom.plans.registry import query
-from chatloom.plans.sql import CLEAN_TURNS, LF, jstrip, lines as sql_lines, lit, numbered, strip
+from chatloom.plans.sql import CLEAN_TURNS, JS_SPACE, LF, jstrip, lines as sql_lines, lit, numbered, strip
 from chatloom.session import scratch_path
 from chatloom.sources import readers, sinks
 from chatloom.sources.files import write_files

@@ -15,16 +15,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over the cores when the table is too small to be cut into enough splits.
-
-    A table of at least one full split per core is left alone: no shuffle at scale.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * 128 * 1024 * 1024:
-        return df
-    return df.repartition(cores, key)
+    """Deal a scan out over the cores by a key: the given tables are single files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

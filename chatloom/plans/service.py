@@ -176,8 +176,8 @@ def j2_build_eval_batch(spark, sf_dir):
 
 @query(
     "j3_build_prompt_requests",
-    f"""SELECT p_partkey, {lit(drafting.PROMPT_WRITER)} AS system, {lit(drafting.TOPIC_PREFIX)} || p_name || {lit(drafting.COUNT_PREFIX + "8")} AS user,
-      0.9::DOUBLE AS temperature, 1024 AS max_tokens FROM part""",
+    r"""SELECT p_partkey, 'You write user prompts for a ChatML training set. Return ONLY a JSON array of strings. No markdown. Each item is one user message. Language follows the topic.' AS system,
+      'Topic:\n' || p_name || '\n\nCount: 8' AS user, 0.9::DOUBLE AS temperature, 1024 AS max_tokens FROM part""",
 )
 def j3_build_prompt_requests(spark, sf_dir):
     # Every part's name, and a blank topic behind it.

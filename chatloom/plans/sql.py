@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from chatloom.functions.text import JS_SPACE, LINE_BREAK, PY_SPACE
+# White space and line breaks by Python's own rules, apart from the operators' lists.
+PY_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+LINE_BREAK = "\r\n|[" + "".join(c for c in map(chr, range(0x3001)) if len(f"a{c}b".splitlines()) == 2) + "]"
+# The white space of JavaScript.
+JS_SPACE = "".join(map(chr, (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def lit(text: str) -> str:
