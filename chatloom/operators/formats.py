@@ -206,7 +206,10 @@ def from_catalog(records: DataFrame, options: DataOptions = DataOptions()) -> Da
         .withColumn("_conversations", F.expr(items(field("record", "conversations"))))
         .withColumn("_items", F.expr(f"cast({messages} as {MESSAGES})"))
     )
-    reason = f"coalesce({_NOT_OBJECT}, CASE WHEN _items IS NULL OR size(_items) = 0 THEN 'no_messages' END)"
+    # Only an object gives messages; whether a record without any is one is asked last, as it copies the record.
+    reason = case(
+        ("record IS NULL", "'invalid_json'"), ("size(_items) > 0", "null"), (f"NOT {is_object('record')}", "'not_an_object'"), otherwise="'no_messages'"
+    )
     return _finish(staged, "_items", reason, options)
 
 

@@ -40,7 +40,8 @@ def _records(frame: DataFrame, source: str, key: str, *raws: Column) -> DataFram
     """Records ``key * 10 + variant`` for the non-null variants."""
     variants = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), r.alias("raw")) for i, r in enumerate(raws)]))
     return (
-        frame.select(key, variants.alias("v"))
+        spread(frame, key)
+        .select(key, variants.alias("v"))
         .filter(F.col("v.raw").isNotNull())
         .select(
             F.lit(source).alias("source_path"), (F.col(key) * 10 + F.col("v.i")).alias("record_no"), F.col("v.raw").alias("raw")
@@ -98,7 +99,7 @@ def rec_alpaca(spark: SparkSession, sf_dir: str, output: str = "output") -> Data
         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("input"),
         F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias(output),
     )
-    return _records(spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "alpaca", "doc_id", F.to_json(record))
+    return _records(load(spark, sf_dir, "documents").select("doc_id", "text"), "alpaca", "doc_id", F.to_json(record))
 
 
 def rec_custom(spark: SparkSession, sf_dir: str, keys: tuple[str, str, str] = ("user", "assistant", "system")) -> DataFrame:
