@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ class Rules:
 
     A document of n characters may lie `class_slack / sqrt(n)` further from its language's
     character classes than `class_limit`, and `word_slack / sqrt(n_words)` further from its common
-    words than `word_limit`: short texts scatter more. Under `min_chars` or `min_words` the
-    histogram is not judged. A language is judged only if `min_documents` stand behind its
-    reference. `common_words` words of at most `word_letters` letters make up its word histogram,
-    with one more place for all others. `max_languages` bounds what is sent to the workers; it is
-    above the number of all language codes there are.
+    words than `word_limit`: short texts scatter more. A reference from d documents is itself
+    uncertain, so that `few_slack / sqrt(d)` is allowed on top. Under `min_chars` or `min_words` the
+    histogram is not judged. `common_words` words of at most `word_letters` letters, which are the
+    function words of a language, make up its word histogram, with one more place for all others.
+    References of up to `max_languages` languages are sent to the workers; those of more are joined.
     """
 
     class_limit: float = 0.17
@@ -40,7 +41,7 @@ class Rules:
     word_slack: float = 2.0
     min_chars: int = 200
     min_words: int = 60
-    min_documents: int = 20
+    few_slack: float = 1.0
     common_words: int = 64
     word_letters: int = 5
     max_languages: int = 8192
@@ -147,8 +148,8 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(lang, kind, item, weight, documents) over all documents: the references of each language.
 
     kind 0 are character classes, kind 1 the common words (item -1: all others, item k: the word in
-    `word`). A document that is long enough to be judged counts once, whatever its length. Each task
-    sums what it reads before anything is shuffled.
+    `word`). A document that is long enough to be judged and passes the base rules counts once,
+    whatever its length. Each task sums what it reads before anything is shuffled.
     """
     limit = 200_000
 
@@ -173,6 +174,9 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang is None or not text or len(text) < rules.min_chars:
                     continue
+                counts = base_counts(text)
+                if base_fails(counts[0], counts[4]):
+                    continue
                 classes = class_counts(text) / len(text)
                 for i in range(CLASSES):
                     key = (lang, 0, str(i))
@@ -209,46 +213,47 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def collected(references: DataFrame, rules: Rules = Rules()) -> dict[str, tuple]:
-    """The references in a form for the workers, at most `max_languages` * (`common_words` + 9) numbers."""
-    support = (
-        references.where("kind = 0").groupBy("lang").agg(F.sum("weight").alias("documents"))
-        .where(F.col("documents") >= rules.min_documents - 0.5)
-        .orderBy(F.desc("documents"), "lang").limit(rules.max_languages)
-    )
-    out: dict[str, list] = {}
-    for r in references.join(support, "lang").toLocalIterator():
-        classes, words, many = out.setdefault(r.lang, [np.zeros(CLASSES), {}, [0.0]])
-        if r.kind == 0:
-            classes[int(r.word)] = r.weight
-        elif r.kind == 1:
-            words[r.word.encode()] = r.weight
+class Reference(NamedTuple):
+    """What a language looks like: its character classes, its common words and their shares (the last is
+    that of all others), and the documents behind the two."""
+
+    classes: np.ndarray
+    words: list[bytes]
+    shares: np.ndarray | None
+    documents: float
+    word_documents: float
+
+
+def reference(items: Iterable[tuple[int, str, float]]) -> Reference:
+    """Reference of one language from its (kind, word, weight)."""
+    classes, words, many = np.zeros(CLASSES), {}, 0.0
+    for kind, word, weight in items:
+        if kind == 0:
+            classes[int(word)] = weight
+        elif kind == 1:
+            words[word.encode()] = weight
         else:
-            many[0] = r.weight
-    made = {}
-    for lang, (classes, words, many) in out.items():
-        names = sorted(words)
-        shares = np.array([words[w] for w in names]) / max(many[0], 1.0)
-        judged = many[0] >= rules.min_documents - 0.5 and len(names)
-        made[lang] = (classes, names, np.append(shares, max(1.0 - shares.sum(), 0.0)) if judged else None)
-    return made
+            many = weight
+    names = sorted(words)
+    shares = np.array([words[w] for w in names]) / max(many, 1.0)
+    shares = np.append(shares, max(1.0 - shares.sum(), 0.0)) if names else None
+    return Reference(classes, names, shares, float(classes.sum()), many)
 
 
-def verdict(text: str | None, lang: str | None, known: dict[str, tuple], rules: Rules) -> tuple:
+def verdict(text: str | None, known: Reference | None, rules: Rules) -> tuple:
     """Class and word distance (null where not judged) and whether both are near enough."""
-    if not text or lang not in known or len(text) < rules.min_chars:
+    if not text or known is None or not known.documents or len(text) < rules.min_chars:
         return None, None, True
-    classes, names, shares = known[lang]
-    by_class = js_distance(class_counts(text), classes)
-    near = by_class <= rules.class_limit + rules.class_slack / len(text) ** 0.5
+    by_class = js_distance(class_counts(text), known.classes)
+    near = by_class <= rules.class_limit + rules.class_slack / len(text) ** 0.5 + rules.few_slack / known.documents**0.5
     by_word = None
-    if shares is not None:
+    if known.shares is not None and known.word_documents:
         words = word_counts(text)
         total = sum(words.values())
         if total >= rules.min_words:
-            own = np.array([words[w] for w in names], np.float64)
-            by_word = js_distance(np.append(own, total - own.sum()), shares)
-            near = near and by_word <= rules.word_limit + rules.word_slack / total**0.5
+            own = np.array([words[w] for w in known.words], np.float64)
+            by_word = js_distance(np.append(own, total - own.sum()), known.shares)
+            near = near and by_word <= rules.word_limit + rules.word_slack / total**0.5 + rules.few_slack / known.word_documents**0.5
     return by_class, by_word, near
 
 
@@ -260,28 +265,37 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), references: DataFrame
     over all of `docs` unless given. No text is shuffled: texts are read once for the references
     and once for the verdict.
 
-    Null or empty text: all counts 0, base rule failed. Null language, a language with too few
-    documents, or a text under the minimum lengths: base rules only. Repeated rows are judged each
-    alike. An empty table gives an empty result. Columns of `docs` named like a result are replaced.
+    Null or empty text: all counts 0, base rule failed. Null language, a language without a document
+    behind its reference, or a text under the minimum lengths: base rules only. Repeated rows are judged
+    each alike. An empty table gives an empty result. Columns of `docs` named like a result are replaced.
     """
     if references is None:
         references = landed(language_references(docs, rules), "references")
-    known = collected(references, rules)
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-
-    def judge(texts: list, langs: list) -> list:
-        rows = []
-        for text, lang in zip(texts, langs, strict=True):
-            counts = base_counts(text)
-            failed = base_fails(counts[0], counts[4])
-            by_class, by_word, near = verdict(text, lang, sent.value, rules)
-            rows.append((*counts, failed, by_class, by_word, not failed and near))
-        return list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-
-    return with_arrow(
-        docs,
-        ["text", "lang"],
+    new = (
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, class_distance double, word_distance double, kept boolean",
-        judge,
+        "base_failed boolean, class_distance double, word_distance double, kept boolean"
     )
+
+    def judged(text: str | None, known: Reference | None) -> tuple:
+        counts = base_counts(text)
+        failed = base_fails(counts[0], counts[4])
+        by_class, by_word, near = verdict(text, known, rules)
+        return *counts, failed, by_class, by_word, not failed and near
+
+    def columns(rows: list[tuple]) -> list:
+        return list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
+
+    packed = references.groupBy("lang").agg(F.collect_list(F.struct("kind", "word", "weight")).alias("_reference"))
+    if references.select("lang").distinct().count() <= rules.max_languages:
+        found = {r.lang: reference(r["_reference"]) for r in packed.toLocalIterator()}
+        sent = docs.sparkSession.sparkContext.broadcast(found)
+        return with_arrow(
+            docs, ["text", "lang"], new, lambda texts, langs: columns([judged(t, sent.value.get(x)) for t, x in zip(texts, langs, strict=True)])
+        )
+    met = docs.join(packed.withColumnRenamed("lang", "_language"), F.col("lang") == F.col("_language"), "left").drop("_language")
+
+    def joined(texts: list, items: list) -> list:
+        told = (None if x is None else reference(tuple(i.values()) for i in x) for x in items)
+        return columns([judged(t, known) for t, known in zip(texts, told, strict=True)])
+
+    return with_arrow(met, ["text", "_reference"], new, joined).drop("_reference")
