@@ -11,7 +11,11 @@ from chatloom.llm.common import landed
 BLOCK = 64
 EPS = 1e-9
 
-_ITEM = "struct<doc_id:bigint,source:string,size:bigint,many:bigint,whole:bigint,source_size:bigint,target:double,mass:double>"
+_FIELDS = ("doc_id", "source", "size", "mark", "many", "whole", "extra", "source_size", "target")
+_ITEM = (
+    "struct<doc_id:bigint,source:string,size:bigint,mark:bigint,many:bigint,whole:bigint,extra:bigint,"
+    "source_size:bigint,target:double,mass:double>"
+)
 
 
 def word_count(text: str | Column) -> Column:
@@ -53,22 +57,21 @@ def _fold(seed: int, level: int) -> str:
     expected shares.
     """
     draw = (
-        f"cast(shiftrightunsigned(xxhash64(h.doc_id, h.size, x.doc_id, x.size, {seed}, {level}), 11) as double)"
+        f"cast(shiftrightunsigned(xxhash64(h.doc_id, h.size, h.mark, x.doc_id, x.size, x.mark, {seed}, {level}), 11) as double)"
         " / 9007199254740992D"
     )
     # up: words that h can take from x; down: words that h can give to x.
     room = (
-        "struct(least((1 - h.mass) * h.size * h.many, x.mass * x.size * x.many) as up,"
-        " least(h.mass * h.size * h.many, (1 - x.mass) * x.size * x.many) as down)"
+        "struct(least((1 - h.mass) * h.size, x.mass * x.size) as up,"
+        " least(h.mass * h.size, (1 - x.mass) * x.size) as down)"
     )
     moved = f"if(({draw}) * (r.up + r.down) < r.down, r.up, -r.down)"
     after = (
-        "struct(h.mass + m / (h.size * h.many) as h, x.mass - m / (x.size * x.many) as x)"
+        "struct(h.mass + m / h.size as h, x.mass - m / x.size as x)"
     )
 
     def with_mass(item: str, mass: str) -> str:
-        fields = ("doc_id", "source", "size", "many", "whole", "source_size", "target")
-        return "named_struct(" + ", ".join(f"'{f}', {item}.{f}" for f in fields) + f", 'mass', {mass})"
+        return "named_struct(" + ", ".join(f"'{f}', {item}.{f}" for f in _FIELDS) + f", 'mass', {mass})"
 
     integral = f"(a.{{0}} < {EPS} or a.{{0}} > 1 - {EPS})"
     h_done, x_done = integral.format("h"), integral.format("x")
@@ -91,23 +94,22 @@ def _trimmed(seed: int) -> str:
     """SQL of the end of a source: the document still held is rounded by a draw, and documents of
     this last block, largest first, change their copy where that brings the words taken nearer."""
     draw = (
-        f"cast(shiftrightunsigned(xxhash64(h.doc_id, h.size, {seed}), 11) as double) / 9007199254740992D < h.mass"
+        f"cast(shiftrightunsigned(xxhash64(h.doc_id, h.size, h.mark, {seed}), 11) as double) / 9007199254740992D < h.mass"
     )
     rounded = f"h.mass - cast({draw} as double)"
-    owed = f"coalesce(transform(array(state.held), h -> ({rounded}) * h.size * h.many)[0], 0D)"
+    owed = f"coalesce(transform(array(state.held), h -> ({rounded}) * h.size)[0], 0D)"
     last = f"transform(filter(array(state.held), h -> h is not null), h -> h_set(h, cast({draw} as double)))"
-    fields = ("doc_id", "source", "size", "many", "whole", "source_size", "target")
 
     def with_mass(item: str, mass: str) -> str:
-        return "named_struct(" + ", ".join(f"'{f}', {item}.{f}" for f in fields) + f", 'mass', {mass})"
+        return "named_struct(" + ", ".join(f"'{f}', {item}.{f}" for f in _FIELDS) + f", 'mass', {mass})"
 
     last = last.replace(f"h_set(h, cast({draw} as double))", with_mass("h", f"cast({draw} as double)"))
     every = (
-        f"array_sort(concat(state.done, {last}), (p, q) -> case when p.size * p.many > q.size * q.many then -1"
-        " when p.size * p.many < q.size * q.many then 1 when p.doc_id < q.doc_id then -1"
-        " when p.doc_id > q.doc_id then 1 else 0 end)"
+        f"array_sort(concat(state.done, {last}), (p, q) -> case when p.size > q.size then -1"
+        " when p.size < q.size then 1 when p.doc_id < q.doc_id then -1"
+        " when p.doc_id > q.doc_id then 1 when p.mark < q.mark then -1 when p.mark > q.mark then 1 else 0 end)"
     )
-    change = "(if(x.mass > 0.5, -1D, 1D) * x.size * x.many)"
+    change = "(if(x.mass > 0.5, -1D, 1D) * x.size)"
     turn = f"abs(s.owed - {change}) < abs(s.owed)"
     return f"""aggregate({every}, named_struct('owed', {owed}, 'done', cast(array() as array<{_ITEM}>)),
         (s, x) -> if({turn},
@@ -116,30 +118,34 @@ def _trimmed(seed: int) -> str:
 
 
 def mixed_units(docs: DataFrame, seed: int = 7, **shares: object) -> DataFrame:
-    """One row per distinct (doc_id, source, size): how often it repeats (`many`), the source's size
-    and target, and `copies`, how many copies of each of its rows the mix takes.
+    """One row per distinct (doc_id, source, size, mark), the mark being a hash of the text: how often it
+    repeats (`many`), the source's size and target, and what the mix takes: `whole` copies of each of
+    its rows and one more of `extra` of them.
 
     Every document of a source has the same expected copies, target / size of the source: a whole
-    part, and a fraction that is rounded dependently. Fractions meet in blocks of about BLOCK
+    part, and a fraction that is rounded dependently. Of the fractions of rows that repeat, those that
+    add up to whole copies are settled at once; the rest is that of one row. Fractions meet in blocks of about BLOCK
     documents, each folded to at most one document with mass left; those left over meet again in
     blocks, a reduction tree of a few levels. The last block per source ends with one draw, and where
     another choice for one of its documents brings the words taken nearer to the target, it is made.
     A source so misses its target by less than one document, as a rule by a small one. Draws are hashes of ids, so
     reruns agree on any cluster.
     """
-    sized = landed(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    sized = landed(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("mark")), "sizes")
     targets = landed(source_targets(sized, **shares), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
-        sized.groupBy("doc_id", "source", "size")
+        sized.groupBy("doc_id", "source", "size", "mark")
         .agg(F.count("*").alias("many"))
         .join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("share", share)
         .withColumn("whole", F.floor(F.col("share") + EPS))
-        .withColumn("mass", F.greatest(F.col("share") - F.col("whole"), F.lit(0.0)))
+        .withColumn("part", F.greatest(F.col("share") - F.col("whole"), F.lit(0.0)) * F.col("many"))
+        .withColumn("extra", F.floor(F.col("part") + EPS))
+        .withColumn("mass", F.greatest(F.col("part") - F.col("extra"), F.lit(0.0)))
     )
-    item = F.struct("doc_id", "source", "size", "many", "whole", "source_size", "target", "mass").cast(_ITEM)
+    item = F.struct(*_FIELDS, "mass").cast(_ITEM)
     settled = (F.col("size") == 0) | (F.col("mass") < EPS)
     units = landed(units.select("source", settled.alias("settled"), item.alias("item")), "units")
     # An item with no mass to place keeps its whole copies.
@@ -152,10 +158,10 @@ def mixed_units(docs: DataFrame, seed: int = 7, **shares: object) -> DataFrame:
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
         dealt = (
             open_.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .withColumn("block", F.pmod(F.xxhash64("item.doc_id", "item.size", F.lit(seed + level)), blocks))
+            .withColumn("block", F.pmod(F.xxhash64("item.doc_id", "item.size", "item.mark", F.lit(seed + level)), blocks))
             .withColumn("last", blocks == 1)
         )
-        key = F.struct(F.xxhash64("item.doc_id", "item.size", F.lit(seed)).alias("r"), F.col("item").alias("item"))
+        key = F.struct(F.xxhash64("item.doc_id", "item.size", "item.mark", F.lit(seed)).alias("r"), F.col("item").alias("item"))
         folded = landed(
             dealt.withColumn("k", key)
             .groupBy("source", "block", "last")
@@ -173,27 +179,21 @@ def mixed_units(docs: DataFrame, seed: int = 7, **shares: object) -> DataFrame:
     every = done[0]
     for part in done[1:]:
         every = every.unionByName(part)
-    return every.select(
-        "item.doc_id",
-        "item.source",
-        "item.size",
-        "item.many",
-        "item.source_size",
-        "item.target",
-        (F.col("item.whole") + F.col("item.mass").cast("long")).alias("copies"),
-    )
+    names = ("doc_id", "source", "size", "mark", "many", "source_size", "target", "whole")
+    return every.select(*(f"item.{c}" for c in names), (F.col("item.extra") + F.col("item.mass").cast("long")).alias("extra"))
 
 
 def mixed_sizes(docs: DataFrame, seed: int = 7, **shares: object) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of `docs`.
 
     Null or empty text: size 0, nothing taken. A null source is a source of its own, the last. Rows
-    that repeat doc_id, source and size are one document: each row has the same `taken`. A source
-    without words has target 0. An empty table gives an empty result. Other columns are not read.
+    that repeat a document share its copies as evenly as can be. A source without words has target 0.
+    An empty table gives an empty result. Other columns are not read.
     """
     units = mixed_units(docs, seed, **shares)
     rows = units.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("many"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    copies = F.col("whole") + (F.col("row") <= F.col("extra")).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **shares: object) -> DataFrame:
@@ -201,12 +201,34 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **shares: object) -> DataFra
 
     Empty documents hold no words, so none of their rows is taken.
     """
-    units = mixed_units(docs, seed, **shares).where("copies > 0 and size > 0")
-    units = landed(units.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "copies")]), "mix")
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (word_count("text") == F.col("_size"))
-    )
-    taken = docs.join(units, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*docs.columns)
+    keys = ["doc_id", "source", "size", "mark"]
+    units = landed(mixed_units(docs, seed, **shares).where("size > 0 and whole + extra > 0").select(*keys, "many", "whole", "extra"), "mix")
+    rows = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+        F.col("doc_id"), F.col("source"), word_count("text").alias("size"), F.xxhash64("text").alias("mark"),
+    )
+
+    def met(some: DataFrame) -> DataFrame:
+        same = [rows[k].eqNullSafe(some[k]) for k in keys]
+        return rows.join(some, same[0] & same[1] & same[2] & same[3]).select("row", *(some[c] for c in some.columns))
+
+    # Of rows that repeat, some may take one copy more than the others.
+    uneven = (F.col("extra") > 0) & (F.col("extra") < F.col("many"))
+    even = met(units.where(~uneven)).select("row", (F.col("whole") + (F.col("extra") > 0).cast("long")).alias("copies"))
+    taken = even if units.where(uneven).isEmpty() else even.unionByName(_dealt(landed(met(units.where(uneven)), "uneven"), keys))
+    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(row, copies) of landed rows that repeat: the first `extra` of a unit, counted along the files, take
+    one copy more. No window holds more than a file's rows or a unit's files."""
+    meta = rows.metadataColumn("_metadata")
+    placed = rows.select("*", meta["file_name"].alias("file"), meta["row_index"].alias("at"))
+    along = Window.partitionBy(*keys).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "file").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    files = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("file").alias("_file"), "before")
+    same = placed["file"] == files["_file"]
+    for k in keys:
+        same = same & placed[k].eqNullSafe(files[f"_{k}"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "file").orderBy("at"))
+    return placed.join(files, same).select("row", (F.col("whole") + (place <= F.col("extra")).cast("long")).alias("copies"))
