@@ -29,11 +29,14 @@ class WordTokens:
     each with the space before it. Words come again and again; their ids are remembered.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model.encode_special_tokens = not special
+        # Strings in a text that the tokenizer takes as one token of its own, with no regard to spaces.
+        added = self.model.get_added_tokens_decoder().values()
+        self.special = [token.content for token in added if special or not token.special]
         self.known: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -50,7 +53,8 @@ class WordTokens:
         for text in texts:
             plain = text and not text.startswith(" ") and not text.endswith(" ")
             plain = plain and "  " not in text and " \n" not in text and "\n " not in text
-            words = text.split(" ") if plain and not _ODD.search(text) else None
+            plain = plain and not _ODD.search(text) and not any(map(text.__contains__, self.special))
+            words = text.split(" ") if plain else None
             parted.append(words)
             if words is not None:
                 new.update(words[1:])
@@ -96,21 +100,21 @@ class _Both:
         return self.second[key] if found is None else found
 
 
-_models: dict[str, WordTokens] = {}
+_models: dict[tuple[str, bool], WordTokens] = {}
 
 
-def _model(path: str) -> WordTokens:
-    if path not in _models:
+def _model(path: str, special: bool) -> WordTokens:
+    if (path, special) not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _models[path] = WordTokens(path)
-    return _models[path]
+        _models[path, special] = WordTokens(path, special)
+    return _models[path, special]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """The pieces of every row of `docs`, with `part` and `place`: the how-manieth of its length in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, model = TaskContext.get().partitionId(), _model(tokenizer)
+        part, model = TaskContext.get().partitionId(), _model(tokenizer, special)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -221,9 +225,12 @@ def plan_runs(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """Pieces of every row of `docs` (columns doc_id, text) with sequence_id and offset.
 
+    With `special` the strings of the tokenizer's special tokens in a text become those tokens, as a
+    plain call of it makes them; without, they are ordinary text, so that no text can fake an end.
+
     Only the histogram of piece lengths, at most `capacity` numbers, reaches the driver, which plans
     groups of equal sequences from it; every piece then finds its place from its rank among the
     pieces of its length. Ranks come from counts per task, so no length, however frequent, meets in
@@ -232,7 +239,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     Null or empty text: one piece that holds the end id. A null doc_id is carried. Repeated rows are
     documents of their own. An empty table gives an empty result. Other columns are not read.
     """
-    pieces = landed(token_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = landed(token_pieces(docs, tokenizer, capacity, special), "pieces")
     counts = landed(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():

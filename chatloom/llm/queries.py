@@ -80,7 +80,7 @@ def op7_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), special=True)
 
 
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
