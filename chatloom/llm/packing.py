@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spec
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.make_valid_utf8("text").alias("text")).mapInArrow(run, schema)
 
 
 def dominance(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -236,7 +236,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, special: b
     pieces of its length. Ranks come from counts per task, so no length, however frequent, meets in
     one task.
 
-    Null or empty text: one piece that holds the end id. A null doc_id is carried. Repeated rows are
+    Null or empty text: one piece that holds the end id. Bytes that are no UTF-8 become U+FFFD. A null doc_id is carried. Repeated rows are
     documents of their own. An empty table gives an empty result. Other columns are not read.
     """
     pieces = landed(token_pieces(docs, tokenizer, capacity, special), "pieces")
