@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import landed, ready, table
@@ -22,17 +22,28 @@ from chatloom.llm.tensored import near_duplicates
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def carried(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """`docs` with all columns but the stage's own under names that clash with no result, and the columns
+    that bring the names back."""
+    names = [c if c in own else f"_carried_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Bytes that are no UTF-8 become U+FFFD."""
     ready(spark)
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    valid = docs.withColumn("text", F.make_valid_utf8("text"))
+    renamed, columns = carried(valid, "doc_id", "text", "lang", "source")
+    return quality_rules(renamed).where("kept").select(*columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that earlier ones have; those with no word left go."""
     ready(spark)
-    left = line_dedup(docs).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    counted = docs.schema["n_chars"].dataType
+    renamed, columns = carried(docs, "doc_id", "text", "n_chars")
+    left = line_dedup(renamed).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    return left.withColumn("n_chars", F.length("text").cast(counted)).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
