@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,15 +18,17 @@ from chatloom.llm.common import landed, with_arrow
 CAPACITY = 2048
 # Words whose ids a worker remembers; others are tokenized anew.
 REMEMBERED = 400_000
-# White space that is neither a space nor a line feed.
-_ODD = re.compile(r"[^\S \n]")
+# White space that is neither a space nor a line feed, and the places of spaces where words don't part plainly.
+_ODD = "".join(rf"\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+_NOT_PLAIN = rf"^ | $|  | \n|\n |[{_ODD}]"
 
 
 class WordTokens:
     """Ids of texts by a byte-level BPE tokenizer that cuts before a space between other characters.
 
     Such a tokenizer never merges over those spaces, so a text's ids are those of its words in turn,
-    each with the space before it. Words come again and again; their ids are remembered.
+    each with the space before it. Words come again and again; their ids are remembered, and a batch
+    looks up each of its words once.
     """
 
     def __init__(self, path: str, special: bool = False) -> None:
@@ -37,67 +39,81 @@ class WordTokens:
         # Strings in a text that the tokenizer takes as one token of its own, with no regard to spaces.
         added = self.model.get_added_tokens_decoder().values()
         self.special = [token.content for token in added if special or not token.special]
-        self.known: dict[str, bytes] = {}
+        # The place of each remembered word in `sizes`, its number of ids, which stand in this order in `ids`.
+        self.known: dict[bytes, int] = {}
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
         vocabulary = self.model.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.opens[number] = token.startswith("Ġ")
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
-        parted: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            plain = text and not text.startswith(" ") and not text.endswith(" ")
-            plain = plain and "  " not in text and " \n" not in text and "\n " not in text
-            plain = plain and not _ODD.search(text) and not any(map(text.__contains__, self.special))
-            words = text.split(" ") if plain else None
-            parted.append(words)
-            if words is not None:
-                new.update(words[1:])
-        new.difference_update(self.known)
-        found = self.known
-        if new:
-            fresh = self._words(list(new))
-            if len(self.known) < REMEMBERED:
-                self.known.update(fresh)
-            else:
-                found = _Both(self.known, fresh)
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def batch(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers; null: none."""
+        column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        plain = pc.invert(pc.match_substring_regex(column, _NOT_PLAIN))
+        for string in self.special:
+            plain = pc.and_not(plain, pc.match_substring(column, string))
+        plain = pc.and_(plain, pc.greater(pc.binary_length(column), 0))
+        parted = iter(self._parted(column.filter(plain)))
         out = []
-        for text, words in zip(texts, parted, strict=True):
-            if not text:
-                out.append(b"")
-            elif words is None:
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(words[0]) + b"".join(map(found.__getitem__, words[1:])))
+        for at, known in enumerate(plain.to_pylist()):
+            out.append(next(parted) if known else self.whole(column[at].as_py()).tobytes())
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each with a space before it: all in one text, parted at the spaces again."""
-        out: dict[str, bytes] = {}
+    def _parted(self, column: pa.LargeStringArray) -> Iterator[bytes]:
+        """Ids of texts that are no empty ones, by their words."""
+        if not len(column):
+            return
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        text = column.buffers()[2]
+        opens = np.frombuffer(text, np.uint8)[bounds[0] : bounds[-1]] == 32
+        opens[bounds[:-1] - bounds[0]] = True
+        edges = np.append(np.flatnonzero(opens) + bounds[0], bounds[-1])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), text])
+        coded = words.dictionary_encode()
+        places, sizes, ids = self._looked_up(coded.dictionary.to_pylist())
+        places = places[coded.indices.to_numpy()]
+        length = sizes[places]
+        until = np.append(0, np.cumsum(length))
+        first = np.cumsum(sizes) - sizes
+        found = ids[np.repeat(first[places] - until[:-1], length) + np.arange(until[-1])]
+        cuts = until[np.searchsorted(edges, bounds)].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield found[a:b].tobytes()
+
+    def _looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each word in the sizes, the sizes, and the ids; new words are remembered while there is room."""
+        places = np.array([-1 if p is None else p for p in map(self.known.get, words)], np.int64)
+        at = np.flatnonzero(places < 0)
+        if not len(at):
+            return places, self.sizes, self.ids
+        # Words behind a space can go together as one text, those that open a text only one by one.
+        behind = np.array([words[i][0] == 32 for i in at.tolist()])
+        at = np.append(at[behind], at[~behind])
+        new = [words[i] for i in at.tolist()]
+        places[at] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+        found = [(self.sizes, self.ids), *self._words(new[: behind.sum()]), self._each(new[behind.sum() :])]
+        sizes, ids = (np.concatenate(some) for some in zip(*found, strict=True))
+        if len(self.known) < REMEMBERED:
+            self.known.update(zip(new, places[at].tolist(), strict=True))
+            self.sizes, self.ids = sizes, ids
+        return places, sizes, ids
+
+    def _each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids, of words as texts of their own."""
+        ids = [self.whole(w.decode()) for w in words]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.zeros(0, "<u4"), *ids])
+
+    def _words(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same of words with a space before each: all in one text, parted at the spaces again."""
         for start in range(0, len(words), 50_000):
             some = words[start : start + 50_000]
-            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)).tolist()
-            if len(cuts) != len(some) + 1:
-                out.update((w, self.whole(" " + w)) for w in some)
-                continue
-            data = ids.tobytes()
-            out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-        return out
-
-
-class _Both:
-    def __init__(self, first: dict, second: dict) -> None:
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+            ids = np.array(self.model.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            sizes = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+            yield (sizes, ids) if len(sizes) == len(some) else self._each(some)
 
 
 _models: dict[tuple[str, bool], WordTokens] = {}
@@ -118,8 +134,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, spec
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), model.batch(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), model.batch(batch.column(1)), strict=True):
                 ids += b"\0\0\0\0"
                 total = len(ids) // 4
                 start, length = 0, total % capacity or capacity
