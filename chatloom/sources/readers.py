@@ -18,6 +18,7 @@ from chatloom.options import DROPMALFORMED, DataFormatError, DataOptions
 from chatloom.session import configure
 from chatloom.sources import sinks
 from chatloom.sources.json_lists import scan_large_json
+from chatloom.sources.listing import SCHEME, list_files, local_folder, model_folders, read_files
 
 # Encodings whose files can be cut at LF and CR bytes before decoding.
 _LINE_SAFE = {
@@ -34,8 +35,6 @@ WHOLE_BYTES = 8 << 20
 # The files a license is looked up in.
 CARD_FILES = ("README.md", "LICENSE", "license", "LICENSE.txt", "configuration.json")
 
-_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-
 
 def _decoded(raw: Column, encoding: str) -> Column:
     charset = _LINE_SAFE[encoding]
@@ -237,12 +236,12 @@ def _below(root: str, depth: int) -> tuple[Column, Column]:
 
     The root is cut off as a prefix, without scheme and host, which Spark may write in other ways.
     """
-    bare = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    bare = re.sub(SCHEME, "", root).rstrip("/") + "/"
     if not bare.startswith("/"):
         raise DataFormatError(f"root must be an absolute path: {root}")
     if depth < 1:
         raise DataFormatError("depth must be 1 or more")
-    path = F.regexp_replace("path", _SCHEME, "")
+    path = F.regexp_replace("path", SCHEME, "")
     parts = F.split(F.when(F.startswith(path, F.lit(bare)), F.substr(path, F.lit(len(bare) + 1))), "/")
     deep = F.when(F.size(parts) > depth, parts)
     model = F.array_join(F.slice(deep, 1, depth), "/")
@@ -251,13 +250,18 @@ def _below(root: str, depth: int) -> tuple[Column, Column]:
 
 def scan_model_cards(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """``model_id, file, text`` of the card files in the model folders, which lie ``depth`` folders
-    below an absolute root; deeper files are no cards. Bad bytes become U+FFFD."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "{" + ",".join(CARD_FILES) + "}")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
+    below an absolute root; deeper files are no cards. Bad bytes become U+FFFD. Tasks list a local or
+    mounted root; one of another file system is listed on the driver, which then holds every file's status."""
+    bare = local_folder(spark, root)
+    if bare is not None and depth >= 1:
+        files = read_files(model_folders(spark, bare, depth), CARD_FILES)
+    else:  # listed on the driver
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "{" + ",".join(CARD_FILES) + "}")
+            .option("recursiveFileLookup", "true")
+            .load(root)
+        )
     return card_rows(files, root, depth)
 
 
@@ -272,8 +276,13 @@ def card_rows(files: DataFrame, root: str, depth: int = 1) -> DataFrame:
 
 def scan_listing(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """``model_id, path, size, mtime`` of the files in model folders, named as by scan_model_cards;
-    contents are not read."""
-    return listing_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, depth)
+    contents are not read. Tasks list a local or mounted root."""
+    bare = local_folder(spark, root)
+    if bare is not None and depth >= 1:
+        files = list_files(model_folders(spark, bare, depth))
+    else:  # listed on the driver
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return listing_rows(files, root, depth)
 
 
 def listing_rows(files: DataFrame, root: str, depth: int = 1) -> DataFrame:
